@@ -1,0 +1,16 @@
+"""Checked bounds for tables that end up in one row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+
+def at_most(table: DataFrame, key: str, limit: int) -> DataFrame:
+    """The table itself, or an error when it has more than ``limit`` rows.
+
+    For aggregated tables (one row per month or source) that are gathered into a document.
+    """
+    size = table.agg(F.count("*")).scalar()
+    message = f"more than {limit} values of {key}: use the table instead of the document"
+    return table.withColumn(key, F.when(size <= limit, F.col(key))
+                            .otherwise(F.raise_error(F.lit(message)).cast("string")))
