@@ -88,7 +88,7 @@ def wrapped(label: str) -> str:
 def titled(value: str) -> str:
     runs = f"regexp_extract_all({value}, '\\p{{L}}+|\\P{{L}}+')"
     return (f"case when {value} is null then null else coalesce(list_aggregate(list_transform({runs}, "
-            "lambda x: upper(left(x, 1)) || lower(substr(x, 2))), 'string_agg', ''), '') end")
+            "lambda x: case when left(x, 1) = 'ß' then 'Ss' else upper(left(x, 1)) end || lower(substr(x, 2))), 'string_agg', ''), '') end")
 
 
 CTES = {
