@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plaudit.config import ACTIONABLE_LABELS, NEGATIVE_CATEGORIES
+from plaudit.functions.sql import quoted_list
 from plaudit.operators.scoring import Lexicon, categorise
 from plaudit.sources.exports import analysable, coerced, rated, rated_text
 
@@ -47,43 +48,48 @@ EXPORT_NAME = "export-2026-03-04.csv"
 BATCH = 150
 
 
+# Columns used of the given tables; with a schema no job has to look for it.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, source string, n_chars bigint",
+    "customer": "c_custkey bigint, c_name string",
+    "pages": "page_id bigint, url string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def padded_id(doc_id: Column) -> Column:
-    return F.concat(F.lit("R"), F.lpad(doc_id.cast("string"), 8, "0"))
+PADDED_ID = "concat('R', lpad(string(doc_id), 8, '0'))"
 
 
 def raw_reviews(spark: SparkSession, sf_dir: str, author: bool = True, url: bool = True) -> DataFrame:
     """The raw export, all columns as text."""
-    doc = F.col("doc_id")
-    source_no = F.substring("source", 4, 20).cast("int") % 5
-    stars = (1 + (doc * 7 + F.col("n_chars")) % 5).cast("string")
-    rows = table(spark, sf_dir, "documents").select(
-        doc,
-        padded_id(doc).alias("review_id"),
-        F.date_format(F.date_sub(F.lit("2026-02-18").cast("date"), (doc * 13 % 365).cast("int")),
-                      "yyyy-MM-dd").alias("published"),
-        (F.when(source_no == 0, "Google Play").when(source_no == 1, "iOS App Store").when(source_no == 2, "BBB")
-         .when(source_no == 3, "CreditKarma").when(doc % 43 != 0, "Trustpilot")).alias("source"),
-        (F.when(doc % 23 == 0, None).when(doc % 41 == 0, "N/A").when(doc % 29 == 0, "3.5")
-         .otherwise(F.concat(stars, F.lit(".0")))).alias("rating_raw"),
-        F.when(doc % 31 != 0, F.substring_index("text", "\n", 1)).alias("title"),
-        F.when(doc % 37 == 0, "  ").otherwise(F.col("text")).alias("review"),
+    rows = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"{PADDED_ID} as review_id",
+        "date_format(date_sub(date'2026-02-18', int(doc_id * 13 % 365)), 'yyyy-MM-dd') as published",
+        """case int(substr(source, 4)) % 5 when 0 then 'Google Play' when 1 then 'iOS App Store' when 2 then 'BBB'
+            when 3 then 'CreditKarma' else if(doc_id % 43 = 0, null, 'Trustpilot') end as source""",
+        """case when doc_id % 23 = 0 then null when doc_id % 41 = 0 then 'N/A' when doc_id % 29 = 0 then '3.5'
+            else concat(string(1 + (doc_id * 7 + n_chars) % 5), '.0') end as rating_raw""",
+        "if(doc_id % 31 = 0, null, substring_index(text, '\n', 1)) as title",
+        "if(doc_id % 37 = 0, '  ', text) as review",
     )
-    rows = _looked_up(rows, table(spark, sf_dir, "customer"), "c_custkey", "c_name", "author", author)
-    rows = _looked_up(rows, table(spark, sf_dir, "pages"), "page_id", "url", "url", url)
+    rows = _looked_up(rows, spark, sf_dir, ("customer", "c_custkey", "c_name"), "author", author)
+    rows = _looked_up(rows, spark, sf_dir, ("pages", "page_id", "url"), "url", url)
     return rows.select("review_id", "published", "author", "source", "rating_raw", "title", "review", "url")
 
 
-def _looked_up(rows: DataFrame, other: DataFrame, key: str, value: str, name: str, wanted: bool) -> DataFrame:
+def _looked_up(rows: DataFrame, spark: SparkSession, sf_dir: str, place: tuple[str, str, str], name: str,
+               wanted: bool) -> DataFrame:
     """Add a column of another table, spread over all its rows; null when nobody needs it."""
     if not wanted:
         return rows.withColumn(name, F.lit(None).cast("string"))
+    source, key, value = place
+    other = table(spark, sf_dir, source)
     size = other.agg(F.count("*")).scalar()
     return (rows.withColumn("at", F.col("doc_id") % size)
-            .join(other.select(F.col(key).alias("at"), F.col(value).alias(name)), "at", "left").drop("at"))
+            .join(other.selectExpr(f"{key} as at", f"{value} as {name}"), "at", "left").drop("at"))
 
 
 def reviews(spark: SparkSession, sf_dir: str, author: bool = False, url: bool = False) -> DataFrame:
@@ -110,22 +116,20 @@ def strict_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for decoded items: scores 1..5, all labels, some ids that are in no export."""
-    doc = F.col("doc_id")
-    labels = F.array(*[F.lit(label) for label in ACTIONABLE_LABELS])
-    return table(spark, sf_dir, "documents").select(
-        (F.floor(doc / BATCH) + 1).alias("batch_no"), (doc % BATCH).cast("int").alias("pos"),
-        F.when(doc % 97 == 0, F.concat(F.lit("X"), doc.cast("string"))).otherwise(padded_id(doc)).alias("review_id"),
-        (1 + doc * 11 % 5).cast("int").alias("score"),
-        F.element_at(labels, (F.floor(doc / 3) % len(ACTIONABLE_LABELS) + 1).cast("int")).alias("category"),
-        F.concat(F.lit("reason "), doc.cast("string")).alias("reason"))
+    return table(spark, sf_dir, "documents").selectExpr(
+        f"doc_id div {BATCH} + 1 as batch_no", f"int(doc_id % {BATCH}) as pos",
+        f"if(doc_id % 97 = 0, concat('X', string(doc_id)), {PADDED_ID}) as review_id",
+        "int(1 + doc_id * 11 % 5) as score",
+        f"element_at(array({quoted_list(ACTIONABLE_LABELS)}), int((doc_id div 3) % 18 + 1)) as category",
+        "concat('reason ', string(doc_id)) as reason")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for a model's confidences: every document with every negative category."""
-    names = F.array(*[F.lit(name) for name in NEGATIVE_CATEGORIES])
-    return (table(spark, sf_dir, "documents").select("doc_id", F.posexplode(names).alias("ord", "category"))
-            .select(padded_id(F.col("doc_id")).alias("review_id"), "ord", "category",
-                    ((F.col("doc_id") * 31 + F.col("ord") * 17) % 101).cast("int").alias("confidence")))
+    return (table(spark, sf_dir, "documents")
+            .selectExpr("doc_id", f"posexplode(array({quoted_list(NEGATIVE_CATEGORIES)})) as (ord, category)")
+            .selectExpr(f"{PADDED_ID} as review_id", "ord", "category",
+                        "int((doc_id * 31 + ord * 17) % 101) as confidence"))
 
 
 def categorised(spark: SparkSession, sf_dir: str) -> DataFrame:

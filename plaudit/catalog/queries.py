@@ -217,7 +217,7 @@ def category_grid(spark, sf):
 @query
 def export_stats(spark, sf):
     return metrics.export_stats(fx.reviews(spark, sf)).select(
-        "total", "analysed", round_exact(F.col("avg_rating"), 2).alias("avg_rating"),
+        "total", "analysed", round_exact("avg_rating", 2).alias("avg_rating"),
         day(F.col("first_ts"), "N/A").alias("first_day"), day(F.col("last_ts"), "N/A").alias("last_day"))
 
 
@@ -374,14 +374,14 @@ def _ratios(spark, sf):
 
 @query
 def fn_round2(spark, sf):
-    ratio = F.col("part") / F.col("total")
+    ratio = "part / total"
     return _ratios(spark, sf).select("doc_id", round_exact(ratio, 2).alias("two"), round_exact(ratio, 1).alias("one"),
-                                     percent(F.col("part"), F.col("total")).alias("pct"))
+                                     percent("part", "total").alias("pct"))
 
 
 @query
 def fn_format(spark, sf):
-    ratio = F.col("part") / F.col("total")
+    ratio = "part / total"
     return _ratios(spark, sf).select("doc_id", fixed(ratio, 2, "nan").alias("two"), fixed(ratio, 1, "nan").alias("one"),
                                      tx.plural(F.col("total")).alias("suffix"))
 

@@ -1,52 +1,60 @@
-"""Rounding that agrees with half-even rounding of the exact binary value, and guarded ratios."""
+"""Rounding that agrees with half-even rounding of the exact binary value, and guarded ratios.
+
+Values are SQL expressions over the columns of a row, for instance ``"mean"`` or ``"pos / total"``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_SPLITTER = 134217729.0  # 2**27 + 1, splits a double into two halves whose products are exact
+_SPLITTER = "134217729D"  # 2**27 + 1, splits a double into two halves whose products are exact
 
 
-def round_exact(value: Column, digits: int) -> Column:
+def rounded_sql(value: str, digits: int) -> str:
     """Round to ``digits`` decimals, half even on the exact value of the double.
 
     Spark rounds the shortest decimal text of a double, so 2.675 (stored a little lower) becomes
     2.68. Here the rounding error of ``value * 10**digits`` is computed exactly and decides the
     cases next to a tie.
     """
-    x = F.abs(value.cast("double"))
-    scale = F.lit(2.0 * 10**digits)  # twice the unit: a tie is an odd whole number
-    high = (F.lit(_SPLITTER) * x) - ((F.lit(_SPLITTER) * x) - x)
-    product = x * scale
-    error = (high * scale - product) + (x - high) * scale
-    whole = F.rint(product)
-    beyond = (product - whole) + error
-    near_tie = (whole % 2 == 1) & (F.abs(beyond) < 1e-6)
-    magnitude = (F.when(near_tie & (beyond > 0), (whole + 1) / scale)
-                 .when(near_tie & (beyond < 0), (whole - 1) / scale)
-                 .otherwise(F.bround(x, digits)))
-    return F.when(value < 0, -magnitude).otherwise(magnitude)
-
-
-def fixed(value: Column, digits: int, missing: str) -> Column:
-    """Text with exactly ``digits`` decimals."""
-    return text_or(decimals(value, digits), missing)
+    x = f"abs(double({value}))"
+    scale = f"{2 * 10**digits}D"  # twice the unit: a tie is an odd whole number
+    high = f"({_SPLITTER} * {x} - ({_SPLITTER} * {x} - {x}))"
+    product = f"({x} * {scale})"
+    whole = f"rint({product})"
+    error = f"(({high} * {scale} - {product}) + ({x} - {high}) * {scale})"
+    beyond = f"(({product} - {whole}) + {error})"
+    near_tie = f"{whole} % 2 = 1 and abs({beyond}) < 1e-6D"
+    magnitude = (f"case when {near_tie} and {beyond} > 0 then ({whole} + 1) / {scale} "
+                 f"when {near_tie} and {beyond} < 0 then ({whole} - 1) / {scale} "
+                 f"else bround({x}, {digits}) end")
+    return f"(case when {value} < 0 then -1D else 1D end * {magnitude})"
+
+
+def round_exact(value: str, digits: int) -> Column:
+    return F.expr(rounded_sql(value, digits))
 
 
-def decimals(value: Column, digits: int) -> Column:
-    """Like ``fixed``, but null for null."""
-    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", round_exact(value, digits)))
+def decimals(value: str, digits: int) -> Column:
+    """Text with exactly ``digits`` decimals; null for null."""
+    return F.expr(f"case when ({value}) is not null then "
+                  f"format_string('%.{digits}f', {rounded_sql(value, digits)}) end")
+
+
+def fixed(value: str, digits: int, missing: str) -> Column:
+    """Like ``decimals``, with a text for null."""
+    return text_or(decimals(value, digits), missing)
 
 
 def text_or(value: Column, missing: str) -> Column:
     return F.coalesce(value, F.lit(missing))
 
 
-def percent(part: Column, total: Column) -> Column:
+def percent(part: str, total: str) -> Column:
     """Whole percent, half even; 0 when the total is 0."""
-    return F.coalesce(F.bround(F.try_divide(part, total) * 100), F.lit(0.0)).cast("int")
+    return F.expr(f"cast(coalesce(bround(try_divide({part}, {total}) * 100), 0D) as int)")
 
 
-def fraction(part: Column, total: Column) -> Column:
+def fraction(part: str, total: str) -> Column:
     """Two-decimal fraction; null when the total is 0."""
-    return round_exact(F.try_divide(part, total), 2)
+    return round_exact(f"try_divide({part}, {total})", 2)

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from plaudit.config import NA_TOKENS, Settings
+from plaudit.functions.sql import quoted_list
 from plaudit.functions.text import is_blank, strip
 
 # A decimal number; keeps out what a cast would take besides: 5d, 5f, NaN, Infinity.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def na_to_null(text: Column) -> Column:
-    """Null for the tokens that stand for a missing value."""
-    return F.when(~text.isin(*NA_TOKENS), text)
+def na_to_null(column: str) -> Column:
+    """A text column with null for the tokens that stand for a missing value."""
+    return F.expr(f"case when `{column}` not in ({quoted_list(NA_TOKENS)}) then `{column}` end")
 
 
 def coerce_rating(raw: Column) -> Column:
@@ -37,6 +38,11 @@ def two_way(rating: Column, settings: Settings) -> Column:
     return F.when(is_positive(rating, settings), "pos").when(rating.isNotNull(), "neg")
 
 
+def rated_side(rating: Column, settings: Settings) -> Column:
+    """``two_way`` for rows that all have a rating; never null, so that keys need no null filter."""
+    return F.when(is_positive(rating, settings), "pos").otherwise("neg")
+
+
 def three_way(rating: Column, settings: Settings) -> Column:
     """``pos``, ``neg``, or null for ratings in between and for none."""
     return (F.when(is_positive(rating, settings), "pos")

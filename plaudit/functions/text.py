@@ -18,8 +18,8 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    """True for null, empty or white space only."""
-    return F.coalesce(strip(text) == "", F.lit(True))
+    """True for null, empty or white space only; stops at the first other character."""
+    return F.coalesce(F.ltrim(text, F.lit(WHITESPACE)) == "", F.lit(True))
 
 
 def prefix(text: Column, length: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plaudit.config import DEFAULTS, Settings
-from plaudit.functions.ratings import two_way
+from plaudit.functions.ratings import rated_side
 from plaudit.functions.text import prefix
 from plaudit.operators.months import in_recent_months
 from plaudit.operators.ordinals import running_position
@@ -15,7 +15,7 @@ def bucket_reviews(rated_text: DataFrame, settings: Settings = DEFAULTS) -> Data
     """``(sentiment, month, review_id, review)`` of the most recent months, review cut for prompts."""
     recent = in_recent_months(rated_text, settings.recent_months)
     return recent.select(
-        two_way(F.col("rating"), settings).alias("sentiment"), "month", "review_id",
+        rated_side(F.col("rating"), settings).alias("sentiment"), "month", "review_id",
         prefix(F.col("review"), settings.prompt_chars).alias("review"))
 
 

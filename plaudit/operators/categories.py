@@ -62,8 +62,9 @@ def category_union(categorised: DataFrame) -> DataFrame:
 def first_months(counts: DataFrame, count: int = 2) -> DataFrame:
     """``(sentiment, months)``: the first months of a sentiment as an array, ``count`` long at most."""
     order = Window.partitionBy("sentiment").orderBy("month")
-    kept = (counts.select("sentiment", "month").distinct()
-            .withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= count))
+    # The totals keep the plan equal to the one of the counts, so that their exchange is reused.
+    totals = counts.groupBy("sentiment", "month").agg(F.sum("n").alias("total")).filter(F.col("total") > 0)
+    kept = totals.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= count)
     return kept.groupBy("sentiment").agg(F.array_sort(F.collect_list("month")).alias("months"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaudit.config import DEFAULTS, Settings
 from plaudit.functions.numbers import percent
+from plaudit.functions.sql import quoted
 from plaudit.functions.text import prefix
 from plaudit.operators.joins import latest_per_key, lookup_join
 from plaudit.operators.metrics import negative_total
@@ -52,29 +53,18 @@ def ranked(items: DataFrame, settings: Settings = DEFAULTS,
             .drop("above", "in_level", "level", "span", "group_rows"))
 
 
-def group_column(category: Column, field: int, settings: Settings) -> Column:
+def group_case(field: int, settings: Settings) -> Column:
     """0: order, 1: name, 2: emoji of the first group with a keyword in the lower-cased category."""
-    label, groups = F.lower(category), settings.groups
-    values = [(at, name, emoji) for at, (name, emoji, _) in enumerate(groups, 1)]
-    chosen = None
-    for at, (_, _, keywords) in enumerate(groups[:-1]):
-        test = F.lit(False)
-        for keyword in keywords:
-            test = test | F.contains(label, F.lit(keyword))
-        value = F.lit(values[at][field])
-        chosen = F.when(test, value) if chosen is None else chosen.when(test, value)
-    last = F.lit(values[-1][field])
-    return last if chosen is None else chosen.otherwise(last)
+    values = [(str(at), quoted(name), quoted(emoji)) for at, (name, emoji, _) in enumerate(settings.groups, 1)]
+    cases = [f"when {' or '.join(f'contains(lower(category), {quoted(word)})' for word in words)} then {value[field]}"
+             for value, (_, _, words) in zip(values, settings.groups[:-1]) if words]
+    return F.expr(f"case {' '.join([*cases, 'when true then ' + values[-1][field]])} end")
 
 
 def assign_group(items: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Add ``group_ord, group_name, emoji``."""
-    category = F.col("category")
-    return items.withColumns({
-        "group_ord": group_column(category, 0, settings),
-        "group_name": group_column(category, 1, settings),
-        "emoji": group_column(category, 2, settings),
-    })
+    """Add ``group_ord, group_name, emoji``; what matches no group belongs to the last one."""
+    return items.withColumns({name: group_case(field, settings)
+                              for field, name in enumerate(("group_ord", "group_name", "emoji"))})
 
 
 def group_summary(items: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -87,7 +77,7 @@ def group_share(items: DataFrame, reviews: DataFrame, settings: Settings = DEFAU
     """Groups with their share of all negative reviews in whole percent; may exceed 100."""
     total = negative_total(reviews, settings).scalar()
     return (group_summary(items, settings).withColumn("total_neg", total)
-            .withColumn("pct", percent(F.col("n"), F.col("total_neg"))))
+            .withColumn("pct", percent("n", "total_neg")))
 
 
 def item_ordinals(items: DataFrame, settings: Settings = DEFAULTS,

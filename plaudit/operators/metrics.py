@@ -38,9 +38,9 @@ def platform_stats(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFra
         F.count_if(side == "neg").alias("neg"),
     )
     return counted.select(
-        "source", "total", round_exact(F.col("mean"), 1).alias("avg_rating"),
-        "pos", percent(F.col("pos"), F.col("total")).alias("pos_pct"),
-        "neg", percent(F.col("neg"), F.col("total")).alias("neg_pct"),
+        "source", "total", round_exact("mean", 1).alias("avg_rating"),
+        "pos", percent("pos", "total").alias("pos_pct"),
+        "neg", percent("neg", "total").alias("neg_pct"),
     )
 
 
@@ -61,7 +61,7 @@ def latest_sentiment(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     sides = F.array(*[F.struct(F.lit(side).alias("sentiment"), F.col(side).alias("vol"))
                       for side in ("pos", "neg")])
     return (counted.select("total", F.inline(sides))
-            .select("sentiment", fraction(F.col("vol"), F.col("total")).alias("pct"), "vol"))
+            .select("sentiment", fraction("vol", "total").alias("pct"), "vol"))
 
 
 def monthly_metrics(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -73,7 +73,7 @@ def monthly_metrics(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFram
         F.count_if(kept & positive).alias("pos"),
         F.count_if(kept & ~positive).alias("neg"),
     )
-    return counted.select("month", round_exact(F.col("mean"), 2).alias("avg_rating"), "pos", "neg")
+    return counted.select("month", round_exact("mean", 2).alias("avg_rating"), "pos", "neg")
 
 
 def source_breakdown(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -81,7 +81,7 @@ def source_breakdown(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     recent = in_recent_months(rated, settings.recent_months)
     counted = recent.groupBy("source", "month").agg(
         F.avg("rating").alias("mean"), F.count("*").alias("vol"))
-    return counted.select("source", "month", round_exact(F.col("mean"), 2).alias("avg_rating"), "vol")
+    return counted.select("source", "month", round_exact("mean", 2).alias("avg_rating"), "vol")
 
 
 def without_sources(rows: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -15,6 +15,10 @@ def recent_months(rows: DataFrame, count: int) -> DataFrame:
 
 
 def in_recent_months(rows: DataFrame, count: int, of: DataFrame | None = None) -> DataFrame:
-    """Rows of the most recent months; the broadcast side has ``count`` rows at most."""
-    months = recent_months(rows if of is None else of, count)
-    return rows.join(F.broadcast(months), "month", "left_semi")
+    """Rows of the most recent months: the ones from the earliest of these months on.
+
+    A comparison with a scalar subquery instead of a join, so it is a plain filter at the scan and
+    prunes the folders of a table staged by month.
+    """
+    start = recent_months(rows if of is None else of, count).agg(F.min("month")).scalar()
+    return rows.filter(F.col("month") >= start)

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaudit.config import DEFAULTS, Settings
-from plaudit.functions.ratings import two_way
+from plaudit.functions.ratings import rated_side
+from plaudit.functions.sql import quoted
 from plaudit.functions.text import prefix
 from plaudit.operators.batching import sentiment_batches
 from plaudit.operators.categories import picked
@@ -56,28 +57,31 @@ def _terms(lexicon: Lexicon, label: str) -> dict[str, float]:
     return {term.lower(): weight for name, term, weight in lexicon if name == label}
 
 
-def category_scores(text: Column, labels: Sequence[str], lexicon: Lexicon) -> Column:
-    """Array of ``(confidence, preference, category, ord)``, one per label in order.
+def category_scores(labels: Sequence[str], lexicon: Lexicon) -> str:
+    """SQL of an array of ``(confidence, preference, category, ord)``, one per label in order.
 
-    Confidence is the weight of the label's terms found, in percent of all its weight.
+    Confidence is the weight of the label's terms found, in percent of all its weight. The text is
+    taken from the column ``lowered``, so that it is lower-cased once and not once per term.
     """
-    lowered = F.lower(text)
     scores = []
     for at, label in enumerate(labels):
         terms = _terms(lexicon, label)
-        found = F.lit(0.0)
-        for term, weight in terms.items():
-            found = found + F.when(F.contains(lowered, F.lit(term)), float(weight)).otherwise(0.0)
-        share = found * 100 / float(sum(terms.values()) or 1)
-        scores.append(F.struct(share.cast("int").alias("confidence"), F.lit(-at).alias("preference"),
-                               F.lit(label).alias("category"), F.lit(at).alias("ord")))
-    return F.array(*scores)
+        found = " + ".join(f"if(contains(lowered, {quoted(term)}), {float(weight)}D, 0D)"
+                           for term, weight in terms.items()) or "0D"
+        scores.append(f"struct(cast(({found}) * 100 / {float(sum(terms.values()) or 1)}D as int) as confidence, "
+                      f"{-at} as preference, {quoted(label)} as category, {at} as ord)")
+    return f"array({', '.join(scores)})"
 
 
-def _sided(sentiment: Column, text: Column, lexicons: tuple[Lexicon, Lexicon], settings: Settings) -> Column:
+def _sided(rows: DataFrame, settings: Settings) -> DataFrame:
+    return rows.withColumns({"sentiment": rated_side(F.col("rating"), settings), "lowered": F.lower("review")})
+
+
+def _side_scores(lexicons: tuple[Lexicon, Lexicon], settings: Settings) -> Column:
+    """Scores of the categories of a row's sentiment."""
     positive, negative = lexicons
-    return (F.when(sentiment == "pos", category_scores(text, settings.positive_categories, positive))
-            .otherwise(category_scores(text, settings.negative_categories, negative)))
+    return F.expr(f"case when sentiment = 'pos' then {category_scores(settings.positive_categories, positive)} "
+                  f"else {category_scores(settings.negative_categories, negative)} end")
 
 
 DEFAULT_LEXICONS = (POSITIVE_LEXICON, NEGATIVE_LEXICON)
@@ -86,9 +90,7 @@ DEFAULT_LEXICONS = (POSITIVE_LEXICON, NEGATIVE_LEXICON)
 def score_categories(reviews: DataFrame, lexicons: tuple[Lexicon, Lexicon] = DEFAULT_LEXICONS,
                      settings: Settings = DEFAULTS) -> DataFrame:
     """Confidence of every category of a review's sentiment, from its whole text."""
-    sided = reviews.withColumn("sentiment", two_way(F.col("rating"), settings))
-    scored = sided.select("review_id", "sentiment",
-                          F.inline(_sided(F.col("sentiment"), F.col("review"), lexicons, settings)))
+    scored = _sided(reviews, settings).select("review_id", "sentiment", F.inline(_side_scores(lexicons, settings)))
     return scored.select("review_id", "sentiment", "ord", "category", "confidence")
 
 
@@ -96,12 +98,10 @@ def categorise(rated_text: DataFrame, lexicons: tuple[Lexicon, Lexicon] = DEFAUL
                settings: Settings = DEFAULTS) -> DataFrame:
     """``(sentiment, month, review_id, category)`` of the most recent months.
 
-    Scores and pick stay in the review's own row; only the month semi-join touches other rows.
+    Scores and pick stay in the review's own row: nothing is shuffled.
     """
     recent = in_recent_months(rated_text, settings.recent_months)
-    sided = recent.withColumn("sentiment", two_way(F.col("rating"), settings))
-    best = F.array_max(_sided(F.col("sentiment"), F.col("review"), lexicons, settings))
-    return (sided.withColumn("best", best)
+    return (_sided(recent, settings).withColumn("best", F.array_max(_side_scores(lexicons, settings)))
             .select("sentiment", "month", "review_id", picked(F.col("best"), settings).alias("category")))
 
 
@@ -117,17 +117,21 @@ def score_actionability(reviews: DataFrame, lexicon: Lexicon = ACTIONABLE_LEXICO
     The score is one more than the number of the label's terms found, ``max_score`` at most. The
     list order follows a hash of the review id.
     """
-    lowered, choices = F.lower(F.col("review")), []
+    hits, choices = {}, []
     for at, label in enumerate(settings.actionable_labels):
         terms = list(_terms(lexicon, label))
         if not terms:
             continue
-        hits = F.array_compact(F.array(*[
-            F.when(F.contains(lowered, F.lit(term)), F.lit(term)) for term in terms]))
-        score = F.least(F.lit(settings.max_score), F.size(hits) + 1)
-        choices.append(F.struct(score.alias("score"), F.lit(-at).alias("preference"),
-                                F.lit(label).alias("category"), F.array_join(hits, ", ").alias("reason")))
+        for term in terms:
+            hits.setdefault(term, f"hit_{len(hits)}")
+        found = " + ".join(f"int({hits[term]})" for term in terms)
+        reason = ", ".join(f"if({hits[term]}, {quoted(term)}, null)" for term in terms)
+        choices.append(f"if({found} > 0, struct(least({settings.max_score}, 1 + {found}) as score, {-at} as preference, "
+                       f"{quoted(label)} as category, concat_ws(', ', {reason}) as reason), null)")
     spread = F.conv(prefix(F.md5(F.col("review_id")), hash_digits), 16, 10).cast("long")
-    best = reviews.select("review_id", F.array_max(F.array(*choices)).alias("best"), spread.alias("batch_no"))
-    return best.filter(F.col("best.score") > 1).select(
-        "batch_no", F.lit(0).alias("pos"), "review_id", "best.score", "best.category", "best.reason")
+    tested = (reviews.select("review_id", F.lower("review").alias("lowered"))
+              .selectExpr("review_id", *[f"contains(lowered, {quoted(term)}) as {name}" for term, name in hits.items()]))
+    # One generated row per review keeps the filter from repeating the scoring below it.
+    best = tested.select("review_id", F.expr(f"inline(array(array_max(array({', '.join(choices)}))))"))
+    return best.filter(F.col("score").isNotNull()).select(
+        spread.alias("batch_no"), F.lit(0).alias("pos"), "review_id", "score", "category", "reason")

@@ -17,7 +17,7 @@ def chart_monthly(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Stacked volume and average per month."""
     return monthly_metrics(rated, settings).select(
         "month", month_label(F.col("month")).alias("label"), "pos", "neg", "avg_rating",
-        decimals(F.col("avg_rating"), 2).alias("avg_label"))
+        decimals("avg_rating", 2).alias("avg_label"))
 
 
 def chart_two_sources(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -26,13 +26,13 @@ def chart_two_sources(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFr
     Months are matched by name: a source without reviews in a month has volume 0 and no average.
     Months count over all sources, so the columns come from one conditional aggregation.
     """
-    columns = []
+    counts, shown = [], []
     for name, source in settings.compared_sources:
         own = F.col("source") == source
-        columns += [F.count_if(own).alias(f"{name}_vol"),
-                    round_exact(F.avg(F.when(own, F.col("rating"))), 2).alias(f"{name}_rating")]
-    counted = in_recent_months(rated, settings.recent_months).groupBy("month").agg(*columns)
-    return counted.withColumn("label", month_label(F.col("month")))
+        counts += [F.count_if(own).alias(f"{name}_vol"), F.avg(F.when(own, F.col("rating"))).alias(f"{name}_mean")]
+        shown += [F.col(f"{name}_vol"), round_exact(f"{name}_mean", 2).alias(f"{name}_rating")]
+    counted = in_recent_months(rated, settings.recent_months).groupBy("month").agg(*counts)
+    return counted.select("month", month_label(F.col("month")).alias("label"), *shown)
 
 
 def chart_categories(counts: DataFrame, sentiment: str) -> DataFrame:

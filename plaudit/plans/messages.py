@@ -56,7 +56,7 @@ def main_blocks(reviews: DataFrame, items: DataFrame, summary: DataFrame, source
         summary.select("summary").scalar().alias("summary"))
     numbers = _text(
         "*Stats*\nTotal reviews in export: *", F.col("total"), "*  |  Avg rating: *★ ",
-        fixed(F.col("avg_rating"), 2, settings.missing_text), "*\nDate range: *", day(F.col("first_ts"), UNMATCHED),
+        fixed("avg_rating", 2, settings.missing_text), "*\nDate range: *", day(F.col("first_ts"), UNMATCHED),
         " → ", day(F.col("last_ts"), UNMATCHED), "*\n\n*Per-platform breakdown:*\n", F.col("platforms"))
     themes = _text(":warning: *Most Actionable Themes* (", F.col("groups.flagged"),
                    " flagged) — see threads below\n\n", F.col("groups.lines"))

@@ -63,7 +63,7 @@ def platform_line(up: str, down: str, start: str) -> Column:
 def platform_lines(reviews: DataFrame, settings: Settings = DEFAULTS, chat: bool = False) -> DataFrame:
     """``(source, line)`` for the text report, or for a chat message with ``chat``."""
     stats = platform_stats(reviews, settings).withColumn(
-        "avg_text", fixed(F.col("avg_rating"), 1, settings.missing_text))
+        "avg_text", fixed("avg_rating", 1, settings.missing_text))
     if chat:
         name, marks = _text("  • *", F.col("source"), "*: "), (":thumbsup:", ":thumbsdown:")
     else:
@@ -109,7 +109,7 @@ def report_lines(reviews: DataFrame, analysed: DataFrame, items: DataFrame, summ
         1, "", RULE, f"  {settings.report_title.upper()}",
         f"  Generated: {generated}  |  Source: {source_name}", RULE, "", "STATS",
         _text("  Total reviews in export:          ", F.col("total")),
-        _text("  Avg star rating:                  ★ ", fixed(F.col("avg_rating"), 2, settings.missing_text)),
+        _text("  Avg star rating:                  ★ ", fixed("avg_rating", 2, settings.missing_text)),
         _text("  Date range:                       ", day(F.col("first_ts"), UNMATCHED), " → ",
               day(F.col("last_ts"), UNMATCHED)),
         "", "  Per-platform breakdown:")))

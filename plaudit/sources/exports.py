@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plaudit.config import DEFAULTS, EXPORT_COLUMNS, Settings
 from plaudit.functions.dates import month_key
@@ -31,17 +31,21 @@ def write_export(raw: DataFrame, path: str) -> None:
                                   ignoreTrailingWhiteSpace=False, **CSV_QUOTING)
 
 
+def _month(raw: DataFrame) -> Column:
+    """The month column of a staged table, which prunes its folders, else the date's first part."""
+    return F.coalesce("month", F.lit("")) if "month" in raw.columns else month_key(F.col("published"))
+
+
 def coerced(raw: DataFrame) -> DataFrame:
     """All rows, tolerant dialect: missing-value tokens and bad ratings become null."""
-    names = [name for _, name in EXPORT_COLUMNS]
-    cleaned = raw.select(*[na_to_null(F.col(name)).alias(name) for name in names if name in raw.columns])
-    return (cleaned.withColumn("rating", coerce_rating(F.col("rating_raw")))
-            .withColumn("month", month_key(F.col("published"))))
+    cleaned = [na_to_null(name).alias(name) for _, name in EXPORT_COLUMNS if name in raw.columns]
+    return (raw.select(*cleaned, _month(raw).alias("month"))
+            .withColumn("rating", coerce_rating(F.col("rating_raw"))))
 
 
 def rejected_ratings(raw: DataFrame) -> DataFrame:
     """Rows whose rating is given but is not a number; the tolerant dialect counts them as unrated."""
-    given = na_to_null(F.col("rating_raw"))
+    given = na_to_null("rating_raw")
     return raw.filter(given.isNotNull() & ~is_blank(given) & coerce_rating(given).isNull())
 
 
@@ -60,7 +64,7 @@ def rated_text(raw: DataFrame) -> DataFrame:
         "review_id",
         strip(F.col("review")).alias("review"),
         F.when(usable, strict_rating(F.col("rating_raw"))).alias("rating"),
-        month_key(F.col("published")).alias("month"),
+        _month(raw).alias("month"),
     )
 
 
@@ -68,7 +72,7 @@ def rated(raw: DataFrame) -> DataFrame:
     """Strict dialect: ``(month, rating, source)`` of rows with any rating; text does not matter."""
     given = F.coalesce(F.length("rating_raw") > 0, F.lit(False))
     return raw.filter(given).select(
-        month_key(F.col("published")).alias("month"),
+        _month(raw).alias("month"),
         F.when(given, strict_rating(F.col("rating_raw"))).alias("rating"),
         F.coalesce(F.col("source"), F.lit("")).alias("source"),
     )
