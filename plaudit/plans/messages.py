@@ -5,35 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaudit.config import DEFAULTS, Settings
-from plaudit.functions.dates import day
-from plaudit.functions.numbers import fixed
+from plaudit.functions.sql import filled
 from plaudit.functions.text import plural
 from plaudit.operators.bounds import at_most
 from plaudit.operators.items import (
-    group_share, group_summary, in_group_order, assign_group, review_lookup, top_item_per_group, with_reviews)
-from plaudit.operators.metrics import export_stats
+    assign_group, group_share, group_summary, in_group_order, review_lookup, top_item_per_group, with_reviews)
 from plaudit.plans.decode import themes_sentence
-from plaudit.plans.report import (
-    UNKNOWN_AUTHOR, UNMATCHED, _text, given, item_bar, platform_lines, shown, shown_link, shown_stars, shown_text)
+from plaudit.plans.report import UNKNOWN_AUTHOR, platform_lines, shown_items, shown_stats
 
 MAX_SOURCES = 10_000
 
+BLOCK = ("struct<type:string,text:struct<type:string,text:string,emoji:boolean>,"
+         "elements:array<struct<type:string,text:string>>>")
 
-def _block(kind: str, text: Column | None = None, style: str = "mrkdwn", emoji: bool = False,
-           context: Column | None = None) -> Column:
-    """One block; fields it does not use are null and left out of the JSON."""
-    text_type, element_type = "struct<type:string,text:string,emoji:boolean>", "array<struct<type:string,text:string>>"
-    inner = F.lit(None).cast(text_type) if text is None else F.struct(
-        F.lit(style).alias("type"), text.alias("text"),
-        (F.lit(True) if emoji else F.lit(None).cast("boolean")).alias("emoji")).cast(text_type)
-    elements = F.lit(None).cast(element_type) if context is None else F.array(
-        F.struct(F.lit("mrkdwn").alias("type"), context.alias("text"))).cast(element_type)
-    return F.struct(F.lit(kind).alias("type"), inner.alias("text"), elements.alias("elements"))
 
+def blocks_json(*blocks: str) -> Column:
+    """JSON of a list of blocks, given as SQL structs; fields that are null are left out."""
+    return F.expr(f"to_json(array({', '.join(f'cast({block} as {BLOCK})' for block in blocks)}))")
 
-def section_json(text: Column) -> Column:
+
+def text_block(kind: str, column: str, style: str = "mrkdwn", emoji: str = "null") -> str:
+    return f"struct('{kind}', struct('{style}', {column}, {emoji}), null)"
+
+
+DIVIDER = "struct('divider', null, null)"
+
+
+def context_block(column: str) -> str:
+    return f"struct('context', null, array(struct('mrkdwn', {column})))"
+
+
+def section_json(column: str) -> Column:
     """A single text section as JSON."""
-    return F.to_json(F.array(_block("section", text)))
+    return blocks_json(text_block("section", column))
+
+
+def main_summary(summaries: DataFrame, themes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """One row: the summary of a single batch, or the most frequent themes over several batches."""
+    frequent = themes_sentence(themes, settings).scalar()
+    return summaries.agg(F.when(F.count("*") == 1, F.min("summary")).otherwise(frequent).alias("summary"))
 
 
 def main_blocks(reviews: DataFrame, items: DataFrame, summary: DataFrame, source_name: str,
@@ -43,30 +53,31 @@ def main_blocks(reviews: DataFrame, items: DataFrame, summary: DataFrame, source
     ``summary`` has one row with the column ``summary``. The platform lines are one per source,
     which is checked, the group lines one per configured group.
     """
-    lines = at_most(platform_lines(reviews, settings, chat=True), "source", MAX_SOURCES)
-    platforms = lines.agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("source", "line"))), lambda row: row["line"]), "\n")).scalar()
-    group_line = _text(F.col("emoji"), "  *", F.col("group_name"), "*: ", F.col("n"), " reviews")
-    groups = group_summary(items, settings).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("flagged"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group_ord", group_line.alias("line")))),
-                                 lambda row: row["line"]), "\n").alias("lines"))
-    gathered = export_stats(reviews, settings).select(
-        "*", platforms.alias("platforms"), groups.select(F.struct("flagged", "lines")).scalar().alias("groups"),
-        summary.select("summary").scalar().alias("summary"))
-    numbers = _text(
-        "*Stats*\nTotal reviews in export: *", F.col("total"), "*  |  Avg rating: *★ ",
-        fixed("avg_rating", 2, settings.missing_text), "*\nDate range: *", day(F.col("first_ts"), UNMATCHED),
-        " → ", day(F.col("last_ts"), UNMATCHED), "*\n\n*Per-platform breakdown:*\n", F.col("platforms"))
-    themes = _text(":warning: *Most Actionable Themes* (", F.col("groups.flagged"),
-                   " flagged) — see threads below\n\n", F.col("groups.lines"))
-    blocks = F.array(
-        _block("header", F.lit(settings.report_title), style="plain_text", emoji=True),
-        _block("context", context=F.lit(f"Generated {generated}  |  Source: `{source_name}`")),
-        _block("divider"), _block("section", numbers), _block("divider"), _block("section", themes),
-        _block("divider"), _block("section", F.lit(":bar_chart: *Sentiment Summary — Recurring Themes*")),
-        _block("section", F.coalesce("summary", F.lit(""))))
-    return gathered.select(F.to_json(blocks).alias("blocks_json"))
+    def joined(order: str) -> Column:
+        lines = F.array_sort(F.collect_list(F.struct(order, "line")))
+        return F.array_join(F.transform(lines, lambda row: row["line"]), "\n")
+
+    sources = at_most(platform_lines(reviews, settings, chat=True), "source", MAX_SOURCES)
+    groups = group_summary(items, settings).withColumn("line", filled("{emoji}  *{group_name}*: {n} reviews"))
+    flagged = groups.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined("group_ord").alias("lines")))
+    gathered = shown_stats(reviews, settings).select(
+        "*", sources.agg(joined("source")).scalar().alias("platforms"), flagged.scalar().alias("flagged"),
+        F.coalesce(summary.select("summary").scalar(), F.lit("")).alias("summary"))
+    texts = gathered.select(
+        "*", F.col("flagged.n").alias("flagged_n"), F.col("flagged.lines").alias("group_lines"),
+    ).select(
+        "summary", F.lit(settings.report_title).alias("title"),
+        F.lit(f"Generated {generated}  |  Source: `{source_name}`").alias("origin"),
+        filled("*Stats*\nTotal reviews in export: *{total}*  |  Avg rating: *★ {avg_text}*\n"
+               "Date range: *{first_day} → {last_day}*\n\n*Per-platform breakdown:*\n{platforms}").alias("numbers"),
+        filled(":warning: *Most Actionable Themes* ({flagged_n} flagged) — see threads below\n\n{group_lines}")
+        .alias("themes"),
+        F.lit(":bar_chart: *Sentiment Summary — Recurring Themes*").alias("summary_title"))
+    return texts.select(blocks_json(
+        text_block("header", "title", style="plain_text", emoji="true"), context_block("origin"),
+        DIVIDER, text_block("section", "numbers"), DIVIDER, text_block("section", "themes"),
+        DIVIDER, text_block("section", "summary_title"), text_block("section", "summary"),
+    ).alias("blocks_json"))
 
 
 def category_headers(reviews: DataFrame, analysed: DataFrame, items: DataFrame,
@@ -76,38 +87,30 @@ def category_headers(reviews: DataFrame, analysed: DataFrame, items: DataFrame,
     There is one example per configured group, so the review table is reduced by a broadcast of
     these few ids before anything is shuffled.
     """
-    top = top_item_per_group(items, settings).select("group_ord", "review_id")
+    top = top_item_per_group(items, settings)
     ids = F.broadcast(top.select("review_id").distinct().limit(len(settings.groups)))
     found = review_lookup(analysed.join(ids, "review_id", "left_semi"), settings)
-    examples = (top.join(found.withColumn("matched", F.lit(True)), "review_id", "left")
-                .withColumn("matched", F.coalesce("matched", F.lit(False)))
-                .select("group_ord", shown_text(settings).alias("example"),
-                        shown("author", UNKNOWN_AUTHOR, settings).alias("by")))
-    text = _text(F.col("emoji"), " *", F.col("group_name"), "* — ", F.col("n"), " actionable review",
-                 plural(F.col("n")), " (", F.col("pct"), "% of negative reviews)\n\n_Example: \"",
-                 F.col("example"), "\" — ", F.col("by"), "_")
-    return (group_share(items, reviews, settings).join(examples, "group_ord")
-            .select("group_ord", "group_name", "n", "pct", text.alias("text")))
+    joined = (top.join(found.withColumn("matched", F.lit(True)), "review_id", "left")
+              .withColumn("matched", F.coalesce("matched", F.lit(False))))
+    examples = shown_items(joined, settings).select(
+        "group_ord", "shown_text",
+        F.when(F.col("matched"), F.col("shown_author")).otherwise(UNKNOWN_AUTHOR).alias("by"))
+    headers = group_share(items, reviews, settings).join(examples, "group_ord").withColumn("s", plural(F.col("n")))
+    text = filled("{emoji} *{group_name}* — {n} actionable review{s} ({pct}% of negative reviews)\n\n"
+                  "_Example: \"{shown_text}\" — {by}_")
+    return headers.select("group_ord", "group_name", "n", "pct", text.alias("text"))
 
 
 def item_blocks(analysed: DataFrame, items: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``(group_ord, group_item_no, category, text)`` per item, numbered within its group."""
     placed = in_group_order(assign_group(items, settings))
-    link = shown_link(settings)
-    text = _text(
-        "*[", F.col("group_item_no"), "] ", given("category"), "*  `", given("score", "0"),
-        f"/{settings.max_score}  ", item_bar(), "`\n*Source:* ", shown("source", UNMATCHED, settings), "  |  *Rating:* ",
-        shown_stars(), "  |  *Author:* ", shown("author", UNMATCHED, settings), "\n*Why actionable:* ",
-        given("reason"), "\n_", shown_text(settings), "_",
-        F.when(link.isNotNull(), F.concat(F.lit("\n<"), link, F.lit("|View review>"))).otherwise(""))
-    return (with_reviews(placed, analysed, settings)
-            .select("group_ord", "group_item_no", "category", text.alias("text")))
-
-
-def main_summary(summaries: DataFrame, themes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row: the summary of a single batch, or the most frequent themes over several batches."""
-    frequent = themes_sentence(themes, settings).scalar()
-    return summaries.agg(F.when(F.count("*") == 1, F.min("summary")).otherwise(frequent).alias("summary"))
+    shown = shown_items(with_reviews(placed, analysed, settings), settings).withColumn(
+        "link_line", F.coalesce(filled("\n<{link}|View review>"), F.lit("")))
+    text = filled(
+        "*[{group_item_no}] {shown_category}*  `{shown_score}/{top}  {bar}`\n"
+        "*Source:* {shown_source}  |  *Rating:* {shown_stars}  |  *Author:* {shown_author}\n"
+        "*Why actionable:* {shown_reason}\n_{shown_text}_{link_line}", top=settings.max_score)
+    return shown.select("group_ord", "group_item_no", "category", text.alias("text"))
 
 
 def message_stream(reviews: DataFrame, analysed: DataFrame, items: DataFrame, summaries: DataFrame,
@@ -120,22 +123,19 @@ def message_stream(reviews: DataFrame, analysed: DataFrame, items: DataFrame, su
     most frequent themes, and the batches' summaries are replies to it, so that none is lost and
     no message grows with the data.
     """
-    none = F.lit(None).cast("int")
     summary = main_summary(summaries, themes, settings)
-    main = main_blocks(reviews, items, summary, source_name, generated, settings).select(
-        F.lit(0).alias("group_ord"), F.lit(0).cast("long").alias("item_ord"), none.alias("parent_ord"),
-        F.lit(settings.report_title).alias("text"), "blocks_json")
+    main = (main_blocks(reviews, items, summary, source_name, generated, settings)
+            .withColumn("text", F.lit(settings.report_title))
+            .selectExpr("0 as group_ord", "0L as item_ord", "int(null) as parent_ord", "text", "blocks_json"))
     told = summaries.filter(summaries.agg(F.count("*")).scalar() > 1).select(
         F.lit(0).alias("group_ord"), F.col("batch_no").alias("item_ord"), F.lit(0).alias("parent_ord"),
-        _text("Summary ", F.col("batch_no")).alias("text"),
-        section_json(F.col("summary")).alias("blocks_json"))
+        filled("Summary {batch_no}").alias("text"), section_json("summary").alias("blocks_json"))
     headers = category_headers(reviews, analysed, items, settings).select(
-        "group_ord", F.lit(0).cast("long").alias("item_ord"), none.alias("parent_ord"),
-        _text(F.col("group_name"), " (", F.col("n"), " reviews)").alias("text"),
-        section_json(F.col("text")).alias("blocks_json"))
-    replies = item_blocks(analysed, items, settings).select(
-        "group_ord", F.col("group_item_no").alias("item_ord"), F.col("group_ord").alias("parent_ord"),
-        _text("[", F.col("group_item_no"), "] ", given("category")).alias("text"),
-        section_json(F.col("text")).alias("blocks_json"))
+        "group_ord", F.expr("0L as item_ord"), F.expr("int(null) as parent_ord"),
+        filled("{group_name} ({n} reviews)").alias("text"), section_json("text").alias("blocks_json"))
+    replies = (item_blocks(analysed, items, settings).withColumn("category", F.coalesce("category", F.lit("")))
+               .select("group_ord", F.col("group_item_no").alias("item_ord"), F.col("group_ord").alias("parent_ord"),
+                       filled("[{group_item_no}] {category}").alias("text"),
+                       section_json("text").alias("blocks_json")))
     posted = main.unionByName(told).unionByName(headers).unionByName(replies)
     return posted.withColumns({"unfurl_links": F.lit(False), "unfurl_media": F.lit(False)})

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plaudit.config import DEFAULTS, Settings
 from plaudit.functions.dates import day
-from plaudit.functions.numbers import fixed, text_or
+from plaudit.functions.numbers import fixed
 from plaudit.functions.ratings import review_link
+from plaudit.functions.sql import filled, quoted
 from plaudit.functions.text import score_bar, snippet, stars
 from plaudit.operators.items import ranked, with_reviews
 from plaudit.operators.metrics import export_stats, platform_stats
@@ -22,78 +23,66 @@ UNMATCHED = "N/A"
 UNKNOWN_RATING = "?"
 UNKNOWN_AUTHOR = "Unknown"
 
+REPORT_PLATFORM = "    {source}: {total} reviews  |  ★ avg {avg_text}  |  👍 {pos} ({pos_pct}%)  👎 {neg} ({neg_pct}%)"
+CHAT_PLATFORM = ("  • *{source}*: {total} reviews  |  ★ avg {avg_text}  |  :thumbsup: {pos} ({pos_pct}%)"
+                 "  :thumbsdown: {neg} ({neg_pct}%)")
 
-def shown(name: str, unmatched: str, settings: Settings) -> Column:
-    """A text field of the matched review."""
-    return F.when(F.col("matched"), text_or(F.col(name), settings.missing_text)).otherwise(F.lit(unmatched))
-
-
-def shown_stars() -> Column:
-    return F.when(F.col("matched"), text_or(stars(F.col("rating")), UNKNOWN_RATING)).otherwise(F.lit(UNKNOWN_RATING))
-
-
-def shown_text(settings: Settings) -> Column:
-    return snippet(shown("review", "", settings), settings.snippet_chars)
-
-
-def shown_link(settings: Settings) -> Column:
-    """Null when there is nothing to link to."""
-    return review_link(F.col("source"), F.col("review_id"), F.col("url"), settings)
-
-
-def given(name: str, missing: str = "") -> Column:
-    """A field of the item itself."""
-    return text_or(F.col(name).cast("string"), missing)
-
-
-def item_bar() -> Column:
-    return score_bar(F.coalesce("score", F.lit(0)))
 
+def platform_lines(reviews: DataFrame, settings: Settings = DEFAULTS, chat: bool = False) -> DataFrame:
+    """``(source, line)`` for the text report, or for a chat message with ``chat``."""
+    stats = platform_stats(reviews, settings).withColumn(
+        "avg_text", fixed("avg_rating", 1, settings.missing_text))
+    return stats.select("source", filled(CHAT_PLATFORM if chat else REPORT_PLATFORM).alias("line"))
 
-def _text(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(part) if isinstance(part, str) else part.cast("string") for part in parts])
 
+def shown_stats(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """``export_stats`` with the mean and the dates as text."""
+    return export_stats(reviews, settings).select(
+        "total", fixed("avg_rating", 2, settings.missing_text).alias("avg_text"),
+        day(F.col("first_ts"), UNMATCHED).alias("first_day"), day(F.col("last_ts"), UNMATCHED).alias("last_day"))
 
-def platform_line(up: str, down: str, start: str) -> Column:
-    """One source's line over a row of ``platform_stats``."""
-    return _text(start, F.col("total"), " reviews  |  ★ avg ", F.col("avg_text"), f"  |  {up} ", F.col("pos"),
-                 " (", F.col("pos_pct"), f"%)  {down} ", F.col("neg"), " (", F.col("neg_pct"), "%)")
 
+def shown_items(joined: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Items joined to their reviews, with every field as a report shows it; only ``link`` may be null."""
+    def field(name: str, unmatched: str) -> Column:
+        return F.expr(f"if(matched, coalesce({name}, {quoted(settings.missing_text)}), {quoted(unmatched)})")
 
-def platform_lines(reviews: DataFrame, settings: Settings = DEFAULTS, chat: bool = False) -> DataFrame:
-    """``(source, line)`` for the text report, or for a chat message with ``chat``."""
-    stats = platform_stats(reviews, settings).withColumn(
-        "avg_text", fixed("avg_rating", 1, settings.missing_text))
-    if chat:
-        name, marks = _text("  • *", F.col("source"), "*: "), (":thumbsup:", ":thumbsdown:")
-    else:
-        name, marks = _text("    ", F.col("source"), ": "), ("👍", "👎")
-    return stats.select("source", F.concat(name, platform_line(*marks, start="")).alias("line"))
+    score = F.coalesce("score", F.lit(0))
+    return joined.withColumns({
+        "shown_score": score,
+        "bar": score_bar(score),
+        "shown_category": F.coalesce("category", F.lit("")),
+        "shown_reason": F.coalesce("reason", F.lit("")),
+        "shown_source": field("source", UNMATCHED),
+        "shown_author": field("author", UNMATCHED),
+        "shown_date": field("published", UNMATCHED),
+        "shown_stars": F.coalesce(stars(F.col("rating")), F.lit(UNKNOWN_RATING)),
+        "shown_text": snippet(field("review", ""), settings.snippet_chars),
+        "link": review_link(F.col("source"), F.col("review_id"), F.col("url"), settings),
+    })
 
 
 def _lines(section: int, *lines: str | Column) -> Column:
     """Numbered lines of one section as an array of rows."""
-    return F.array(*[F.struct(F.lit(section).alias("section_ord"), F.lit("").alias("sort_text"),
-                              F.lit(at).cast("long").alias("line_ord"),
-                              (F.lit(line) if isinstance(line, str) else line).alias("line"))
-                     for at, line in enumerate(lines)])
+    texts = F.array(*[F.lit(line) if isinstance(line, str) else line for line in lines])
+    return F.transform(texts, lambda line, at: F.struct(
+        F.lit(section).alias("section_ord"), F.lit("").alias("sort_text"),
+        at.cast("long").alias("line_ord"), line.alias("line")))
 
 
 def item_lines(items: DataFrame, reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``(item_no, line_no, line)``: six or seven lines per item, highest score first."""
-    joined = with_reviews(ranked(items, settings), reviews, settings)
+    shown = shown_items(with_reviews(ranked(items, settings), reviews, settings), settings)
     lines = F.array(
         F.lit(""),
-        _text("  [", F.col("item_no"), "] Actionability: ", given("score", "0"), f"/{settings.max_score}  ",
-              item_bar(), "  |  ", given("category")),
-        _text("      Source: ", shown("source", UNMATCHED, settings), "  |  Rating: ", shown_stars(),
-              "  |  Author: ", shown("author", UNMATCHED, settings)),
-        _text("      Date:   ", shown("published", UNMATCHED, settings)),
-        _text("      WHY:    ", given("reason")),
-        _text("      Review: \"", shown_text(settings), "\""),
-        _text("      URL:    ", shown_link(settings)),
+        filled("  [{item_no}] Actionability: {shown_score}/{top}  {bar}  |  {shown_category}", top=settings.max_score),
+        filled("      Source: {shown_source}  |  Rating: {shown_stars}  |  Author: {shown_author}"),
+        filled("      Date:   {shown_date}"),
+        filled("      WHY:    {shown_reason}"),
+        filled("      Review: \"{shown_text}\""),
+        filled("      URL:    {link}"),
     )
-    return (joined.select("item_no", F.posexplode(lines).alias("line_no", "line"))
+    return (shown.select("item_no", F.posexplode(lines).alias("line_no", "line"))
             .filter(F.col("line").isNotNull()))
 
 
@@ -104,28 +93,23 @@ def report_lines(reviews: DataFrame, analysed: DataFrame, items: DataFrame, summ
     ``reviews`` are all rows of the export, ``analysed`` the ones items may refer to. With several
     batches every summary is a line of its own. ``generated`` is the run time as text.
     """
-    stats = export_stats(reviews, settings)
-    head = stats.select(F.inline(_lines(
+    head = shown_stats(reviews, settings).select(F.inline(_lines(
         1, "", RULE, f"  {settings.report_title.upper()}",
         f"  Generated: {generated}  |  Source: {source_name}", RULE, "", "STATS",
-        _text("  Total reviews in export:          ", F.col("total")),
-        _text("  Avg star rating:                  ★ ", fixed("avg_rating", 2, settings.missing_text)),
-        _text("  Date range:                       ", day(F.col("first_ts"), UNMATCHED), " → ",
-              day(F.col("last_ts"), UNMATCHED)),
+        filled("  Total reviews in export:          {total}"),
+        filled("  Avg star rating:                  ★ {avg_text}"),
+        filled("  Date range:                       {first_day} → {last_day}"),
         "", "  Per-platform breakdown:")))
-    platforms = platform_lines(reviews, settings).select(
-        F.lit(2).alias("section_ord"), F.col("source").alias("sort_text"),
-        F.lit(0).cast("long").alias("line_ord"), "line")
-    flagged = items.agg(F.count("*").alias("n")).select(F.inline(F.concat(
-        _lines(3, "", RULE, _text("  MOST ACTIONABLE THEMES  (", F.col("n"), " flagged)"), RULE),
-        F.when(F.col("n") == 0, _lines(4, "", "  No actionable items identified.", ""))
-        .otherwise(F.array()))))
-    listed = item_lines(items, analysed, settings).select(
-        F.lit(4).alias("section_ord"), F.lit("").alias("sort_text"),
-        (F.col("item_no") * 10 + F.col("line_no")).alias("line_ord"), "line")
-    closing = stats.select(F.inline(F.concat(
+    platforms = platform_lines(reviews, settings).selectExpr(
+        "2 as section_ord", "source as sort_text", "0L as line_ord", "line")
+    flagged = items.agg(F.count("*").alias("n")).select("n", F.inline(F.concat(
+        _lines(3, "", RULE, filled("  MOST ACTIONABLE THEMES  ({n} flagged)"), RULE),
+        _lines(4, "", "  No actionable items identified.", ""),
         _lines(5, "", RULE, "  SENTIMENT SUMMARY — Recurring Themes", RULE, ""),
         _lines(7, "", RULE, ""))))
+    frame = flagged.filter("n = 0 or section_ord <> 4").drop("n")
+    listed = item_lines(items, analysed, settings).selectExpr(
+        "4 as section_ord", "'' as sort_text", "item_no * 10 + line_no as line_ord", "line")
     told = summaries.select(F.lit(6).alias("section_ord"), F.lit("").alias("sort_text"),
-                            F.col("batch_no").alias("line_ord"), _text("  ", F.col("summary")).alias("line"))
-    return reduce(DataFrame.unionByName, [head, platforms, flagged, listed, closing, told])
+                            F.col("batch_no").alias("line_ord"), filled("  {summary}").alias("line"))
+    return reduce(DataFrame.unionByName, [head, platforms, frame, listed, told])
