@@ -16,28 +16,24 @@ def latest_per_key(rows: DataFrame, key: str, latest: list[str | Column]) -> Dat
     return rows.withColumn("nth", F.row_number().over(position)).filter("nth = 1").drop("nth")
 
 
-def hot_keys(rows: DataFrame, key: str, at_least: int) -> DataFrame:
-    """Most frequent keys with at least that many rows, ``HOT_KEYS`` at most."""
-    return (rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-            .filter(F.col("n") >= at_least).orderBy(F.desc("n"), key).limit(HOT_KEYS)
-            .select(key, F.lit(True).alias("hot")))
-
-
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, spread: list[str],
                 at_least: int = 1_000_000, salts: int = 64) -> DataFrame:
     """``rows`` left join ``table`` on ``key``, with ``matched``; ``table`` has a key once.
 
-    Frequent keys, and rows without a key, are spread over ``salts`` partitions by the columns
-    ``spread``; only the few table rows of frequent keys are repeated. Keys beyond the ``HOT_KEYS``
-    most frequent take the ordinary way.
+    The keys of ``rows`` are counted first. The table is reduced to these keys, and the rows of
+    keys that occur ``at_least`` times are repeated once per salt. On the other side such keys, and
+    rows without a key, are spread over the salts by the columns ``spread``. The list of frequent
+    keys sent to all tasks has ``HOT_KEYS`` entries at most; keys beyond it join with salt 0.
     """
-    frequent = F.broadcast(hot_keys(rows, key, at_least))
-    salted = rows.join(frequent, key, "left").withColumn(
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("uses"))
+    frequent = (counts.filter(F.col("uses") >= at_least).orderBy(F.desc("uses"), key).limit(HOT_KEYS)
+                .select(key, F.lit(True).alias("hot")))
+    none = F.lit(0).cast("long")
+    salted = rows.join(F.broadcast(frequent), key, "left").withColumn(
         "salt", F.when(F.col("hot") | F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(salts)))
-        .otherwise(F.lit(0).cast("long"))).drop("hot")
-    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    one = F.array(F.lit(0).cast("long"))
-    repeated = table.join(frequent, key, "left").withColumn(
-        "salt", F.explode(F.when(F.col("hot"), every).otherwise(one))).drop("hot")
+        .otherwise(none)).drop("hot")
+    every = F.sequence(none, F.lit(salts - 1).cast("long"))
+    repeated = table.join(counts, key).withColumn(
+        "salt", F.explode(F.when(F.col("uses") >= at_least, every).otherwise(F.array(none)))).drop("uses")
     return (salted.join(repeated.withColumn("matched", F.lit(True)), [key, "salt"], "left")
             .withColumn("matched", F.coalesce("matched", F.lit(False))).drop("salt"))

@@ -13,7 +13,9 @@ ANALYSIS = ("summary string, theme_counts map<string,int>, actionable_items arra
 
 
 def parse_analysis(responses: DataFrame) -> DataFrame:
-    """``(batch_no, response, answer)`` of ``(batch_no, response)``."""
+    """``(batch_no, response, answer)`` of ``(batch_no, response)``; parsed answers pass as they are."""
+    if "answer" in responses.columns:
+        return responses
     answer = F.from_json(fenced_json(F.col("response")), ANALYSIS,
                          {"columnNameOfCorruptRecord": "malformed"})
     return responses.select("batch_no", "response", answer.alias("answer"))

@@ -12,12 +12,13 @@ from plaudit.operators.categories import category_counts
 from plaudit.operators.items import actionable, in_score_range
 from plaudit.plans.charts import chart_categories, chart_monthly, chart_two_sources
 from plaudit.plans.decode import (
-    decode_analysis, decode_categories, rejected_categories, rejected_responses, summaries, theme_counts)
+    decode_analysis, decode_categories, parse_analysis, rejected_categories, rejected_responses, summaries, theme_counts)
 from plaudit.plans.messages import message_stream
 from plaudit.plans.prompts import analysis_prompts, categorise_prompts
 from plaudit.plans.report import report_lines
 from plaudit.plans.responder import Responder, answered
 from plaudit.sources.exports import analysable, coerced, rated, rated_text
+from plaudit.sources.staging import written
 
 
 @dataclass(frozen=True)
@@ -35,11 +36,12 @@ def analyse(spark: SparkSession, raw: DataFrame, responder: Responder, store: st
     """Flag actionable reviews of an export and lay out the report.
 
     ``raw`` comes from ``read_export`` or, for large exports, from a staged table. Everything after
-    the responder starts from the stored answers.
+    the responder starts from the stored answers, which are parsed once.
     """
     reviews = coerced(raw)
     analysed = analysable(reviews, settings)
-    responses = answered(spark, analysis_prompts(analysed, settings), responder, store)
+    answers = answered(spark, analysis_prompts(analysed, settings), responder, store)
+    responses = written(spark, parse_analysis(answers), "answers")
     found = decode_analysis(responses)
     items = actionable(found.filter(in_score_range(settings)), settings)
     told, themes = summaries(responses), theme_counts(responses)

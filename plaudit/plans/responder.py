@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from plaudit.sources.staging import written
+
 Responder = Callable[[str], str]
 
 STORED = "prompt_hash string, response string"
@@ -36,14 +38,19 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], STORED)
 
 
-def answered(spark: SparkSession, prompts: DataFrame, responder: Responder, store: str) -> DataFrame:
+def answered(spark: SparkSession, prompts: DataFrame, responder: Responder, store: str,
+             parallelism: int | None = None) -> DataFrame:
     """Prompts with their responses, asking only for prompts the store does not know yet.
 
-    ``store`` is a Parquet folder all executors reach. Answers are written before they are used, so
-    decoding never asks again and a rerun after a failure goes on with what is missing.
+    The prompts are written to the shared folder first, so they are built once, and ``response``
+    takes the place of their text in the result. ``store`` is a Parquet folder all executors reach.
+    Answers are written before they are used, so decoding never asks again and a rerun after a
+    failure goes on with what is missing. ``parallelism`` is the number of tasks that ask.
     """
-    missing = (prompts.join(_stored(spark, store), "prompt_hash", "left_anti")
-               .select("prompt_hash", "prompt").dropDuplicates(["prompt_hash"]))
+    asked = written(spark, prompts, "prompts")
+    missing = asked.join(_stored(spark, store), "prompt_hash", "left_anti").select("prompt_hash", "prompt")
+    if parallelism:
+        missing = missing.repartition(parallelism, "prompt_hash")
     ask(missing, responder).select("prompt_hash", "response").write.mode("append").parquet(store)
     known = _stored(spark, store).groupBy("prompt_hash").agg(F.min("response").alias("response"))
-    return prompts.join(known, "prompt_hash", "left")
+    return asked.drop("prompt").join(known, "prompt_hash", "left")

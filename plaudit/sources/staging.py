@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from plaudit.session import scratch_path
+
 STAGED = T.StructType([
     T.StructField("review_id", T.StringType()),
     T.StructField("published", T.StringType()),
@@ -27,3 +29,10 @@ def write_staged(reviews: DataFrame, path: str, mode: str = "error") -> None:
 def read_staged(spark: SparkSession, path: str) -> DataFrame:
     """The schema is given, so that a month stays text and is not taken for a date."""
     return spark.read.schema(STAGED).parquet(path)
+
+
+def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: computed once, safe from lost executors."""
+    path = scratch_path(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
