@@ -219,45 +219,31 @@ CTES = {
             || case when link is not null then chr(10) || '<' || link || '|View review>' else '' end as text
         from joined""",
     "themes": "select category as theme, cast(count(*) as bigint) as n from items group by category",
-    "main": f"""
-        select '[{{"type":"header","text":{{"type":"plain_text","text":"{DEFAULTS.report_title}","emoji":true}}}},'
-            || '{{"type":"context","elements":[{{"type":"mrkdwn","text":"Generated {fx.RUN_TIME}  |  Source: `{fx.EXPORT_NAME}`"}}]}},'
-            || '{{"type":"divider"}},' || section('*Stats*' || chr(10) || 'Total reviews in export: *' || total
-                || '*  |  Avg rating: *★ ' || {fixed('mean', 2)} || '*' || chr(10) || 'Date range: *' || first_day || ' → '
-                || last_day || '*' || chr(10) || chr(10) || '*Per-platform breakdown:*' || chr(10)
-                || (select string_agg('  • *' || source || '*: ' || replace(replace(stats, 'UP', ':thumbsup:'), 'DOWN', ':thumbsdown:'),
-                    chr(10) order by source) from platform_text))
-            || ',{{"type":"divider"}},' || section(':warning: *Most Actionable Themes* (' || (select count(*) from found)
-                || ' flagged) — see threads below' || chr(10) || chr(10)
-                || (select string_agg(emoji || '  *' || group_name || '*: ' || n || ' reviews', chr(10) order by group_ord)
-                    from (select group_ord, group_name, emoji, count(*) as n from found group by all)))
-            || ',{{"type":"divider"}},' || section(':bar_chart: *Sentiment Summary — Recurring Themes*')
-            || ',' || section((select case when max(batch_no) = 1 then 'Summary of batch 1.' else
-                'Most frequent themes: ' || (select string_agg(theme || ' (' || n || ')', ', ' order by n desc, theme)
-                    from (select * from themes order by n desc, theme limit 5)) || '.' end from items)) || ']' as blocks_json
-        from totals""",
 }
 
 
 def section_json(value: str) -> str:
+    """SQL of the JSON of a text block."""
     return "'{\"type\":\"section\",\"text\":{\"type\":\"mrkdwn\",\"text\":' || cast(to_json(" + value + ") as varchar) || '}}'"
 
 
-def _expand_sections(sql: str) -> str:
-    """Replace ``section(...)`` by the JSON of a text block."""
-    while (start := sql.find("section(")) >= 0:
-        depth, at, quoted = 1, start + len("section("), False
-        while depth:
-            if sql[at] == "'":
-                quoted = not quoted
-            elif not quoted:
-                depth += {"(": 1, ")": -1}.get(sql[at], 0)
-            at += 1
-        sql = sql[:start] + section_json(sql[start + len("section("):at - 1]) + sql[at:]
-    return sql
-
-
-CTES["main"] = _expand_sections(CTES["main"])
+NUMBERS = f"""'*Stats*' || chr(10) || 'Total reviews in export: *' || total || '*  |  Avg rating: *★ ' || {fixed('mean', 2)}
+    || '*' || chr(10) || 'Date range: *' || first_day || ' → ' || last_day || '*' || chr(10) || chr(10)
+    || '*Per-platform breakdown:*' || chr(10) || (select string_agg('  • *' || source || '*: '
+        || replace(replace(stats, 'UP', ':thumbsup:'), 'DOWN', ':thumbsdown:'), chr(10) order by source) from platform_text)"""
+THEMES = """':warning: *Most Actionable Themes* (' || (select count(*) from found) || ' flagged) — see threads below'
+    || chr(10) || chr(10) || (select string_agg(emoji || '  *' || group_name || '*: ' || n || ' reviews', chr(10) order by group_ord)
+        from (select group_ord, group_name, emoji, count(*) as n from found group by all))"""
+SUMMARY = """(select case when max(batch_no) = 1 then 'Summary of batch 1.' else 'Most frequent themes: '
+    || (select string_agg(theme || ' (' || n || ')', ', ' order by n desc, theme)
+        from (select * from themes order by n desc, theme limit 5)) || '.' end from items)"""
+DIVIDER = """',{"type":"divider"},'"""
+CTES["main"] = f"""
+    select '[{{"type":"header","text":{{"type":"plain_text","text":"{DEFAULTS.report_title}","emoji":true}}}},'
+        || '{{"type":"context","elements":[{{"type":"mrkdwn","text":"Generated {fx.RUN_TIME}  |  Source: `{fx.EXPORT_NAME}`"}}]}}'
+        || {DIVIDER} || {section_json(NUMBERS)} || {DIVIDER} || {section_json(THEMES)} || {DIVIDER}
+        || {section_json("':bar_chart: *Sentiment Summary — Recurring Themes*'")} || ',' || {section_json(SUMMARY)} || ']' as blocks_json
+    from totals"""
 
 
 def _used(sql: str) -> set[str]:
@@ -314,16 +300,16 @@ oracle("report_lines", f"""
     union all select 5, '', unnest(range(0, 5)), unnest(['', '{RULE}', '  SENTIMENT SUMMARY — Recurring Themes', '{RULE}', ''])
     union all select distinct 6, '', batch_no, '  Summary of batch ' || batch_no || '.' from items
     union all select 7, '', unnest(range(0, 3)), unnest(['', '{RULE}', '']))""")
-oracle("message_stream", _expand_sections(f"""
+oracle("message_stream", f"""
     select cast(group_ord as int) as group_ord, cast(item_ord as bigint) as item_ord, cast(parent_ord as int) as parent_ord,
         text, blocks_json, false as unfurl_links, false as unfurl_media from (
     select 0 as group_ord, 0 as item_ord, null as parent_ord, '{DEFAULTS.report_title}' as text, blocks_json from main
     union all select distinct 0, batch_no, 0, 'Summary ' || batch_no,
-        '[' || section('Summary of batch ' || batch_no || '.') || ']'
+        '[' || {section_json("'Summary of batch ' || batch_no || '.'")} || ']'
         from items where (select max(batch_no) from items) > 1
-    union all select group_ord, 0, null, group_name || ' (' || n || ' reviews)', '[' || section(text) || ']' from headers
+    union all select group_ord, 0, null, group_name || ' (' || n || ' reviews)', '[' || {section_json("text")} || ']' from headers
     union all select group_ord, group_item_no, group_ord, '[' || group_item_no || '] ' || category,
-        '[' || section(text) || ']' from blocks)"""))
+        '[' || {section_json("text")} || ']' from blocks)""")
 oracle("run_responder", """select sentiment, month, review_id,
     case when contains(lower(review), 'the') then 'credit card' else 'other' end as category from buckets""")
 

@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame, functions as F
 from plaudit.config import DEFAULTS, Settings
 from plaudit.functions.dates import review_timestamp
 from plaudit.functions.numbers import fraction, percent, round_exact
-from plaudit.functions.ratings import has_text, is_excluded, is_positive, three_way
+from plaudit.functions.ratings import is_excluded, is_positive, three_way
 from plaudit.operators.bounds import at_most
 from plaudit.operators.months import in_recent_months
+from plaudit.sources.exports import is_analysable
 
 
 def export_stats(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row: number of reviews and of analysable ones, mean rating, first and last date."""
     dated = review_timestamp(F.col("published"))
-    analysed = (F.col("rating") <= settings.rating_cutoff) & has_text(F.col("review"))
     return reviews.agg(
         F.count("*").alias("total"),
-        F.count_if(analysed).alias("analysed"),
+        F.count_if(is_analysable(reviews, settings)).alias("analysed"),
         F.avg("rating").alias("avg_rating"),
         F.min(dated).alias("first_ts"),
         F.max(dated).alias("last_ts"),

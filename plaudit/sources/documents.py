@@ -44,7 +44,7 @@ def categorised_document(categorised: DataFrame) -> DataFrame:
     batches = (categorised.groupBy("sentiment", "batch_no")
                .agg(F.array_sort(F.collect_list(entry)).alias("rows")))
     body = F.map_from_arrays(F.array("sentiment"), F.array(month_map(F.col("rows"))))
-    return batches.select("sentiment", "batch_no", F.to_json(body).alias("document"))
+    return batches.select("sentiment", "batch_no", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
 
 
 def write_lines(lines: DataFrame, column: str, path: str, order: list[str], mode: str = "error") -> None:

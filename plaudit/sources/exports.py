@@ -36,10 +36,16 @@ def _month(raw: DataFrame) -> Column:
     return F.coalesce("month", F.lit("")) if "month" in raw.columns else month_key(F.col("published"))
 
 
+def text_given(rows: DataFrame, flag: str) -> Column:
+    """The flag of a staged table, which spares reading the text, else a look at the text."""
+    return F.col(flag) if flag in rows.columns else has_text(F.col("review"))
+
+
 def coerced(raw: DataFrame) -> DataFrame:
     """All rows, tolerant dialect: missing-value tokens and bad ratings become null."""
     cleaned = [na_to_null(name).alias(name) for _, name in EXPORT_COLUMNS if name in raw.columns]
-    return (raw.select(*cleaned, _month(raw).alias("month"))
+    flags = [name for name in ("known_text",) if name in raw.columns]
+    return (raw.select(*cleaned, *flags, _month(raw).alias("month"))
             .withColumn("rating", coerce_rating(F.col("rating_raw"))))
 
 
@@ -51,7 +57,11 @@ def rejected_ratings(raw: DataFrame) -> DataFrame:
 
 def analysable(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Coerced rows rated up to the cutoff that have text."""
-    return reviews.filter((F.col("rating") <= settings.rating_cutoff) & has_text(F.col("review")))
+    return reviews.filter(is_analysable(reviews, settings))
+
+
+def is_analysable(reviews: DataFrame, settings: Settings) -> Column:
+    return (F.col("rating") <= settings.rating_cutoff) & text_given(reviews, "known_text")
 
 
 def rated_text(raw: DataFrame) -> DataFrame:
@@ -59,7 +69,7 @@ def rated_text(raw: DataFrame) -> DataFrame:
 
     The rating of a row without text is never parsed.
     """
-    usable = ~is_blank(F.col("rating_raw")) & has_text(F.col("review"))
+    usable = ~is_blank(F.col("rating_raw")) & text_given(raw, "has_text")
     return raw.filter(usable).select(
         "review_id",
         strip(F.col("review")).alias("review"),

@@ -1,28 +1,30 @@
-"""Cleaned reviews as Parquet by month: the CSV is parsed once, later queries prune and split."""
+"""Reviews as Parquet by month: the CSV is parsed once, later queries prune and split."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from plaudit.config import EXPORT_COLUMNS
+from plaudit.functions.dates import month_key
+from plaudit.functions.ratings import has_text, na_to_null
 from plaudit.session import scratch_path
 
-STAGED = T.StructType([
-    T.StructField("review_id", T.StringType()),
-    T.StructField("published", T.StringType()),
-    T.StructField("author", T.StringType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("rating_raw", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("review", T.StringType()),
-    T.StructField("url", T.StringType()),
-    T.StructField("rating", T.DoubleType()),
-    T.StructField("month", T.StringType()),
-])
-
-
-def write_staged(reviews: DataFrame, path: str, mode: str = "error") -> None:
-    """One folder per month. ``rebalance`` splits big months over tasks and joins small ones."""
-    (reviews.select(*STAGED.fieldNames()).hint("rebalance", "month")
+STAGED = T.StructType(
+    [T.StructField(name, T.StringType()) for _, name in EXPORT_COLUMNS]
+    + [T.StructField("has_text", T.BooleanType()), T.StructField("known_text", T.BooleanType()),
+       T.StructField("month", T.StringType())])
+
+
+def write_staged(raw: DataFrame, path: str, mode: str = "error") -> None:
+    """Raw rows in one folder per month. ``rebalance`` splits big months over tasks and joins small ones.
+
+    Values stay as they were, so both dialects can read them. The flags tell whether there is a
+    text (``has_text`` in the strict dialect, ``known_text`` in the tolerant one): filters and
+    counts then leave the text column unread.
+    """
+    flagged = raw.withColumns({"has_text": has_text(F.col("review")), "known_text": has_text(na_to_null("review")),
+                               "month": month_key(F.col("published"))})
+    (flagged.select(*STAGED.fieldNames()).hint("rebalance", "month")
      .write.mode(mode).partitionBy("month").parquet(path))
 
 
