@@ -439,8 +439,7 @@ def decode_categories(spark, sf):
 
 @query
 def score_actionability(spark, sf):
-    return scoring.score_actionability(fx.analysed(spark, sf, author=False, url=False), fx.ACTIONABLE_TERMS).select(
-        "review_id", "score", "category", "reason")
+    return scoring.score_actionability(fx.analysed(spark, sf, author=False, url=False), fx.ACTIONABLE_TERMS)
 
 
 @query

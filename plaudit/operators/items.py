@@ -16,7 +16,7 @@ from plaudit.operators.joins import latest_per_key, lookup_join
 from plaudit.operators.metrics import negative_total
 from plaudit.operators.ordinals import running_position
 
-LIST_ORDER = ["batch_no", "pos", "review_id"]
+LIST_ORDER = ["batch_no", "pos", "review_id", "category", "reason"]  # the latter only settle ties
 BATCHES_PER_SPAN = 1_000
 
 

@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plaudit.config import DEFAULTS, Settings
 from plaudit.functions.ratings import rated_side
 from plaudit.functions.sql import quoted
-from plaudit.functions.text import prefix
-from plaudit.operators.batching import sentiment_batches
+from plaudit.operators.batching import assign_batches, sentiment_batches
 from plaudit.operators.categories import picked
 from plaudit.operators.months import in_recent_months
 
@@ -111,11 +110,11 @@ def categorised_batches(categorised: DataFrame, settings: Settings = DEFAULTS) -
 
 
 def score_actionability(reviews: DataFrame, lexicon: Lexicon = ACTIONABLE_LEXICON,
-                        settings: Settings = DEFAULTS, hash_digits: int = 4) -> DataFrame:
-    """Items of reviews that hit at least one term: the best label, a score and the terms as reason.
+                        settings: Settings = DEFAULTS) -> DataFrame:
+    """``(review_id, score, category, reason)`` of reviews that contain at least one term.
 
-    The score is one more than the number of the label's terms found, ``max_score`` at most. The
-    list order follows a hash of the review id.
+    The score is one more than the number of the best label's terms found, ``max_score`` at most;
+    the terms are the reason.
     """
     hits, choices = {}, []
     for at, label in enumerate(settings.actionable_labels):
@@ -128,10 +127,15 @@ def score_actionability(reviews: DataFrame, lexicon: Lexicon = ACTIONABLE_LEXICO
         reason = ", ".join(f"if({hits[term]}, {quoted(term)}, null)" for term in terms)
         choices.append(f"if({found} > 0, struct(least({settings.max_score}, 1 + {found}) as score, {-at} as preference, "
                        f"{quoted(label)} as category, concat_ws(', ', {reason}) as reason), null)")
-    spread = F.conv(prefix(F.md5(F.col("review_id")), hash_digits), 16, 10).cast("long")
     tested = (reviews.select("review_id", F.lower("review").alias("lowered"))
               .selectExpr("review_id", *[f"contains(lowered, {quoted(term)}) as {name}" for term, name in hits.items()]))
     # One generated row per review keeps the filter from repeating the scoring below it.
     best = tested.select("review_id", F.expr(f"inline(array(array_max(array({', '.join(choices)}))))"))
-    return best.filter(F.col("score").isNotNull()).select(
-        spread.alias("batch_no"), F.lit(0).alias("pos"), "review_id", "score", "category", "reason")
+    return best.filter(F.col("score").isNotNull()).select("review_id", "score", "category", "reason")
+
+
+def listed_items(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Scored items with ``batch_no`` and ``pos``, as if they had come in answers of a batch each."""
+    batches = assign_batches(scored.withColumn("scope", F.lit("all")), ["scope"], [], settings.batch_size)
+    return batches.select("batch_no", (F.pmod(F.col("row_no") - 1, F.lit(settings.batch_size))).cast("int").alias("pos"),
+                          "review_id", "score", "category", "reason")

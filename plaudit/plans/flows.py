@@ -1,18 +1,20 @@
-"""The three runs of the library from an export to their results."""
+"""The runs of the library from an export to their results."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plaudit.config import DEFAULTS, Settings
 from plaudit.operators.batching import bucket_reviews
 from plaudit.operators.categories import category_counts
 from plaudit.operators.items import actionable, in_score_range
+from plaudit.operators.scoring import ACTIONABLE_LEXICON, Lexicon, listed_items, score_actionability
 from plaudit.plans.charts import chart_categories, chart_monthly, chart_two_sources
 from plaudit.plans.decode import (
-    decode_analysis, decode_categories, parse_analysis, rejected_categories, rejected_responses, summaries, theme_counts)
+    decode_analysis, decode_categories, parse_analysis, rejected_categories, rejected_responses, summaries,
+    theme_counts, themes_sentence)
 from plaudit.plans.messages import message_stream
 from plaudit.plans.prompts import analysis_prompts, categorise_prompts
 from plaudit.plans.report import report_lines
@@ -27,8 +29,8 @@ class AnalysisResult:
     themes: DataFrame
     report: DataFrame               # lines of the text report
     messages: DataFrame
-    rejected_items: DataFrame       # scores outside the range
-    rejected_responses: DataFrame   # answers that could not be parsed
+    rejected_items: DataFrame | None = None      # scores outside the range
+    rejected_responses: DataFrame | None = None  # answers that could not be parsed
 
 
 def analyse(spark: SparkSession, raw: DataFrame, responder: Responder, store: str, source_name: str,
@@ -53,6 +55,21 @@ def analyse(spark: SparkSession, raw: DataFrame, responder: Responder, store: st
         rejected_responses=rejected_responses(responses))
 
 
+def analyse_by_rules(spark: SparkSession, raw: DataFrame, source_name: str, generated: str,
+                     lexicon: Lexicon = ACTIONABLE_LEXICON, settings: Settings = DEFAULTS) -> AnalysisResult:
+    """The same report without a responder: items by terms, most frequent categories as summary."""
+    reviews = coerced(raw)
+    analysed = analysable(reviews, settings)
+    scored = written(spark, score_actionability(analysed, lexicon, settings), "items")
+    items = actionable(listed_items(scored, settings), settings)
+    themes = scored.groupBy(F.col("category").alias("theme")).agg(F.count("*").alias("n"))
+    told = themes_sentence(themes, settings).select(F.lit(1).cast("long").alias("batch_no"), "summary")
+    return AnalysisResult(
+        items=items, themes=themes,
+        report=report_lines(reviews, analysed, items, told, source_name, generated, settings),
+        messages=message_stream(reviews, analysed, items, told, themes, source_name, generated, settings))
+
+
 @dataclass(frozen=True)
 class CategoriesResult:
     categorised: DataFrame          # sentiment, batch_no, month, item_no, review_id, category

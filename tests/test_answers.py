@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plaudit.operators.scoring import categorise, categorised_batches, score_actionability, score_categories
+from plaudit.operators.items import ranked
+from plaudit.operators.scoring import categorise, categorised_batches, listed_items, score_actionability, score_categories
 from plaudit.plans import decode
-from plaudit.plans.flows import analyse, categorise_export, deck
+from plaudit.plans.flows import analyse, analyse_by_rules, categorise_export, deck
 from plaudit.plans.messages import message_stream
 from plaudit.plans.prompts import analysis_prompts, categorise_prompts
 from plaudit.plans.report import REPORT_ORDER, RULE
@@ -208,3 +209,22 @@ def test_rule_scorers(spark, rows_of):
     assert (scores["b", "fair prices"], scores["b", "other"], scores["a", "functionality"], scores["c", "pricing"]) == (75, 0, 100, 0)
     assert rows_of(categorise(rated_text(frame.withColumn("rating_raw", F.col("rating").cast("string"))), lexicons), "review_id", "category") == [
         ("a", "functionality"), ("b", "fair prices"), ("c", "other")]
+
+
+def test_copies_of_a_scored_review_fill_batches(spark):
+    rows = [("copy", 4, "App Crash", "crash")] * 400 + [(f"r{at}", 3, "App Crash", "crash") for at in range(60)]
+    items = listed_items(spark.createDataFrame(rows, "review_id string, score int, category string, reason string"))
+    places = sorted((row.batch_no, row.pos) for row in items.collect())
+    assert places == [(1 + at // 150, at % 150) for at in range(460)]
+    assert sorted(row.item_no for row in ranked(items).collect()) == list(range(1, 461))
+
+
+def test_analysis_by_rules(spark, tmp_path, rows_of):
+    lexicon = (("App Crash", "crash", 1), ("App Crash", "all the time", 1), ("Slow Shipping", "late", 1))
+    result = analyse_by_rules(spark, read_export(spark, export(tmp_path, *LINES)), "export.csv", "now", lexicon)
+    assert rows_of(result.items, "batch_no", "review_id", "score", "category") == [(1, "r1", 3, "App Crash")]
+    assert rows_of(result.themes) == [("App Crash", 1), ("Slow Shipping", 1)]
+    lines = [row.line for row in result.report.orderBy(*REPORT_ORDER).collect()]
+    assert "      WHY:    crash, all the time" in lines
+    assert "  Most frequent themes: App Crash (1), Slow Shipping (1)." in lines
+    assert result.messages.count() == 3
