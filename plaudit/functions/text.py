@@ -53,22 +53,14 @@ def title_case(text: Column) -> Column:
 
 
 def wrap_label(text: Column, width: int = 14) -> Column:
-    """Title-cased label, broken greedily between words into lines of at most ``width`` characters."""
+    """Title-cased label, broken greedily between words into lines of at most ``width`` characters.
+
+    A line is the longest run of words that fits, or one longer word; one pass over the label.
+    """
     label = title_case(text)
-    words = F.split(strip(label), f"[{WHITESPACE}]+")
-
-    def place(lines: Column, word: Column) -> Column:
-        start, size = lines["size"] == 0, F.length(word)
-        breaks = lines["size"] + 1 + size > width
-        return F.struct(
-            F.concat(lines["text"],
-                     F.when(start, "").when(breaks, "\n").otherwise(" "), word).alias("text"),
-            F.when(start | breaks, size).otherwise(lines["size"] + 1 + size).alias("size"),
-        )
-
-    empty = F.struct(F.lit("").alias("text"), F.lit(0).alias("size"))
-    wrapped = F.aggregate(words, empty, place, lambda lines: lines["text"])
-    return F.when(F.length(label) > width, wrapped).otherwise(label)
+    words = F.regexp_replace(strip(label), f"[{WHITESPACE}]+", " ")
+    lines = F.regexp_replace(words, rf"(\S{{{width + 1},}}|.{{1,{width}}})( |$)", "$1\n")
+    return F.when(F.length(label) > width, F.rtrim(lines, F.lit("\n"))).otherwise(label)
 
 
 def plural(count: Column) -> Column:
