@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plaudit.config import DEFAULTS, EXPORT_COLUMNS, Settings
-from plaudit.functions.dates import month_key
+from plaudit.functions.dates import MONTH_PATTERN, month_key
 from plaudit.functions.ratings import coerce_rating, has_text, na_to_null, strict_rating
 from plaudit.functions.text import is_blank, strip
 
@@ -64,25 +64,32 @@ def is_analysable(reviews: DataFrame, settings: Settings) -> Column:
     return (F.col("rating") <= settings.rating_cutoff) & text_given(reviews, "known_text")
 
 
-def rated_text(raw: DataFrame) -> DataFrame:
+def _valid_months(rows: DataFrame, validate_month: bool) -> DataFrame:
+    return rows.filter(F.col("month").rlike(MONTH_PATTERN)) if validate_month else rows
+
+
+def rated_text(raw: DataFrame, validate_month: bool = False) -> DataFrame:
     """Strict dialect: rows with a rating and a text, both stripped; a bad rating is an error.
 
-    The rating of a row without text is never parsed.
+    The rating of a row without text is never parsed. ``validate_month`` leaves out rows whose date
+    does not start with a month, which else form months of their own that sort last.
     """
     usable = ~is_blank(F.col("rating_raw")) & text_given(raw, "has_text")
-    return raw.filter(usable).select(
+    rows = raw.filter(usable).select(
         "review_id",
         strip(F.col("review")).alias("review"),
         F.when(usable, strict_rating(F.col("rating_raw"))).alias("rating"),
         _month(raw).alias("month"),
     )
+    return _valid_months(rows, validate_month)
 
 
-def rated(raw: DataFrame) -> DataFrame:
+def rated(raw: DataFrame, validate_month: bool = False) -> DataFrame:
     """Strict dialect: ``(month, rating, source)`` of rows with any rating; text does not matter."""
     given = F.coalesce(F.length("rating_raw") > 0, F.lit(False))
-    return raw.filter(given).select(
+    rows = raw.filter(given).select(
         _month(raw).alias("month"),
         F.when(given, strict_rating(F.col("rating_raw"))).alias("rating"),
         F.coalesce(F.col("source"), F.lit("")).alias("source"),
     )
+    return _valid_months(rows, validate_month)

@@ -67,6 +67,13 @@ def test_strict_dialect_fails_on_bad_ratings(spark, tmp_path):
         rated(raw).collect()
 
 
+def test_junk_months_can_be_left_out(spark, tmp_path, rows_of):
+    raw = read_export(spark, export(tmp_path, "r1,2026-01-02,A,B,4,t,text,u", "r2,not a date,A,B,4,t,text,u", "r3,,A,B,4,t,text,u"))
+    for strict in (rated, rated_text):
+        assert rows_of(strict(raw), "month") == [("",), ("2026-01",), ("not a d",)]
+        assert rows_of(strict(raw, validate_month=True), "month") == [("2026-01",)]
+
+
 def test_columns_go_by_name_and_files_must_agree(spark, tmp_path, rows_of):
     swapped = "Published,Review ID,Author,Source,Rating,Title,Review,URL,Extra\n"
     path = export(tmp_path, "2026-01-02,r1,A,B,4,t,text,u,x", header=swapped, bom=False)
