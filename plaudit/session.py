@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,7 +10,10 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def build_session(app: str = "plaudit", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators are tuned for; the cluster's own settings win."""
+    """A session with the settings the operators are tuned for.
+
+    They override the cluster's default files: pass ``conf`` to choose otherwise.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -29,17 +31,12 @@ def build_session(app: str = "plaudit", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the session names it.
+    """The folder all executors can reach: as the session names it, else beside the warehouse tables.
 
-    Only a local session without that setting (tests) gets a temporary folder of its own.
+    The warehouse is shared by design, so the fallback holds on any master as well.
     """
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="plaudit-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

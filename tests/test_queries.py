@@ -4,7 +4,9 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from plaudit.catalog.oracle import ORACLES
+from plaudit.catalog.queries import QUERIES
 from compare import difference, duck
 
 SMALL = "/root/testdata/sf0.001"
@@ -16,18 +18,18 @@ def connection():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(queries()) == set(oracle_sql())
-    assert not [name for name in queries() if "pipeline" in name or re.match(r"op\d*_", name)]
+    assert set(QUERIES) == set(ORACLES)
+    assert not [name for name in QUERIES if "pipeline" in name or re.match(r"op\d*_", name)]
 
 
 def test_entry(spark):
     assert entry(spark).count() == 5
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, connection, name):
-    frame = queries()[name](spark, SMALL)
-    problem = difference(frame, connection, oracle_sql()[name])
+    frame = QUERIES[name](spark, SMALL)
+    problem = difference(frame, connection, ORACLES[name])
     assert problem is None, problem
     plan = frame._jdf.queryExecution().executedPlan().toString()
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
