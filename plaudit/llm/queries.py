@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from plaudit.llm.quality_classifier import op1_quality_classifier
+from plaudit.llm.quality_rules import op4_quality_rules
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_quality_rules": op4_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
