@@ -2,12 +2,41 @@
 
 from __future__ import annotations
 
+from plaudit.llm.ngram_join import op3_ngram_join
 from plaudit.llm.quality_classifier import op1_quality_classifier
 from plaudit.llm.quality_rules import op4_quality_rules
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+# Words of a text are runs of other characters than the ASCII blanks; all pairs that share an n-gram are compared.
+OP3_SQL = """
+with recursive words as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') as w from documents),
+sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) end as grams
+    from words),
+copies as (
+    select min(doc_id) as id, count(*) as copies, grams, len(grams) as n from sets where len(grams) > 0 group by grams),
+exploded as (select id, n, unnest(grams) as gram from copies),
+pairs as (
+    select a.id as a, b.id as b from exploded a join exploded b on a.gram = b.gram and a.id <> b.id
+    group by a.id, a.n, b.id, b.n having count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+reach as (
+    select id, id as seen from copies
+    union
+    select r.id, p.b from reach r join pairs p on p.a = r.seen),
+classes as (select id, min(seen) as class_id from reach group by id),
+links as (select p.a as id, sum(c.copies) as links, count(*) as texts from pairs p join copies c on c.id = p.b group by p.a)
+select s.doc_id, coalesce(c.id, s.doc_id) as copy_id, coalesce(k.class_id, s.doc_id) as class_id, coalesce(c.copies, 1) as copies,
+    cast(coalesce(l.links, 0) + coalesce(c.copies, 1) - 1 as bigint) as n_links, coalesce(l.texts, 0) as n_linked_texts
+from sets s left join copies c on c.grams = s.grams left join classes k on k.id = c.id left join links l on l.id = c.id
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_ngram_join": OP3_SQL,
+}
