@@ -33,7 +33,7 @@ KEEP_FROM = 0.3
 @dataclass(frozen=True)
 class FitOptions:
     max_rows: int = 20_000          # labelled documents to learn from, at most about so many
-    n_features: int = 384           # random Fourier features
+    n_features: int = 256           # random Fourier features
     width: float = 4.0              # of the kernel, in standard deviations of a statistic
     ridge: float = 1e-3             # per labelled row
     folds: int = 4                  # for the scores that calibrate
@@ -125,7 +125,7 @@ def fit(spark: SparkSession, docs: DataFrame, marks: DataFrame, options: FitOpti
         return pd.DataFrame({"fold": batch["fold"][:1], "line": batch["line"][:1], "sums": [np.sum(list(batch["sums"]), axis=0)]})
 
     schema = "fold long, line long, sums array<double>"
-    spread = table.repartition(options.partitions, F.xxhash64("stats"))  # bounds the partial sums of one line
+    spread = table.repartition(options.partitions)  # bounds the number of partial sums
     totals = spread.mapInPandas(summed, schema).groupBy("fold", "line").applyInPandas(added, schema).collect()
     by_fold: dict[int, np.ndarray] = {}
     for row in totals:  # folds x features lines, whatever the data
