@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from plaudit.llm.byte_bpe import op10_byte_bpe
 from plaudit.llm.ngram_join import op3_ngram_join
+from plaudit.llm.orc_tokens import op6_orc_tokens
+from plaudit.llm.packing import op8_best_fit_packing
 from plaudit.llm.quality_classifier import op1_quality_classifier
 from plaudit.llm.quality_rules import op4_quality_rules
 
@@ -10,6 +13,9 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
+    "op6_orc_tokens": op6_orc_tokens,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 # Words of a text are runs of other characters than the ASCII blanks; all pairs that share an n-gram are compared.
