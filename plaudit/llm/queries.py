@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plaudit.llm.byte_bpe import op10_byte_bpe
+from plaudit.llm.fingerprints import op5_fingerprints
 from plaudit.llm.language_id import op7_language_id
 from plaudit.llm.ngram_join import op3_ngram_join
 from plaudit.llm.orc_tokens import op6_orc_tokens
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_fingerprints": op5_fingerprints,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
