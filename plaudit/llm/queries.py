@@ -10,9 +10,11 @@ from plaudit.llm.orc_tokens import op6_orc_tokens
 from plaudit.llm.packing import op8_best_fit_packing
 from plaudit.llm.quality_classifier import op1_quality_classifier
 from plaudit.llm.quality_rules import op4_quality_rules
+from plaudit.llm.secrets import op2_secret_scan
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_secret_scan": op2_secret_scan,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_fingerprints": op5_fingerprints,
