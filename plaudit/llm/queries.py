@@ -10,6 +10,7 @@ from plaudit.llm.orc_tokens import op6_orc_tokens
 from plaudit.llm.packing import op8_best_fit_packing
 from plaudit.llm.quality_classifier import op1_quality_classifier
 from plaudit.llm.quality_rules import op4_quality_rules
+from plaudit.llm.revisits import op9_warc_revisits
 from plaudit.llm.secrets import op2_secret_scan
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_orc_tokens": op6_orc_tokens,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_warc_revisits": op9_warc_revisits,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
@@ -49,6 +51,33 @@ select s.doc_id, coalesce(c.id, s.doc_id) as copy_id, coalesce(k.class_id, s.doc
 from sets s left join copies c on c.grams = s.grams left join classes k on k.id = c.id left join links l on l.id = c.id
 """
 
+# The latest earlier response by a window over all captures of a URL; every URL here is a host and a language.
+OP9_SQL = """
+with captures as (
+    select page_id * 3 + k as record_id, k, page_id, html,
+        regexp_replace(lower(regexp_extract(section, '^[^/?]*')), '^www[.]', '')
+            || regexp_replace(regexp_extract(section, '^[^/?]*([^?]*)', 1), '/+$', '') as canonical_url,
+        case when k = 0 then page_id * 7919 % 1000003 else (page_id * 104729 * k + 17) % 1000003 end as ts,
+        case when page_id % 3 = 0 then null else '"' || substr(md5(html), 1, 12) || '"' end as etag, page_id % 11 as last_modified
+    from (select *, regexp_replace(regexp_replace(url, '^https?://(www[.])?', ''), '/[0-9]+.*$', '') as section from pages),
+        (select unnest(range(0, 3)) as k)),
+filled as (
+    select *, last_value(case when k = 0 then record_id end ignore nulls) over (
+        partition by canonical_url order by ts, record_id rows between unbounded preceding and 1 preceding) as response_id
+    from captures),
+judged as (
+    select v.record_id, v.canonical_url, v.ts, v.response_id, v.k, v.page_id, r.html,
+        case when r.record_id is null then 'no_response'
+            when coalesce(v.etag = r.etag, v.last_modified = r.last_modified) then 'resolved' else 'mismatch' end as verdict
+    from filled v left join captures r on r.record_id = v.response_id where v.k > 0)
+select record_id, canonical_url, ts, response_id, verdict,
+    case when verdict = 'resolved' then 'cache-control: max-age=' || (page_id % 7) || chr(10) || 'content-length: ' || strlen(html) || chr(10)
+        || 'content-type: text/html' || chr(10) || 'expires: ' || k end as headers,
+    case when verdict = 'resolved' then sha256(html) end as digest
+from judged
+"""
+
 ORACLES: dict[str, str] = {
+    "op9_warc_revisits": OP9_SQL,
     "op3_ngram_join": OP3_SQL,
 }
