@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plaudit.sources.staging import written
 
-__all__ = ["chunks", "crc_fold", "documents", "labels", "sample_of", "ids_crc32", "written"]
+__all__ = ["chunks", "crc_fold", "documents", "fresh_name", "labels", "sample_of", "ids_crc32", "texts_of", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,14 @@ def crc_fold(column: str | Column, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % F.lit(folds)
 
 
+def fresh_name(rows: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the rows do not have yet."""
+    taken = {column.lower() for column in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sample_of(rows: DataFrame, key: str, bound: int) -> DataFrame:
     """About ``bound`` rows (all, if there are no more), chosen by a hash of ``key`` alone."""
     total = rows.count()

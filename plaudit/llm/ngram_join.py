@@ -108,7 +108,7 @@ class Signer:
 
 
 def signed(docs: DataFrame, options: JoinOptions) -> DataFrame:
-    """``doc_id, key, n_grams, bands``: per document the key of its n-gram set and its band hashes."""
+    """``doc_id, tie, key, n_grams, bands``: per row a hash of its text, the key of its n-gram set and its band hashes."""
     signer = Signer(*band_plan(options.threshold, options.recall, options.max_hashes))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,9 +123,9 @@ def signed(docs: DataFrame, options: JoinOptions) -> DataFrame:
                 else:
                     keys.append(None)
                     bands.append(None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": keys, "n_grams": sizes, "bands": bands})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "tie": batch["tie"], "key": keys, "n_grams": sizes, "bands": bands})
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, key binary, n_grams long, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInPandas(sign, "doc_id long, tie long, key binary, n_grams long, bands array<long>")
 
 
 def blocks(spark: SparkSession, classes: DataFrame, options: JoinOptions) -> tuple[DataFrame, DataFrame]:
@@ -203,7 +203,7 @@ def linked(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """``doc_id, key, copy_id, class_id, copies, n_links, n_linked_texts`` per row of ``docs``.
+    """``doc_id, tie, copy_id, class_id, copies, n_links, n_linked_texts`` per row of ``docs``.
 
     ``class_id`` is the least id of the documents joined by links, directly or by way of others;
     ``copy_id`` that of the documents with the same n-gram set, ``copies`` their number; ``n_links`` counts the other
@@ -241,8 +241,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, options: JoinOptions =
                       (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                       F.coalesce("texts", F.lit(0)).alias("n_linked_texts")))
     result = written(spark, result, "classes")
-    return rows.select("doc_id", "key").join(result, "key", "left").select(
-        "doc_id", "key", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
+    return rows.select("doc_id", "tie", "key").join(result, "key", "left").select(
+        "doc_id", "tie", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_linked_texts", F.lit(0)).alias("n_linked_texts"))
 
@@ -252,10 +252,19 @@ def keep_one(spark: SparkSession, docs: DataFrame, options: JoinOptions = JoinOp
 
     Of repeated rows of that id with the same text one stays; rows with a null id stay.
     """
-    found = near_duplicates(spark, docs, options)
-    gone = found.where("doc_id <> class_id").select("doc_id", "key").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    found = written(spark, near_duplicates(spark, docs, options).select("doc_id", "tie", "class_id"), "found")
+    def the_row(of: DataFrame):  # ids may repeat with other texts
+        return (docs["doc_id"] == of["gone_id"]) & (F.xxhash64(docs["text"]) == of["gone_tie"])
+
+    name = [F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie")]
+    gone = found.where("doc_id <> class_id").select(*name).distinct()
+    kept = docs.join(gone, the_row(gone), "left_anti")
+    again = found.where("doc_id = class_id").groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1").select(*name)
+    if again.isEmpty():
+        return kept
+    return kept.join(again, the_row(again), "left_anti").union(
+        kept.join(again, the_row(again), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, documents(spark, sf_dir)).drop("key")
+    return near_duplicates(spark, documents(spark, sf_dir)).drop("tie")

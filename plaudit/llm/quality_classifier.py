@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plaudit.llm.common import crc_fold, documents, labels, sample_of, texts_of, written
+from plaudit.llm.common import crc_fold, documents, fresh_name, labels, sample_of, texts_of, written
 from plaudit.llm.text_stats import SHAPES, matrix, statistics
 
 HELD_OUT_FOLDS = 5
@@ -154,22 +154,20 @@ def fit(spark: SparkSession, docs: DataFrame, marks: DataFrame, options: FitOpti
     return model
 
 
-def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score``, row by row."""
-    clean = docs.drop("quality_score")
-
+def scored(docs: DataFrame, model: QualityModel, column: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and the score as a new ``column``, row by row."""
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["quality_score"] = model.score(matrix(statistics(texts_of(batch["text"]))))
+            batch[column] = model.score(matrix(statistics(texts_of(batch["text"]))))
             yield batch
 
-    return clean.mapInPandas(score, T.StructType([*clean.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInPandas(score, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, options: FitOptions = FitOptions()) -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
-    model = fit(spark, docs, labels(spark, sf_dir), options)
-    return scored(docs, model).where(F.col("quality_score") >= KEEP_FROM).select(*docs.columns)
+    column = fresh_name(docs, "quality_score")
+    return scored(docs, fit(spark, docs, labels(spark, sf_dir), options), column).where(F.col(column) >= KEEP_FROM).drop(column)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
