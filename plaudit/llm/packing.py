@@ -32,9 +32,10 @@ END_ID = 0
 @dataclass(frozen=True)
 class PackOptions:
     capacity: int = CAPACITY
-    rounds: int = 6                 # of enumeration, fit and rounding
+    rounds: int = 2                 # of enumeration, fit and rounding
     patterns: int = 30_000          # in a round, about
     steps: int = 250                # of the fit
+    weight: float = 2.0             # power of the length in the fit
     seed: int = 5
 
 
@@ -42,38 +43,45 @@ Group = tuple[tuple[tuple[int, int], ...], int]  # ((length, times) ...), number
 
 
 def exact_patterns(hist: np.ndarray, capacity: int, wanted: int, rng: np.random.Generator) -> np.ndarray:
-    """Distinct rows of four lengths (0 for none) that are there and sum to the capacity: all pairs, and random threes and fours."""
+    """Distinct rows of four lengths (0 for none) that are there and sum to the capacity.
+
+    Each length there is the start of all its pairs and of about equally many threes and fours, whose further
+    lengths are drawn from the histogram as far as they still fit.
+    """
     there = np.flatnonzero(hist)
     if not len(there):
         return np.zeros((0, 4), np.int64)
-    pairs = np.column_stack([there, capacity - there])
-    rows = [np.pad(pairs, ((0, 0), (0, 2)))]
-    chance = hist[there] / hist.sum()
-    for parts in (3, 4):
-        drawn = np.concatenate([rng.choice(there, (wanted, parts - 1), p=chance), rng.choice(there, (wanted, parts - 1))])
-        last = capacity - drawn.sum(axis=1, keepdims=True)
-        rows.append(np.pad(np.hstack([drawn, last]), ((0, 0), (0, 4 - parts))))
+    up_to = np.cumsum(hist)
+    rows = [np.pad(np.column_stack([there, capacity - there]), ((0, 0), (0, 2)))]
+    for drawn in (1, 2):
+        part = np.repeat(there, -(-wanted // len(there)))[:, None]
+        for _ in range(drawn):
+            room = np.maximum(capacity - part.sum(axis=1), 0)
+            part = np.column_stack([part, np.searchsorted(up_to, rng.random(len(part)) * up_to[room], "right")])
+        rows.append(np.pad(np.column_stack([part, capacity - part.sum(axis=1)]), ((0, 0), (0, 2 - drawn))))
     rows = np.concatenate(rows)
-    fits = (rows >= 0).all(axis=1) & (rows < capacity).all(axis=1)
-    rows = rows[fits]
+    rows = rows[(rows >= 0).all(axis=1) & (rows < capacity).all(axis=1)]
     rows = rows[((rows == 0) | (hist[rows] > 0)).all(axis=1)]
     return np.unique(np.sort(rows, axis=1)[:, ::-1], axis=0)
 
 
-def fitted_counts(rows: np.ndarray, hist: np.ndarray, steps: int) -> np.ndarray:
-    """Non-negative counts x of the patterns with least squares of (uses of each length - histogram): accelerated projected gradient."""
-    want = hist.astype(float)
-    want[0] = 0
-    uses = np.bincount(rows.ravel(), minlength=len(hist)).astype(float)
-    # Steps scaled by pattern: the sum over its lengths of how many patterns compete for them bounds the curvature.
-    scale = 1.0 / np.maximum(uses[rows].max(axis=1) * 4, 1)
+def fitted_counts(rows: np.ndarray, hist: np.ndarray, steps: int, power: float) -> np.ndarray:
+    """Non-negative counts x of the patterns, by accelerated projected gradient.
+
+    They have the least weighted squares of (uses of each length - histogram). Long pieces weigh more: what is left of
+    them packs badly, what is left of short ones packs well.
+    """
+    size = len(hist)
+    want, weight = hist.astype(float), (np.arange(size) / size) ** power
+    want[0] = weight[0] = 0
+    load = np.bincount(rows.ravel(), minlength=size) * weight
+    # The curvature along a pattern is at most the sum over its lengths of what all patterns put on them.
+    scale = 1.0 / np.maximum(load[rows].sum(axis=1), 1e-12)
     x = np.zeros(len(rows))
     ahead, momentum = x, 1.0
     for _ in range(steps):
-        used = np.bincount(rows.ravel(), np.repeat(ahead, rows.shape[1]), len(hist))
-        used[0] = 0
-        slope = (used - want)[rows].sum(axis=1)
-        fresh = np.maximum(ahead - scale * slope, 0)
+        used = np.bincount(rows.ravel(), np.repeat(ahead, rows.shape[1]), size)
+        fresh = np.maximum(ahead - scale * ((used - want) * weight)[rows].sum(axis=1), 0)
         follow = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead, x, momentum = fresh + (momentum - 1) / follow * (fresh - x), fresh, follow
     return x
@@ -135,7 +143,7 @@ def packing_plan(hist: np.ndarray, options: PackOptions = PackOptions()) -> list
         rows = exact_patterns(left, capacity, options.patterns, rng)
         if not len(rows):
             break
-        counts = fitted_counts(rows, left, options.steps)
+        counts = fitted_counts(rows, left, options.steps, options.weight)
         for at in np.argsort(-counts, kind="stable"):
             if counts[at] < 0.5:
                 break
