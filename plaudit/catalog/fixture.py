@@ -152,6 +152,13 @@ def analysis_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.array_distinct(F.transform(found, lambda entry: entry["category"]))
     themes = F.map_from_entries(F.transform(labels, lambda label: F.struct(
         label, F.size(F.filter(found, lambda entry: entry["category"] == label)))))
+    # Scores as text, and an entry, a score and a count that are none: only these are rejected.
+    found = F.transform(found, lambda entry: F.struct(
+        entry["review_id"].alias("review_id"), entry["actionability_score"].cast("string").alias("actionability_score"),
+        entry["category"].alias("category"), entry["reason"].alias("reason")))
+    found = F.concat(found, F.array(F.struct(F.lit("none").alias("review_id"), F.lit("4.5").alias("actionability_score"),
+                                             F.lit("none").alias("category"), F.lit("none").alias("reason"))))
+    themes = F.map_concat(F.transform_values(themes, lambda _, n: n.cast("string")), F.create_map(F.lit("none"), F.lit("many")))
     summary = F.concat(F.lit("Summary of batch "), F.col("batch_no").cast("string"), F.lit("."))
     answer = F.to_json(F.struct(summary.alias("summary"), themes.alias("theme_counts"),
                                 found.alias("actionable_items")))

@@ -129,7 +129,7 @@ CTES = {
     "buckets": "select sentiment, month, review_id, left(review, 500) as review from recent",
     "batches": """
         select *, (row_no - 1) // 150 + 1 as batch_no from (
-            select *, row_number() over (partition by sentiment order by month, left(md5(review_id), 4), review_id) as row_no,
+            select *, row_number() over (partition by sentiment order by month, md5(concat_ws(chr(31), sentiment, month, review_id, review))) as row_no,
                 (count(*) over (partition by sentiment) + 149) // 150 as total_batches
             from buckets)""",
     "items": f"""
@@ -160,7 +160,7 @@ CTES = {
         where nth = 1 and month in (select month from recent)""",
     "categorised_batches": """
         select *, (row_no - 1) // 150 + 1 as batch_no from (
-            select *, row_number() over (partition by sentiment order by month, left(md5(review_id), 4), review_id) as row_no
+            select *, row_number() over (partition by sentiment order by month, md5(concat_ws(chr(31), sentiment, month, review_id, category))) as row_no
             from categorised)""",
     "counts": "select sentiment, month, category, count(*) as n from categorised group by all",
     "pairs": """
@@ -234,9 +234,8 @@ NUMBERS = f"""'*Stats*' || chr(10) || 'Total reviews in export: *' || total || '
 THEMES = """':warning: *Most Actionable Themes* (' || (select count(*) from found) || ' flagged) — see threads below'
     || chr(10) || chr(10) || (select string_agg(emoji || '  *' || group_name || '*: ' || n || ' reviews', chr(10) order by group_ord)
         from (select group_ord, group_name, emoji, count(*) as n from found group by all))"""
-SUMMARY = """(select case when max(batch_no) = 1 then 'Summary of batch 1.' else 'Most frequent themes: '
-    || (select string_agg(theme || ' (' || n || ')', ', ' order by n desc, theme)
-        from (select * from themes order by n desc, theme limit 5)) || '.' end from items)"""
+SUMMARY = """(select 'Most frequent themes: ' || string_agg(theme || ' (' || n || ')', ', ' order by n desc, theme) || '.'
+    from (select * from themes order by n desc, theme limit 5))"""
 DIVIDER = """',{"type":"divider"},'"""
 CTES["main"] = f"""
     select '[{{"type":"header","text":{{"type":"plain_text","text":"{DEFAULTS.report_title}","emoji":true}}}},'
@@ -270,15 +269,14 @@ FRAGMENT = """
     group by sentiment, batch_no"""
 oracle("categorized_document", f"""select sentiment, batch_no, '{{"' || sentiment || '":' || months || '}}' as document
     from ({FRAGMENT})""")
-oracle("metrics_document", f"""select '{{"months":[' || (select string_agg('"' || month || '"', ',' order by month) from monthly)
-    || '],"sentiment_breakdown":{{"positive":{{"pct":' || (select {rounded('pos / total', 2)} || ',"vol":' || pos from latest)
-    || '}},"negative":{{"pct":' || (select {rounded('neg / total', 2)} || ',"vol":' || neg from latest)
-    || '}}}},"monthly_avg_rating":[' || (select string_agg(avg_rating::varchar, ',' order by month) from monthly)
-    || '],"monthly_pos_count":[' || (select string_agg(pos::varchar, ',' order by month) from monthly)
-    || '],"monthly_neg_count":[' || (select string_agg(neg::varchar, ',' order by month) from monthly)
-    || '],"source_breakdown":{{' || (select string_agg('"' || source || '":[' || rows || ']', ',' order by source) from (
-        select source, string_agg('{{"avg_rating":' || avg_rating || ',"vol":' || vol || '}}', ',' order by month) as rows
-        from by_source group by source)) || '}}}}' as document""")
+oracle("metrics_document", f"""
+    select 'months' as part, month as key, '{{"months":{{"' || month || '":{{"avg_rating":' || coalesce(avg_rating::varchar, 'null')
+        || ',"pos":' || pos || ',"neg":' || neg || '}}}}}}' as document from monthly
+    union all select 'sentiment_breakdown', side, '{{"sentiment_breakdown":{{"' || side || '":{{"pct":' || {rounded('vol / total', 2)}
+        || ',"vol":' || vol || '}}}}}}' from (select 'positive' as side, pos as vol, total from latest union all select 'negative', neg, total from latest)
+    union all select 'source_breakdown', source, '{{"source_breakdown":{{"' || source || '":['
+        || string_agg('{{"month":"' || month || '","avg_rating":' || avg_rating || ',"vol":' || vol || '}}', ',' order by month) || ']}}}}'
+        from by_source group by source""")
 oracle("report_lines", f"""
     select cast(section_ord as int) as section_ord, sort_text, cast(line_ord as bigint) as line_ord, line from (
     select 1 as section_ord, '' as sort_text, unnest(range(0, 12)) as line_ord, unnest(['', '{RULE}',
@@ -306,7 +304,7 @@ oracle("message_stream", f"""
     select 0 as group_ord, 0 as item_ord, null as parent_ord, '{DEFAULTS.report_title}' as text, blocks_json from main
     union all select distinct 0, batch_no, 0, 'Summary ' || batch_no,
         '[' || {section_json("'Summary of batch ' || batch_no || '.'")} || ']'
-        from items where (select max(batch_no) from items) > 1
+        from items
     union all select group_ord, 0, null, group_name || ' (' || n || ' reviews)', '[' || {section_json("text")} || ']' from headers
     union all select group_ord, group_item_no, group_ord, '[' || group_item_no || '] ' || category,
         '[' || {section_json("text")} || ']' from blocks)""")
@@ -315,7 +313,7 @@ oracle("run_responder", """select sentiment, month, review_id,
 
 # Projections and filters
 oracle("rating_coerce", "select review_id, rating from reviews")
-oracle("null_tokens", "select review_id, source, title, rating_raw from reviews")
+oracle("null_tokens", "select review_id, source, title, review, rating_raw from reviews")
 oracle("filter_analysable", "select review_id, source, rating, review from analysed")
 oracle("filter_rated_text", "select review_id, rating, month, review from rated_text")
 oracle("filter_rated", "select month, rating, source from rated")
@@ -343,8 +341,9 @@ oracle("items_with_reviews", """
     from items i left join analysed r using (review_id)""")
 oracle("last_two_months", "select review_id, month, rating from recent")
 oracle("assign_group", "select review_id, category, group_ord, group_name, emoji from grouped")
-oracle("category_grid", """select sentiment, category, month_1 as month, n_1 as n from pairs
-    union all select sentiment, category, month_2, n_2 from pairs where month_2 is not null""")
+oracle("category_grid", """select c.sentiment, c.category, m.month, cast(coalesce(n, 0) as bigint) as n
+    from (select distinct sentiment, category from counts) c join (select distinct sentiment, month from counts) m using (sentiment)
+    left join counts k on k.sentiment = c.sentiment and k.category = c.category and k.month = m.month""")
 
 # Aggregations
 oracle("export_stats", f"""select count(*) as total, (select count(*) from analysed) as analysed,
@@ -363,6 +362,8 @@ oracle("group_share", f"""select group_ord, group_name, emoji, count(*) as n, ma
     {pct('count(*)', 'max(total_neg)')} as pct from found, totals group by group_ord, group_name, emoji""")
 oracle("theme_counts", "select * from themes")
 oracle("merge_responses", "select sentiment, month, review_id, category from categorised")
+oracle("unanswered", """select sentiment, month, review_id, review from buckets
+    where review_id not in (select review_id from categorised_batches where batch_no % 2 = 0)""")
 oracle("distinct_months", "select distinct month from rated")
 
 # Windows, sorts, sets
@@ -384,8 +385,8 @@ oracle("fn_strip", f"select review_id, coalesce({strip('review')}, '') as stripp
 oracle("fn_stars", """select review_id, rating,
     repeat('★', cast(trunc(rating) as int)) || repeat('☆', 5 - cast(trunc(rating) as int)) as stars from reviews""")
 oracle("fn_score_bar", "select review_id, score, repeat('█', score) || repeat('░', 5 - score) as bar from items")
-oracle("fn_title_case", f"select review_id, {titled('title')} as label from reviews")
-oracle("fn_wrap_label", f"select review_id, {wrapped('label')} as label from (select review_id, {titled('title')} as label from reviews)")
+oracle("fn_title_case", f"select review_id, {titled('review')} as label from reviews")
+oracle("fn_wrap_label", f"select review_id, {wrapped('label')} as label from (select review_id, {titled('review')} as label from reviews)")
 oracle("fn_month_label", f"select review_id, {month_label('month')} as label, {month_short('month')} as short from reviews")
 RATIO = "n_chars / (1 + doc_id % 97)"
 oracle("fn_round2", f"""select doc_id, {rounded(RATIO, 2)} as two, {rounded(RATIO, 1)} as one,
@@ -395,6 +396,8 @@ oracle("fn_format", f"""select doc_id, printf('%.2f', {RATIO}) as two, printf('%
 oracle("fn_fenced_json", f"select doc_id, case when doc_id % 5 = 4 then text else {strip('text')} end as payload from documents")
 oracle("fn_review_date", "select review_id, case when doc_id % 5 = 4 then 'N/A' else published end as day from reviews")
 
+oracle("fn_base_name", "select review_id, split_part(url, '/', -1) as name from reviews")
+
 # Responder and rule scorers
 BEFORE, BETWEEN, AFTER = analysis_frame()
 oracle("analysis_prompts", f"""
@@ -402,12 +405,12 @@ oracle("analysis_prompts", f"""
     select batch_no, max(total_batches) as total_batches, count(*) as n_reviews,
         {text(BEFORE)} || count(*) || {text(BETWEEN)} || string_agg(block, {text(BLOCK_SEPARATOR)} order by row_no) || {text(AFTER)} as prompt
     from (select *, (row_no - 1) // 150 + 1 as batch_no from (
-        select row_number() over (order by left(md5(review_id), 4), review_id) as row_no,
-            (count(*) over () + 149) // 150 as total_batches,
-            '[ID: ' || review_id || ']' || chr(10) || 'Source: ' || coalesce(source, 'nan') || ' | Rating: ' || rating
+        select row_number() over (order by md5(concat_ws(chr(31), 'all', review_id, block))) as row_no,
+            (count(*) over () + 149) // 150 as total_batches, block
+        from (select review_id, '[ID: ' || review_id || ']' || chr(10) || 'Source: ' || coalesce(source, 'nan') || ' | Rating: ' || rating
             || '★ | Author: ' || coalesce(author, 'nan') || chr(10) || 'Title: ' || coalesce(title, 'nan') || chr(10)
             || 'Review: ' || left(review, 500) as block
-        from analysed))
+        from analysed)))
     group by batch_no)""")
 
 

@@ -109,7 +109,7 @@ def rating_coerce(spark, sf):
 
 @query
 def null_tokens(spark, sf):
-    return fx.reviews(spark, sf).select("review_id", "source", "title", "rating_raw")
+    return fx.reviews(spark, sf).select("review_id", "source", "title", "review", "rating_raw")
 
 
 @query
@@ -288,6 +288,12 @@ def merge_responses(spark, sf):
     return decode.merge_responses(_category_responses(spark, sf))
 
 
+@query
+def unanswered(spark, sf):
+    answers = _category_responses(spark, sf).filter("batch_no % 2 = 0")
+    return decode.unanswered(batching.bucket_reviews(fx.strict_text(spark, sf)), decode.merge_responses(answers))
+
+
 @query
 def distinct_months(spark, sf):
     return months.distinct_months(fx.strict_rated(spark, sf)).orderBy("month")
@@ -353,12 +359,12 @@ def fn_score_bar(spark, sf):
 
 @query
 def fn_title_case(spark, sf):
-    return fx.reviews(spark, sf).select("review_id", tx.title_case(F.col("title")).alias("label"))
+    return fx.reviews(spark, sf).select("review_id", tx.title_case(F.col("review")).alias("label"))
 
 
 @query
 def fn_wrap_label(spark, sf):
-    return fx.reviews(spark, sf).select("review_id", tx.wrap_label(F.col("title")).alias("label"))
+    return fx.reviews(spark, sf).select("review_id", tx.wrap_label(F.col("review")).alias("label"))
 
 
 @query
@@ -367,6 +373,11 @@ def fn_month_label(spark, sf):
         "review_id", month_label(F.col("month")).alias("label"), month_label_short(F.col("month")).alias("short"))
 
 
+@query
+def fn_base_name(spark, sf):
+    return fx.reviews(spark, sf, url=True).select("review_id", tx.base_name(F.col("url")).alias("name"))
+
+
 def _ratios(spark, sf):
     return fx.table(spark, sf, "documents").select(
         "doc_id", F.col("n_chars").alias("part"), (1 + F.col("doc_id") % 97).alias("total"))
@@ -460,7 +471,7 @@ def platform_lines(spark, sf):
 @query
 def main_blocks(spark, sf):
     responses = fx.analysis_responses(spark, sf)
-    summary = messages.main_summary(decode.summaries(responses), decode.theme_counts(responses))
+    summary = messages.main_summary(decode.theme_counts(responses))
     return messages.main_blocks(fx.reviews(spark, sf), _found(spark, sf), summary, fx.EXPORT_NAME, fx.RUN_TIME)
 
 

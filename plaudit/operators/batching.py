@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plaudit.config import DEFAULTS, Settings
 from plaudit.functions.ratings import rated_side
@@ -23,21 +23,26 @@ def bucket_counts(buckets: DataFrame) -> DataFrame:
     return buckets.groupBy("sentiment", "month").agg(F.count("*").alias("n"))
 
 
+def row_hash(columns: list[str]) -> Column:
+    """MD5 of a row, null values as empty ones."""
+    return F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(name).cast("string"), F.lit("")) for name in columns)))
+
+
 def assign_batches(rows: DataFrame, keys: list[str], levels: list[str], size: int,
                    hash_digits: int = 4) -> DataFrame:
     """Add ``row_no`` and ``batch_no`` (from 1) and ``total_batches`` within ``keys``.
 
-    Order: ``levels``, then the first ``hash_digits`` digits of the id's MD5, then the row's own
-    columns. The hash cuts every group into spans of about the same size, and all batches but the
-    last of a group are full. Equal rows are counted before the shuffle and laid out again batch by
-    batch, so that a review copied any number of times never forms one large span.
+    Order: ``levels``, then the MD5 of the whole row. The first ``hash_digits`` digits of it cut every group
+    into 16 ** ``hash_digits`` spans of about the same size, also where ids are missing or repeated; take more
+    digits where a span would not fit a task, the result is the same. All batches but the last of a group are
+    full. Equal rows are counted before the shuffle and laid out again batch by batch, so that a review
+    copied any number of times never forms one large span.
     The result is hash-partitioned by ``keys`` and ``batch_no``; grouping by these needs no shuffle.
     """
     columns = rows.columns
-    spread = F.coalesce(prefix(F.md5(F.col("review_id")), hash_digits), F.lit(""))
-    packed = rows.groupBy(*columns).agg(F.count("*").alias("copies")).withColumn("spread", spread)
-    rest = [F.col(name) for name in ("review_id", *columns) if name not in (*keys, *levels)]
-    placed = running_position(packed, keys, [*levels, "spread"], rest, "last_row", weight="copies")
+    packed = rows.groupBy(*columns).agg(F.count("*").alias("copies")).withColumn("row_hash", row_hash(columns))
+    packed = packed.withColumn("spread", prefix(F.col("row_hash"), hash_digits))
+    placed = running_position(packed, keys, [*levels, "spread"], ["row_hash", *columns], "last_row", weight="copies")
 
     first, last = F.col("last_row") - F.col("copies"), F.col("last_row") - 1  # from 0
     batches = F.sequence(F.floor(first / size), F.floor(last / size))

@@ -84,8 +84,8 @@ def month_pairs(counts: DataFrame) -> DataFrame:
 
 
 def category_grid(counts: DataFrame) -> DataFrame:
-    """Long form of ``month_pairs``: every category with each of the two months, 0 where absent."""
-    cells = F.array(*[F.struct(F.col(f"month_{at}").alias("month"), F.col(f"n_{at}").alias("n"))
-                      for at in (1, 2)])
-    return (month_pairs(counts).select("sentiment", "category", F.inline(cells))
-            .filter(F.col("month").isNotNull()))
+    """``(sentiment, category, month, n)``: every category of a sentiment with each of its months, 0 where absent."""
+    months = counts.groupBy("sentiment").agg(F.array_sort(F.collect_set("month")).alias("months"))
+    own = counts.groupBy("sentiment", "category").agg(F.map_from_entries(F.collect_list(F.struct("month", "n"))).alias("by_month"))
+    cells = own.join(months, "sentiment").select("sentiment", "category", "by_month", F.explode("months").alias("month"))
+    return cells.select("sentiment", "category", "month", F.coalesce(F.try_element_at("by_month", "month"), F.lit(0)).alias("n"))

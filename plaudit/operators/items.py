@@ -37,20 +37,11 @@ def actionable(items: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def ranked(items: DataFrame, settings: Settings = DEFAULTS,
            batches_per_span: int = BATCHES_PER_SPAN) -> DataFrame:
-    """Add ``item_no``: 1 for the first item by score (high first), then list order.
-
-    Positions are counted per score; the numbers of items with a higher score, one for each score,
-    are a single row. Scores outside 0..max fail here, ``in_score_range`` tells them apart.
-    """
-    level = F.coalesce(F.col("score"), F.lit(0))
-    top = settings.max_score
-    above = items.agg(F.array(*[F.count_if(level > score) for score in range(top + 1)])).scalar()
-    placed = running_position(with_span(items, batches_per_span).withColumn("level", level),
-                              ["level"], ["span"], LIST_ORDER, "in_level")
-    return (placed.withColumn("above", above)
-            .withColumn("item_no", F.element_at("above", F.col("level").cast("int") + 1)
-                        + F.col("in_level"))
-            .drop("above", "in_level", "level", "span", "group_rows"))
+    """Add ``item_no``: 1 for the first item by score (high first, any number), then list order."""
+    level = -F.coalesce(F.col("score"), F.lit(0))
+    return (running_position(with_span(items, batches_per_span).withColumns({"level": level, "scope": F.lit(0)}),
+                             ["scope"], ["level", "span"], LIST_ORDER, "item_no")
+            .drop("scope", "level", "span", "group_rows"))
 
 
 def group_case(field: int, settings: Settings) -> Column:

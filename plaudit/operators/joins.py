@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOT_KEYS = 1_000  # bound of the broadcast key list
-
 
 def latest_per_key(rows: DataFrame, key: str, latest: list[str | Column]) -> DataFrame:
     """One row per key, the first in ``latest`` order.
@@ -17,23 +15,25 @@ def latest_per_key(rows: DataFrame, key: str, latest: list[str | Column]) -> Dat
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, spread: list[str],
-                at_least: int = 1_000_000, salts: int = 64) -> DataFrame:
+                at_least: int = 100_000, shares: int = 1_000) -> DataFrame:
     """``rows`` left join ``table`` on ``key``, with ``matched``; ``table`` has a key once.
 
-    The keys of ``rows`` are counted first. The table is reduced to these keys, and the rows of
-    keys that occur ``at_least`` times are repeated once per salt. On the other side such keys, and
-    rows without a key, are spread over the salts by the columns ``spread``. The list of frequent
-    keys sent to all tasks has ``HOT_KEYS`` entries at most; keys beyond it join with salt 0.
+    The keys of ``rows`` are counted first and the table is reduced to them. A key is frequent if it has
+    ``at_least`` rows and one of ``shares`` equal shares of all rows; so there are ``shares`` such keys at
+    most, and their list is small enough to be sent to all tasks. Rows of a frequent key, and rows without a
+    key, are spread over salts by the columns ``spread``, as many salts as the key has shares; the
+    table's row of the key is repeated once per salt.
     """
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("uses"))
-    frequent = (counts.filter(F.col("uses") >= at_least).orderBy(F.desc("uses"), key).limit(HOT_KEYS)
-                .select(key, F.lit(True).alias("hot")))
+    known = rows.filter(F.col(key).isNotNull())
+    counts = known.groupBy(key).agg(F.count("*").alias("uses"))
+    share = F.greatest(F.ceil(known.agg(F.count("*")).scalar() / shares), F.lit(at_least))
+    sized = counts.withColumn("salts", F.when(F.col("uses") >= share, F.ceil(F.col("uses") / share) + 1).otherwise(F.lit(1)))
+    frequent = sized.filter("salts > 1").select(key, "salts")
     none = F.lit(0).cast("long")
+    salts = F.coalesce("salts", F.when(F.col(key).isNull(), F.lit(shares)), F.lit(1))
     salted = rows.join(F.broadcast(frequent), key, "left").withColumn(
-        "salt", F.when(F.col("hot") | F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(salts)))
-        .otherwise(none)).drop("hot")
-    every = F.sequence(none, F.lit(salts - 1).cast("long"))
-    repeated = table.join(counts, key).withColumn(
-        "salt", F.explode(F.when(F.col("uses") >= at_least, every).otherwise(F.array(none)))).drop("uses")
+        "salt", F.pmod(F.xxhash64(*spread), salts.cast("long"))).drop("salts")
+    repeated = table.join(sized, key).withColumn(
+        "salt", F.explode(F.sequence(none, (F.col("salts") - 1).cast("long")))).drop("uses", "salts")
     return (salted.join(repeated.withColumn("matched", F.lit(True)), [key, "salt"], "left")
             .withColumn("matched", F.coalesce("matched", F.lit(False))).drop("salt"))

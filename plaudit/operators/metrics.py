@@ -5,13 +5,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plaudit.config import DEFAULTS, Settings
 from plaudit.functions.dates import review_timestamp
-from plaudit.functions.numbers import fraction, percent, round_exact
+from plaudit.functions.numbers import exact_mean, fraction, percent, round_exact
 from plaudit.functions.ratings import is_excluded, is_positive, three_way
-from plaudit.operators.bounds import at_most
 from plaudit.operators.months import in_recent_months
 from plaudit.sources.exports import is_analysable
 
@@ -22,7 +21,7 @@ def export_stats(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
     return reviews.agg(
         F.count("*").alias("total"),
         F.count_if(is_analysable(reviews, settings)).alias("analysed"),
-        F.avg("rating").alias("avg_rating"),
+        exact_mean(F.col("rating")).alias("avg_rating"),
         F.min(dated).alias("first_ts"),
         F.max(dated).alias("last_ts"),
     )
@@ -33,7 +32,7 @@ def platform_stats(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     side = three_way(F.col("rating"), settings)
     counted = reviews.filter(F.col("source").isNotNull()).groupBy("source").agg(
         F.count("*").alias("total"),
-        F.avg("rating").alias("mean"),
+        exact_mean(F.col("rating")).alias("mean"),
         F.count_if(side == "pos").alias("pos"),
         F.count_if(side == "neg").alias("neg"),
     )
@@ -69,7 +68,7 @@ def monthly_metrics(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     kept = ~is_excluded(F.col("source"), settings)
     positive = is_positive(F.col("rating"), settings)
     counted = rated.groupBy("month").agg(
-        F.avg(F.when(kept, F.col("rating"))).alias("mean"),
+        exact_mean(F.when(kept, F.col("rating"))).alias("mean"),
         F.count_if(kept & positive).alias("pos"),
         F.count_if(kept & ~positive).alias("neg"),
     )
@@ -80,7 +79,7 @@ def source_breakdown(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     """Average and volume per source in the most recent months, no source excluded."""
     recent = in_recent_months(rated, settings.recent_months)
     counted = recent.groupBy("source", "month").agg(
-        F.avg("rating").alias("mean"), F.count("*").alias("vol"))
+        exact_mean(F.col("rating")).alias("mean"), F.count("*").alias("vol"))
     return counted.select("source", "month", round_exact("mean", 2).alias("avg_rating"), "vol")
 
 
@@ -89,36 +88,21 @@ def without_sources(rows: DataFrame, excluded: DataFrame) -> DataFrame:
     return rows.join(excluded.select("source").distinct(), "source", "left_anti")
 
 
-def metrics_document(rated: DataFrame, settings: Settings = DEFAULTS,
-                     max_keys: int = 100_000) -> DataFrame:
-    """One row with the metrics as JSON text.
+def metrics_document(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """``(part, key, document)``: the metrics as JSON fragments that merge to one document.
 
-    The arrays hold aggregated rows only, one per month or per source. Their number is checked:
-    an export with more keys than ``max_keys`` (junk dates) fails and asks for the tables.
+    One row per month, per sentiment and per source of the recent months, so that no row grows with the
+    number of months or sources.
     """
-    months = at_most(monthly_metrics(rated, settings), "month", max_keys).agg(F.array_sort(F.collect_list(
-        F.struct("month", "avg_rating", "pos", "neg"))).alias("rows"))
-    sources = at_most(source_breakdown(rated, settings), "source", max_keys).agg(F.array_sort(F.collect_list(
-        F.struct("source", "month", "avg_rating", "vol"))).alias("rows"))
-    sides = latest_sentiment(rated, settings).agg(F.map_from_entries(F.collect_list(
-        F.struct(F.when(F.col("sentiment") == "pos", "positive").otherwise("negative"),
-                 F.struct("pct", "vol")))).alias("rows"))
-
-    def column(name: str):
-        return F.transform("rows", lambda row: row[name])
-
-    names = F.array_distinct(F.transform(F.col("by_source"), lambda row: row["source"]))
-    breakdown = F.map_from_entries(F.transform(names, lambda name: F.struct(name, F.transform(
-        F.filter(F.col("by_source"), lambda row: row["source"] == name),
-        lambda row: F.struct(row["avg_rating"].alias("avg_rating"), row["vol"].alias("vol"))))))
-    assembled = months.select("rows", sides.scalar().alias("sides"), sources.scalar().alias("by_source"))
-    document = F.struct(
-        column("month").alias("months"),
-        F.struct(F.col("sides")["positive"].alias("positive"),
-                 F.col("sides")["negative"].alias("negative")).alias("sentiment_breakdown"),
-        column("avg_rating").alias("monthly_avg_rating"),
-        column("pos").alias("monthly_pos_count"),
-        column("neg").alias("monthly_neg_count"),
-        breakdown.alias("source_breakdown"),
-    )
-    return assembled.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+    def fragment(table: DataFrame, part: str, key: str, value: Column) -> DataFrame:
+        text = F.to_json(F.create_map(F.lit(part), F.create_map(F.col(key), value)), {"ignoreNullFields": "false"})
+        return table.select(F.lit(part).alias("part"), F.col(key).alias("key"), text.alias("document"))
+
+    months = monthly_metrics(rated, settings)
+    sides = latest_sentiment(rated, settings).withColumn(
+        "side", F.when(F.col("sentiment") == "pos", "positive").otherwise("negative"))
+    sources = source_breakdown(rated, settings).groupBy("source").agg(  # a row per recent month: bounded
+        F.array_sort(F.collect_list(F.struct("month", "avg_rating", "vol"))).alias("rows"))
+    return (fragment(months, "months", "month", F.struct("avg_rating", "pos", "neg"))
+            .unionByName(fragment(sides, "sentiment_breakdown", "side", F.struct("pct", "vol")))
+            .unionByName(fragment(sources, "source_breakdown", "source", F.col("rows"))))

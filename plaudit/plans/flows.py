@@ -13,13 +13,13 @@ from plaudit.operators.items import actionable, in_score_range
 from plaudit.operators.scoring import ACTIONABLE_LEXICON, Lexicon, listed_items, score_actionability
 from plaudit.plans.charts import chart_categories, chart_monthly, chart_two_sources
 from plaudit.plans.decode import (
-    decode_analysis, decode_categories, parse_analysis, rejected_categories, rejected_responses, summaries,
-    theme_counts, themes_sentence)
+    decode_analysis, decode_categories, parse_analysis, rejected_categories, rejected_category_entries, rejected_entries,
+    rejected_responses, summaries, theme_counts, themes_sentence, unanswered)
 from plaudit.plans.messages import message_stream
 from plaudit.plans.prompts import analysis_prompts, categorise_prompts
 from plaudit.plans.report import report_lines
 from plaudit.plans.responder import Responder, answered
-from plaudit.sources.exports import analysable, coerced, rated, rated_text
+from plaudit.sources.exports import analysable, coerced, rated, rated_text, rejected_ratings
 from plaudit.sources.staging import written
 
 
@@ -29,8 +29,10 @@ class AnalysisResult:
     themes: DataFrame
     report: DataFrame               # lines of the text report
     messages: DataFrame
-    rejected_items: DataFrame | None = None      # scores outside the range
+    rejected_items: DataFrame | None = None      # scores outside the range; the report prints such items too
+    rejected_entries: DataFrame | None = None    # entries of answers that are no items
     rejected_responses: DataFrame | None = None  # answers that could not be parsed
+    rejected_ratings: DataFrame | None = None    # ratings that are no numbers, counted as unrated
 
 
 def analyse(spark: SparkSession, raw: DataFrame, responder: Responder, store: str, source_name: str,
@@ -45,13 +47,15 @@ def analyse(spark: SparkSession, raw: DataFrame, responder: Responder, store: st
     answers = answered(spark, analysis_prompts(analysed, settings), responder, store)
     responses = written(spark, parse_analysis(answers), "answers")
     found = decode_analysis(responses)
-    items = actionable(found.filter(in_score_range(settings)), settings)
+    items = actionable(found, settings)
     told, themes = summaries(responses), theme_counts(responses)
     return AnalysisResult(
         items=items, themes=themes,
         report=report_lines(reviews, analysed, items, told, source_name, generated, settings),
         messages=message_stream(reviews, analysed, items, told, themes, source_name, generated, settings),
         rejected_items=found.filter(~in_score_range(settings)),
+        rejected_entries=rejected_entries(responses),
+        rejected_ratings=rejected_ratings(raw),
         rejected_responses=rejected_responses(responses))
 
 
@@ -75,19 +79,27 @@ class CategoriesResult:
     categorised: DataFrame          # sentiment, batch_no, month, item_no, review_id, category
     rejected_responses: DataFrame
     asked: DataFrame                # sentiment, month, review_id, review
+    rejected_entries: DataFrame     # sentiment, batch_no, month, entry
+    unanswered: DataFrame           # asked reviews that no answer gave a category
 
 
 def categorise_export(spark: SparkSession, raw: DataFrame, responder: Responder, store: str,
-                      settings: Settings = DEFAULTS) -> CategoriesResult:
-    """Ask for a category for every review of the recent months."""
-    asked = bucket_reviews(rated_text(raw), settings)
+                      settings: Settings = DEFAULTS, validate_month: bool = False) -> CategoriesResult:
+    """Ask for a category for every review of the recent months.
+
+    ``validate_month`` keeps junk dates, which sort last, from displacing real months.
+    """
+    asked = bucket_reviews(rated_text(raw, validate_month), settings)
     responses = answered(spark, categorise_prompts(asked, settings), responder, store)
-    return CategoriesResult(decode_categories(responses), rejected_categories(responses), asked)
+    found = decode_categories(responses)
+    return CategoriesResult(found, rejected_categories(responses), asked, rejected_category_entries(responses),
+                            unanswered(asked, found))
 
 
-def deck(raw: DataFrame, categorised: DataFrame, settings: Settings = DEFAULTS) -> dict[str, DataFrame]:
+def deck(raw: DataFrame, categorised: DataFrame, settings: Settings = DEFAULTS,
+         validate_month: bool = False) -> dict[str, DataFrame]:
     """The four chart tables."""
-    ratings, counts = rated(raw), category_counts(categorised)
+    ratings, counts = rated(raw, validate_month), category_counts(categorised)
     return {
         "monthly": chart_monthly(ratings, settings),
         "two_sources": chart_two_sources(ratings, settings),

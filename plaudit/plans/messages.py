@@ -7,14 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plaudit.config import DEFAULTS, Settings
 from plaudit.functions.sql import filled
 from plaudit.functions.text import plural
-from plaudit.operators.bounds import at_most
 from plaudit.operators.items import (
     assign_group, group_share, group_summary, in_group_order, review_lookup, top_item_per_group, with_reviews)
 from plaudit.plans.decode import themes_sentence
 from plaudit.plans.report import UNKNOWN_AUTHOR, platform_lines, shown_items, shown_stats
 
-MAX_SOURCES = 10_000
-
 BLOCK = ("struct<type:string,text:struct<type:string,text:string,emoji:boolean>,"
          "elements:array<struct<type:string,text:string>>>")
 
@@ -40,24 +37,23 @@ def section_json(column: str) -> Column:
     return blocks_json(text_block("section", column))
 
 
-def main_summary(summaries: DataFrame, themes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row: the summary of a single batch, or the most frequent themes over several batches."""
-    frequent = themes_sentence(themes, settings).scalar()
-    return summaries.agg(F.when(F.count("*") == 1, F.min("summary")).otherwise(frequent).alias("summary"))
+def main_summary(themes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """One row: the most frequent themes over all batches, of which there may be one or many."""
+    return themes_sentence(themes, settings)
 
 
 def main_blocks(reviews: DataFrame, items: DataFrame, summary: DataFrame, source_name: str,
                 generated: str, settings: Settings = DEFAULTS) -> DataFrame:
     """One row ``(blocks_json)``: statistics, groups and the summary.
 
-    ``summary`` has one row with the column ``summary``. The platform lines are one per source,
-    which is checked, the group lines one per configured group.
+    ``summary`` has one row with the column ``summary``. The message holds a line per source and one per
+    configured group; for exports with very many sources, ``platform_lines`` has the same as rows.
     """
     def joined(order: str) -> Column:
         lines = F.array_sort(F.collect_list(F.struct(order, "line")))
         return F.array_join(F.transform(lines, lambda row: row["line"]), "\n")
 
-    sources = at_most(platform_lines(reviews, settings, chat=True), "source", MAX_SOURCES)
+    sources = platform_lines(reviews, settings, chat=True)
     groups = group_summary(items, settings).withColumn("line", filled("{emoji}  *{group_name}*: {n} reviews"))
     flagged = groups.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined("group_ord").alias("lines")))
     gathered = shown_stats(reviews, settings).select(
@@ -119,15 +115,14 @@ def message_stream(reviews: DataFrame, analysed: DataFrame, items: DataFrame, su
     """``(group_ord, item_ord, parent_ord, text, blocks_json, unfurl_links, unfurl_media)``.
 
     ``(0, 0)`` is the main message, ``(g, 0)`` the message of group ``g`` and ``(g, i)`` its replies;
-    ``group_ord, item_ord`` is the posting order. With several batches the main message tells the
-    most frequent themes, and the batches' summaries are replies to it, so that none is lost and
-    no message grows with the data.
+    ``group_ord, item_ord`` is the posting order. The main message tells the most frequent themes, and
+    each batch's summary is a reply to it, with one batch as with many.
     """
-    summary = main_summary(summaries, themes, settings)
+    summary = main_summary(themes, settings)
     main = (main_blocks(reviews, items, summary, source_name, generated, settings)
             .withColumn("text", F.lit(settings.report_title))
             .selectExpr("0 as group_ord", "0L as item_ord", "int(null) as parent_ord", "text", "blocks_json"))
-    told = summaries.filter(summaries.agg(F.count("*")).scalar() > 1).select(
+    told = summaries.select(
         F.lit(0).alias("group_ord"), F.col("batch_no").alias("item_ord"), F.lit(0).alias("parent_ord"),
         filled("Summary {batch_no}").alias("text"), section_json("summary").alias("blocks_json"))
     headers = category_headers(reviews, analysed, items, settings).select(

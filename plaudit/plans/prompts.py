@@ -30,15 +30,10 @@ def analysis_frame(settings: Settings = DEFAULTS) -> tuple[str, str, str]:
     """Text before the number of reviews, between number and reviews, and after them."""
     labels = ", ".join(json.dumps(label) for label in settings.actionable_labels)
     before = (
-        f"These are customer reviews of {settings.company}. Find the ones that describe something a "
-        "team could look into and fix: a defect, a technical failure or a process that broke.\n"
-        "Actionable are for instance failed logins, missing verification codes, crashes, payment "
-        "errors, blocked accounts, wrong, late or missing deliveries, refused returns, unexpected "
-        "charges or deductions, credit reporting or credit limits that do not update, deposits that "
-        "are not recognised, accounts opened without consent, defective or fake items and "
-        "advertised kinds of income that get rejected.\n"
-        "Not actionable are complaints about price or fees without a failure, general displeasure, "
-        "comparisons and opinions.\n\nNumber of reviews: ")
+        f"Task: read customer reviews of {settings.company} and pick out what a team can act on.\n"
+        "A review is an item if it names a concrete problem that someone could reproduce, trace or repair. "
+        f"Score each item from 1 (hardly) to {settings.max_score} (at once) by how clearly it says what went wrong. "
+        "Opinions without such a problem are no items.\n\nNumber of reviews: ")
     after = (
         f"\n\nAnswer with a JSON object of this form only:\n{ANALYSIS_FORMAT}\n\n"
         f"List an item only if its score is {settings.min_score} or more, highest score first. "

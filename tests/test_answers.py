@@ -3,12 +3,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from plaudit.config import DEFAULTS
 from plaudit.operators.items import ranked
 from plaudit.operators.scoring import categorise, categorised_batches, listed_items, score_actionability, score_categories
 from plaudit.plans import decode
 from plaudit.plans.flows import analyse, analyse_by_rules, categorise_export, deck
 from plaudit.plans.messages import message_stream
-from plaudit.plans.prompts import analysis_prompts, categorise_prompts
+from plaudit.plans.prompts import analysis_frame, analysis_prompts, categorise_prompts
 from plaudit.plans.report import REPORT_ORDER, RULE
 from plaudit.plans.responder import answered
 from plaudit.sources.documents import categorised_document, read_categorised, write_lines, write_messages
@@ -36,6 +37,48 @@ def test_responses_of_all_shapes(spark, rows_of):
     assert sentence == "Most frequent themes: Login (6), Fees (3)."
 
 
+def test_ill_typed_values_cost_their_own_element(spark, rows_of):
+    item = {"review_id": "a", "actionability_score": 4, "category": "c", "reason": "r"}
+    answers = [
+        {"summary": "s", "theme_counts": {"x": 2, "y": "many", "z": "3"}, "actionable_items": [
+            item, {**item, "review_id": "b", "actionability_score": "5"}, {**item, "review_id": "c", "actionability_score": 4.5}, "text",
+            {**item, "review_id": "d", "actionability_score": 3.0}, {**item, "review_id": "e", "actionability_score": None}]},
+        {"summary": 7, "theme_counts": "none", "actionable_items": {"review_id": "f"}}]
+    responses = spark.createDataFrame([(at, json.dumps(one)) for at, one in enumerate(answers, 1)], "batch_no long, response string")
+    assert rows_of(decode.decode_analysis(responses), "batch_no", "review_id", "score")[:4] == [(1, "a", 4), (1, "b", 5), (1, "d", 3), (1, "e", None)]
+    assert rows_of(decode.rejected_entries(responses), "batch_no", "pos") == [(1, 2), (1, 3)]
+    assert rows_of(decode.theme_counts(responses)) == [("x", 2), ("z", 3)]
+    assert rows_of(decode.summaries(responses)) == [(1, "s"), (2, "7")]
+    months = json.dumps({"2026-01": [{"review_id": "a", "category": "other"}, 5], "2026-02": "none", "2026-03": [{"review_id": "b", "category": 1}]})
+    responses = spark.createDataFrame([("pos", 1, months)], "sentiment string, batch_no long, response string")
+    assert rows_of(decode.decode_categories(responses), "month", "item_no", "review_id", "category") == [
+        ("2026-01", 0, "a", "other"), ("2026-03", 0, "b", "1")]
+    assert rows_of(decode.rejected_category_entries(responses), "month", "entry") == [("2026-01", "5"), ("2026-02", "none")]
+    assert decode.rejected_categories(responses).count() == 0
+
+
+def test_frame_of_the_analysis_prompt():
+    before, between, after = analysis_frame(DEFAULTS)
+    assert before == (
+        "Task: read customer reviews of our company and pick out what a team can act on.\nA review is an item if it names a concrete "
+        "problem that someone could reproduce, trace or repair. Score each item from 1 (hardly) to 5 (at once) by how clearly it says "
+        "what went wrong. Opinions without such a problem are no items.\n\nNumber of reviews: ")
+    assert between == "\n\n" and after.startswith("\n\nAnswer with a JSON object of this form only:\n{")
+    assert all(json.dumps(label) in after for label in DEFAULTS.actionable_labels)
+
+
+@pytest.mark.parametrize("batches", [1, 2, 300])
+def test_messages_have_one_form(spark, batches):
+    items = spark.createDataFrame([(1, 0, "r1", 3, "Odd", "why")], "batch_no long, pos int, review_id string, score int, category string, reason string")
+    raw = spark.createDataFrame([("r1", "2026-01-01", "A", "GP", 1.0, "t", "u", "2026-01")],
+                                "review_id string, published string, author string, source string, rating double, review string, url string, month string")
+    told = spark.range(1, batches + 1).selectExpr("id as batch_no", "'One.' as summary")
+    themes = spark.createDataFrame([("Late", 3)], "theme string, n long")
+    found = message_stream(raw, raw, items, told, themes, "x.csv", "now").collect()
+    assert len(found) == batches + 3
+    assert json.loads(next(row for row in found if (row.group_ord, row.item_ord) == (0, 0)).blocks_json)[8]["text"]["text"] == "Most frequent themes: Late (3)."
+
+
 def test_category_responses(spark, rows_of):
     good = '```json\n{"2026-01":[{"review_id":"a","category":"pricing"},{"review_id":"b","category":"other"}],"2026-02":[]}\n```'
     responses = spark.createDataFrame([("neg", 1, good), ("neg", 2, "sorry"), ("pos", 1, '{"2026-02":[{"review_id":"c"}]}')],
@@ -104,9 +147,9 @@ def test_analysis_from_export_to_report(spark, tmp_path, rows_of):
     text = json.dumps(ANSWER)
     result = analyse(spark, read_export(spark, export(tmp_path, *LINES)), lambda prompt: text, str(tmp_path / "store"),
                      "export.csv", "2026-03-04 14:32")
-    assert rows_of(result.items, "review_id", "score") == [("r1", 4)]
+    assert rows_of(result.items, "review_id", "score") == [("none", 9), ("r1", 4)]
     assert rows_of(result.rejected_items, "review_id") == [("none",)]
-    assert result.rejected_responses.count() == 0
+    assert result.rejected_responses.count() == result.rejected_entries.count() == result.rejected_ratings.count() == 0
     lines = [row.line for row in result.report.orderBy(*REPORT_ORDER).collect()]
     assert lines == [
         "", RULE, "  AI REVIEW ANALYSIS REPORT", "  Generated: 2026-03-04 14:32  |  Source: export.csv", RULE, "", "STATS",
@@ -114,8 +157,10 @@ def test_analysis_from_export_to_report(spark, tmp_path, rows_of):
         "  Date range:                       2026-01-02 → 2026-02-05", "", "  Per-platform breakdown:",
         "    BBB: 1 reviews  |  ★ avg 1.0  |  👍 0 (0%)  👎 1 (100%)",
         "    Google Play: 3 reviews  |  ★ avg 3.3  |  👍 1 (33%)  👎 2 (67%)",
-        "", RULE, "  MOST ACTIONABLE THEMES  (1 flagged)", RULE,
-        "", "  [1] Actionability: 4/5  ████░  |  App Crash", "      Source: BBB  |  Rating: ★☆☆☆☆  |  Author: Ann",
+        "", RULE, "  MOST ACTIONABLE THEMES  (2 flagged)", RULE,
+        "", "  [1] Actionability: 9/5  █████████  |  Invented", "      Source: N/A  |  Rating: ?  |  Author: N/A", "      Date:   N/A",
+        "      WHY:    ?", '      Review: ""',
+        "", "  [2] Actionability: 4/5  ████░  |  App Crash", "      Source: BBB  |  Rating: ★☆☆☆☆  |  Author: Ann",
         "      Date:   2026-01-02", "      WHY:    crashes", '      Review: "App crashes all the time"',
         "      URL:    https://app.reviewtrackers.com/reviews/r1",
         "", RULE, "  SENTIMENT SUMMARY — Recurring Themes", RULE, "", "  All fine.", "", RULE, ""]
@@ -125,21 +170,23 @@ def test_analysis_from_export_to_report(spark, tmp_path, rows_of):
 
     messages = result.messages.orderBy("group_ord", "item_ord").collect()
     assert [(row.group_ord, row.item_ord, row.parent_ord, row.text) for row in messages] == [
-        (0, 0, None, "AI Review Analysis Report"), (7, 0, None, "Core Issues (1 reviews)"), (7, 1, 7, "[1] App Crash")]
+        (0, 0, None, "AI Review Analysis Report"), (0, 1, 0, "Summary 1"), (7, 0, None, "Core Issues (2 reviews)"),
+        (7, 1, 7, "[1] Invented"), (7, 2, 7, "[2] App Crash")]
     main = json.loads(messages[0].blocks_json)
     assert [block["type"] for block in main] == [
         "header", "context", "divider", "section", "divider", "section", "divider", "section", "section"]
     assert main[0]["text"] == {"type": "plain_text", "text": "AI Review Analysis Report", "emoji": True}
-    assert main[5]["text"]["text"].endswith("(1 flagged) — see threads below\n\n:hammer_and_wrench:  *Core Issues*: 1 reviews")
-    assert main[8] == {"type": "section", "text": {"type": "mrkdwn", "text": "All fine."}}
-    assert json.loads(messages[1].blocks_json)[0]["text"]["text"] == (
-        ":hammer_and_wrench: *Core Issues* — 1 actionable review (33% of negative reviews)\n\n"
-        '_Example: "App crashes all the time" — Ann_')
+    assert main[5]["text"]["text"].endswith("(2 flagged) — see threads below\n\n:hammer_and_wrench:  *Core Issues*: 2 reviews")
+    assert main[8] == {"type": "section", "text": {"type": "mrkdwn", "text": "Most frequent themes: Login (2), Fees (1)."}}
+    assert json.loads(messages[1].blocks_json)[0]["text"]["text"] == "All fine."
     assert json.loads(messages[2].blocks_json)[0]["text"]["text"] == (
-        "*[1] App Crash*  `4/5  ████░`\n*Source:* BBB  |  *Rating:* ★☆☆☆☆  |  *Author:* Ann\n*Why actionable:* crashes\n"
+        ":hammer_and_wrench: *Core Issues* — 2 actionable reviews (67% of negative reviews)\n\n"
+        '_Example: "" — Unknown_')
+    assert json.loads(messages[4].blocks_json)[0]["text"]["text"] == (
+        "*[2] App Crash*  `4/5  ████░`\n*Source:* BBB  |  *Rating:* ★☆☆☆☆  |  *Author:* Ann\n*Why actionable:* crashes\n"
         "_App crashes all the time_\n<https://app.reviewtrackers.com/reviews/r1|View review>")
     write_messages(result.messages, str(tmp_path / "messages"))
-    assert spark.read.json(str(tmp_path / "messages")).count() == 3
+    assert spark.read.json(str(tmp_path / "messages")).count() == 5
 
 
 def test_report_without_items(spark, tmp_path):
@@ -149,7 +196,7 @@ def test_report_without_items(spark, tmp_path):
     lines = [row.line for row in result.report.orderBy(*REPORT_ORDER).collect()]
     at = lines.index("  MOST ACTIONABLE THEMES  (0 flagged)")
     assert lines[at + 1:at + 6] == [RULE, "", "  No actionable items identified.", "", ""]
-    assert [row.text for row in result.messages.collect()] == ["AI Review Analysis Report"]
+    assert [row.text for row in result.messages.orderBy("item_ord").collect()] == ["AI Review Analysis Report", "Summary 1"]
 
 
 def test_unmatched_items_and_several_batches(spark, rows_of):
@@ -177,7 +224,8 @@ def test_categories_from_export_to_charts(spark, tmp_path, rows_of):
     result = categorise_export(spark, raw, answer, str(tmp_path / "store"))
     assert rows_of(result.categorised, "sentiment", "month", "review_id", "category") == [
         ("neg", "2026-02", "r2", "other"), ("pos", "2026-02", "r3", "other"), ("pos", "junk", "r4", "other")]
-    assert decode.unanswered(result.asked, result.categorised).count() == 0
+    assert result.unanswered.count() == result.rejected_entries.count() == 0
+    assert rows_of(categorise_export(spark, raw, answer, str(tmp_path / "valid"), validate_month=True).asked, "review_id") == [("r1",), ("r2",), ("r3",)]
     tables = deck(raw, result.categorised)
     assert rows_of(tables["positive_categories"], "category", "month_1", "n_1", "month_2", "n_2") == [("other", "Feb 2026", 1, "junk", 1)]
     assert rows_of(tables["monthly"], "month", "pos", "neg", "avg_label") == [
@@ -227,4 +275,4 @@ def test_analysis_by_rules(spark, tmp_path, rows_of):
     lines = [row.line for row in result.report.orderBy(*REPORT_ORDER).collect()]
     assert "      WHY:    crash, all the time" in lines
     assert "  Most frequent themes: App Crash (1), Slow Shipping (1)." in lines
-    assert result.messages.count() == 3
+    assert result.messages.count() == 4

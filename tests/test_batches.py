@@ -4,17 +4,16 @@ from collections import Counter
 
 import pytest
 
-from plaudit.operators.batching import assign_batches, bucket_counts, bucket_reviews, sentiment_batches
+from plaudit.operators.batching import assign_batches, bucket_counts, bucket_reviews, row_hash, sentiment_batches
 from plaudit.operators.ordinals import running_position
 
 
 def brute_force(rows, size):
-    """Batches in one list per sentiment: month, head of the id's hash, id, text."""
+    """Batches in one list per sentiment: month, hash of the row."""
     result = []
     for sentiment in {row[0] for row in rows}:
         own = sorted((row for row in rows if row[0] == sentiment),
-                     key=lambda row: (row[1], hashlib.md5((row[2] or "").encode()).hexdigest()[:4] if row[2] else "",
-                                      row[2] is not None, row[2], row[3]))
+                     key=lambda row: (row[1], hashlib.md5("\x1f".join(value or "" for value in row).encode()).hexdigest()))
         result += [(*row, at // size + 1, -(-len(own) // size), at + 1) for at, row in enumerate(own)]
     return Counter(result)
 
@@ -30,6 +29,16 @@ def test_batches_equal_brute_force_with_a_third_of_copies(spark, size):
     assert Counter(tuple(row) for row in batches.collect()) == brute_force(rows, size)
 
 
+def test_rows_without_id_are_spread(spark):
+    """100,000 rows without an id, cut into spans of bounded size; the number of digits changes nothing else."""
+    frame = spark.range(100_000).selectExpr("'pos' as sentiment", "'2026-01' as month", "cast(null as string) as review_id", "string(id) as review")
+    hashed = frame.select(row_hash(frame.columns).alias("hash"))
+    assert hashed.groupBy(hashed.hash.substr(1, 4)).count().agg({"count": "max"}).first()[0] < 20
+    few = frame.limit(300)
+    assert {tuple(row) for row in assign_batches(few, ["sentiment"], ["month"], 7, 1).collect()} == {
+        tuple(row) for row in assign_batches(few, ["sentiment"], ["month"], 7, 4).collect()}
+
+
 def test_grouping_by_batch_needs_no_further_shuffle(spark):
     frame = spark.createDataFrame([("pos", "2026-01", "R1", "x")], "sentiment string, month string, review_id string, review string")
     grouped = sentiment_batches(frame).groupBy("sentiment", "batch_no").count()

@@ -1,8 +1,8 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
+from plaudit.functions.numbers import exact_mean
 from plaudit.operators import categories, metrics, months
 from plaudit.plans import charts
 from plaudit.sources.exports import coerced
@@ -58,16 +58,26 @@ def test_source_breakdown_keeps_blank_and_excluded_sources(spark, rows_of):
 
 def test_metrics_document(spark):
     rated = ratings(spark, [("2026-01", 5.0, "GP"), ("2026-02", 4.0, "GP"), ("2026-02", 1.0, "iOS"), ("2026-02", 3.0, "BBB")])
-    document = json.loads(metrics.metrics_document(rated).first().document)
-    assert document == {
-        "months": ["2026-01", "2026-02"],
+    merged = {}
+    for row in metrics.metrics_document(rated).collect():
+        fragment = json.loads(row.document)
+        assert list(fragment) == [row.part] and list(fragment[row.part]) == [row.key]
+        merged.setdefault(row.part, {}).update(fragment[row.part])
+    assert merged == {
+        "months": {"2026-01": {"avg_rating": 5.0, "pos": 1, "neg": 0}, "2026-02": {"avg_rating": 2.5, "pos": 1, "neg": 1}},
         "sentiment_breakdown": {"positive": {"pct": 0.5, "vol": 1}, "negative": {"pct": 0.5, "vol": 1}},
-        "monthly_avg_rating": [5.0, 2.5], "monthly_pos_count": [1, 1], "monthly_neg_count": [0, 1],
-        "source_breakdown": {"BBB": [{"avg_rating": 3.0, "vol": 1}],
-                             "GP": [{"avg_rating": 5.0, "vol": 1}, {"avg_rating": 4.0, "vol": 1}],
-                             "iOS": [{"avg_rating": 1.0, "vol": 1}]}}
-    with pytest.raises(Exception, match="more than 1 values of month"):
-        metrics.metrics_document(rated, max_keys=1).collect()
+        "source_breakdown": {"BBB": [{"month": "2026-02", "avg_rating": 3.0, "vol": 1}],
+                             "GP": [{"month": "2026-01", "avg_rating": 5.0, "vol": 1}, {"month": "2026-02", "avg_rating": 4.0, "vol": 1}],
+                             "iOS": [{"month": "2026-02", "avg_rating": 1.0, "vol": 1}]}}
+
+
+def test_averages_do_not_depend_on_the_layout(spark, rows_of):
+    rows = [("2026-01", at % 41 / 10 + 1, "GP") for at in range(20_000)]
+    results = {str(rows_of(ratings(spark, rows).repartition(parts).groupBy("month").agg(exact_mean(F.col("rating")).alias("mean"))))
+               for parts in (1, 3, 7, 16)}
+    assert len(results) == 1
+    odd = ratings(spark, [("2026-01", 4.0, "GP"), ("2026-01", 1e300, "GP"), ("2026-01", None, "GP")])
+    assert odd.agg(exact_mean(F.col("rating"))).first()[0] == 4.0
 
 
 def test_two_sources_are_matched_by_month(spark, rows_of):
@@ -86,7 +96,10 @@ def test_category_months(spark, rows_of):
     assert rows_of(categories.month_pairs(table)) == [
         ("neg", "a", "2026-02", None, 1, 0), ("pos", "a", "2026-01", "2026-02", 2, 0),
         ("pos", "b", "2026-01", "2026-02", 0, 3), ("pos", "c", "2026-01", "2026-02", 0, 0)]
-    assert rows_of(categories.category_grid(table).filter("sentiment = 'neg'")) == [("neg", "a", "2026-02", 1)]
+    assert rows_of(categories.category_grid(table)) == [
+        ("neg", "a", "2026-02", 1), ("pos", "a", "2026-01", 2), ("pos", "a", "2026-02", 0), ("pos", "a", "2026-03", 0),
+        ("pos", "b", "2026-01", 0), ("pos", "b", "2026-02", 3), ("pos", "b", "2026-03", 0),
+        ("pos", "c", "2026-01", 0), ("pos", "c", "2026-02", 0), ("pos", "c", "2026-03", 4)]
     assert rows_of(charts.chart_categories(table, "neg")) == [("a", "A", "Feb 2026", 1, None, 0)]
 
 
