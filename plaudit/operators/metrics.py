@@ -48,15 +48,36 @@ def negative_total(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     return reviews.agg(F.count_if(F.col("rating") <= settings.negative_upto).alias("total_neg"))
 
 
+def rating_cube(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """``(month, source, vol, given, total, pos, neg)``: one small row per month and source.
+
+    All metrics by month or source roll up from it. ``total`` is the exact sum of ``given`` ratings; queries that
+    use the cube several times share its one pass over the reviews.
+    """
+    exact = F.col("rating").try_cast("decimal(18,9)")
+    positive = is_positive(F.col("rating"), settings)
+    return rated.groupBy("month", "source").agg(
+        F.count("*").alias("vol"), F.count(exact).alias("given"), F.sum(exact).alias("total"),
+        F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+
+
+def rolled_up(name: str, kept: Column | None = None) -> Column:
+    """Sum of a column of the cube over its ``kept`` rows, 0 where there are none."""
+    value = F.col(name) if kept is None else F.when(kept, F.col(name))
+    return F.coalesce(F.sum(value), F.lit(0))
+
+
+def rolled_mean(kept: Column | None = None) -> Column:
+    """Mean rating over the ``kept`` rows of the cube, null where there are none."""
+    return F.try_divide(rolled_up("total", kept).cast("double"), rolled_up("given", kept))
+
+
 def latest_sentiment(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Two rows, ``pos`` and ``neg``, for the latest month of all sources; excluded ones not counted."""
-    latest = rated.agg(F.max("month")).scalar()
-    kept = rated.filter((F.col("month") == latest) & ~is_excluded(F.col("source"), settings))
-    counted = kept.agg(
-        F.count("*").alias("total"),
-        F.count_if(is_positive(F.col("rating"), settings)).alias("pos"),
-        F.count_if(~is_positive(F.col("rating"), settings)).alias("neg"),
-    )
+    cube = rating_cube(rated, settings)
+    latest = cube.agg(F.max("month")).scalar()
+    kept = cube.filter((F.col("month") == latest) & ~is_excluded(F.col("source"), settings))
+    counted = kept.agg(*(rolled_up(name).alias(new) for name, new in (("vol", "total"), ("pos", "pos"), ("neg", "neg"))))
     sides = F.array(*[F.struct(F.lit(side).alias("sentiment"), F.col(side).alias("vol"))
                       for side in ("pos", "neg")])
     return (counted.select("total", F.inline(sides))
@@ -66,21 +87,16 @@ def latest_sentiment(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFra
 def monthly_metrics(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Average, positives and negatives per month. A month with excluded sources only stays, with null."""
     kept = ~is_excluded(F.col("source"), settings)
-    positive = is_positive(F.col("rating"), settings)
-    counted = rated.groupBy("month").agg(
-        exact_mean(F.when(kept, F.col("rating"))).alias("mean"),
-        F.count_if(kept & positive).alias("pos"),
-        F.count_if(kept & ~positive).alias("neg"),
-    )
+    counted = rating_cube(rated, settings).groupBy("month").agg(
+        rolled_mean(kept).alias("mean"), rolled_up("pos", kept).alias("pos"), rolled_up("neg", kept).alias("neg"))
     return counted.select("month", round_exact("mean", 2).alias("avg_rating"), "pos", "neg")
 
 
 def source_breakdown(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Average and volume per source in the most recent months, no source excluded."""
-    recent = in_recent_months(rated, settings.recent_months)
-    counted = recent.groupBy("source", "month").agg(
-        exact_mean(F.col("rating")).alias("mean"), F.count("*").alias("vol"))
-    return counted.select("source", "month", round_exact("mean", 2).alias("avg_rating"), "vol")
+    recent = in_recent_months(rating_cube(rated, settings), settings.recent_months, of=rated)
+    mean = recent.withColumn("mean", F.try_divide(F.col("total").cast("double"), F.col("given")))
+    return mean.select("source", "month", round_exact("mean", 2).alias("avg_rating"), "vol")
 
 
 def without_sources(rows: DataFrame, excluded: DataFrame) -> DataFrame:

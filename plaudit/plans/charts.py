@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from plaudit.config import DEFAULTS, Settings
 from plaudit.functions.dates import month_label, month_label_short
-from plaudit.functions.numbers import decimals, exact_mean, round_exact
+from plaudit.functions.numbers import decimals, round_exact
 from plaudit.functions.text import wrap_label
 from plaudit.operators.categories import month_pairs
-from plaudit.operators.metrics import monthly_metrics
+from plaudit.operators.metrics import monthly_metrics, rating_cube, rolled_mean, rolled_up
 from plaudit.operators.months import in_recent_months
 
 
@@ -29,9 +29,9 @@ def chart_two_sources(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFr
     counts, shown = [], []
     for name, source in settings.compared_sources:
         own = F.col("source") == source
-        counts += [F.count_if(own).alias(f"{name}_vol"), exact_mean(F.when(own, F.col("rating"))).alias(f"{name}_mean")]
+        counts += [rolled_up("vol", own).alias(f"{name}_vol"), rolled_mean(own).alias(f"{name}_mean")]
         shown += [F.col(f"{name}_vol"), round_exact(f"{name}_mean", 2).alias(f"{name}_rating")]
-    counted = in_recent_months(rated, settings.recent_months).groupBy("month").agg(*counts)
+    counted = in_recent_months(rating_cube(rated, settings), settings.recent_months, of=rated).groupBy("month").agg(*counts)
     return counted.select("month", month_label(F.col("month")).alias("label"), *shown)
 
 
