@@ -94,18 +94,21 @@ def top_item_per_group(items: DataFrame, settings: Settings = DEFAULTS) -> DataF
             .filter("nth = 1").drop("nth"))
 
 
-def review_lookup(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row per review id, the latest, with what a report shows of it.
+def review_lookup(reviews: DataFrame, settings: Settings = DEFAULTS, used: DataFrame | None = None) -> DataFrame:
+    """One row per review id, the latest, with what a report shows of it; only of ids in ``used`` if given.
 
     Only the head of a text travels: one character more than a snippet shows.
     """
     head = prefix(F.col("review"), settings.snippet_chars + 1)
     shown = reviews.filter(F.col("review_id").isNotNull()).select(
         "review_id", "published", "author", "source", "rating", head.alias("review"), "url")
+    if used is not None:
+        shown = shown.join(used, "review_id", "left_semi")
     return latest_per_key(shown, "review_id", [
         F.desc_nulls_last("published"), "author", "source", "rating", "review", "url"])
 
 
 def with_reviews(items: DataFrame, reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Items with the columns of ``review_lookup`` and ``matched``; unmatched items stay."""
-    return lookup_join(items, review_lookup(reviews, settings), "review_id", ["batch_no", "pos"])
+    used = items.select("review_id").filter(F.col("review_id").isNotNull()).distinct()
+    return lookup_join(items, review_lookup(reviews, settings, used), "review_id", ["batch_no", "pos"])

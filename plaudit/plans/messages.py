@@ -99,8 +99,8 @@ def category_headers(reviews: DataFrame, analysed: DataFrame, items: DataFrame,
 
 def item_blocks(analysed: DataFrame, items: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``(group_ord, group_item_no, category, text)`` per item, numbered within its group."""
-    placed = in_group_order(assign_group(items, settings))
-    shown = shown_items(with_reviews(placed, analysed, settings), settings).withColumn(
+    found = with_reviews(items, analysed, settings)
+    shown = shown_items(in_group_order(assign_group(found, settings)), settings).withColumn(
         "link_line", F.coalesce(filled("\n<{link}|View review>"), F.lit("")))
     text = filled(
         "*[{group_item_no}] {shown_category}*  `{shown_score}/{top}  {bar}`\n"

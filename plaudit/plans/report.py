@@ -72,7 +72,7 @@ def _lines(section: int, *lines: str | Column) -> Column:
 
 def item_lines(items: DataFrame, reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``(item_no, line_no, line)``: six or seven lines per item, highest score first."""
-    shown = shown_items(with_reviews(ranked(items, settings), reviews, settings), settings)
+    shown = shown_items(ranked(with_reviews(items, reviews, settings), settings), settings)
     lines = F.array(
         F.lit(""),
         filled("  [{item_no}] Actionability: {shown_score}/{top}  {bar}  |  {shown_category}", top=settings.max_score),
