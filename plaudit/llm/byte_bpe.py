@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from plaudit.llm.common import chunks, documents, texts_of
-from plaudit.llm.segments import PART_CHARS, SegmentMemory, cut_at_spaces, taken
+from plaudit.llm.segments import PART_CHARS, SegmentMemory, cut_at_spaces, spaced, taken
 
 NONE = np.int32(2**31 - 1)
 ROWS = 1 << 11                # of a matrix at most: it stays in the cache
@@ -144,8 +144,8 @@ class RankBpe:
         return out, counts
 
     def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for segments of any number of pieces."""
-        pieces = [self.pattern.findall(segment) for segment in segments]
+        """The same for segments of ``cut_at_spaces``, each of any number of pieces."""
+        pieces = [self.pattern.findall(spaced(segment)) for segment in segments]
         per = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ids, counts = self.encode_pieces([piece.encode("utf-8", "replace") for some in pieces for piece in some])
         return ids, np.bincount(np.repeat(np.arange(len(per)), per), counts, len(per)).astype(np.int64)
@@ -164,7 +164,7 @@ def rank_bpe(path: str, pattern: str) -> RankBpe:
 @cache
 def segment_memory(path: str, pattern: str) -> SegmentMemory:
     bpe = rank_bpe(path, pattern)
-    return SegmentMemory(lambda text: cut_at_spaces(text, bpe.pattern.findall), bpe.encode_segments)
+    return SegmentMemory(cut_at_spaces, bpe.encode_segments)
 
 
 @cache

@@ -10,15 +10,18 @@ from __future__ import annotations
 import os
 import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
-from plaudit.llm.segments import SegmentMemory, cut_at_spaces
+from plaudit.llm.segments import SegmentMemory, cut_at_spaces, spaced, taken
 
+AT_ONCE = 4_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-MARKS = re.escape(".,;:!?|#$%&*")
-SPACED = re.compile(f"( ?[{LETTERS}]+)( ?[{MARKS}]+)?(?:(\n)([{LETTERS}]+)([{MARKS}]+)?)?|( ?[{MARKS}]+)")
-WORD = re.compile(f"([{LETTERS}]+)?([{MARKS}]+)?")
+LATIN_END = "\u0100"
+MARKS = ".,;:!?|#$%&*"
+_M = re.escape(MARKS)
+SPACED = re.compile(f"( ?[{LETTERS}]+)([{_M}]+)?(?:(\n)([{LETTERS}]+)([{_M}]+)?)?|( ?[{_M}]+)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -41,29 +44,44 @@ class LibraryEncoder:
         self.model = Tokenizer(self.whole.model)
         self.words = words
 
-    def pieces(self, segment: str) -> list[str] | None:
-        """The pieces the tokenizer's pattern makes of a plain segment, in the letters of its vocabulary."""
-        found = (WORD if self.words else SPACED).fullmatch(segment)
-        if not found:
+    def pieces(self, segment: str) -> tuple[str, ...] | None:
+        """The pieces that the tokenizer's pattern makes of a plain segment."""
+        body = segment.rstrip(MARKS)
+        if body.isalpha() and (body.isascii() or max(body) < LATIN_END):   # a word and marks
+            word = body.lower() if self.words else " " + body
+            return (word, segment[len(body):]) if len(body) < len(segment) else (word,)
+        if self.words or not body:
             return None
-        return [piece.translate(_BY_CHAR) for piece in found.groups() if piece]
+        found = SPACED.fullmatch(spaced(segment))
+        return tuple(filter(None, found.groups())) if found else None
 
     def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [self.pieces(segment.lower() if self.words else segment) for segment in segments]
-        plain = [piece for some in cut if some for piece in some]
-        rest = [segment for segment, some in zip(segments, cut) if some is None]
-        ids_plain = iter(self.model.encode_batch_fast(plain, add_special_tokens=False))
-        ids_rest = iter(self.whole.encode_batch_fast(rest, add_special_tokens=False))
-        flat, counts = [], []
-        for some in cut:
-            before = len(flat)
-            if some is None:
-                flat += next(ids_rest).ids
-            else:
-                for _ in some:
-                    flat += next(ids_plain).ids
-            counts.append(len(flat) - before)
-        return np.array(flat, np.int32), np.array(counts, np.int64)
+        """Ids of all segments one after another, and how many each has.
+
+        Plain segments are cut into the pieces the tokenizer's pattern makes of them; each distinct piece goes to
+        the model once, in the letters of its vocabulary.
+        """
+        pieces = [self.pieces(segment) for segment in segments]
+        rest = [segment if self.words else spaced(segment) for segment, some in zip(segments, pieces) if some is None]
+        number = {piece: at for at, piece in enumerate(set(chain.from_iterable(filter(None, pieces))))}
+        ids, sizes = [], []
+        letters = [piece.translate(_BY_CHAR) for piece in number]
+        for begin in range(0, len(letters), AT_ONCE):  # one result for many pieces is much cheaper than one for each
+            some = letters[begin:begin + AT_ONCE]
+            result = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(result.ids, np.int32))
+            sizes.append(np.bincount(np.array(result.word_ids, np.int64), minlength=len(some)))
+        for result in self.whole.encode_batch_fast(rest, add_special_tokens=False):
+            ids.append(np.array(result.ids, np.int32))
+            sizes.append([len(result.ids)])
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        sizes = np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
+        places = np.cumsum(sizes) - sizes
+        others = iter(range(len(letters), len(sizes)))
+        per = np.fromiter((1 if some is None else len(some) for some in pieces), np.int64, len(pieces))
+        uses = np.fromiter(chain.from_iterable((next(others),) if some is None else map(number.__getitem__, some) for some in pieces),
+                           np.int64, int(per.sum()))
+        return taken(flat, places[uses], sizes[uses]), np.bincount(np.repeat(np.arange(len(per)), per), sizes[uses], len(per)).astype(np.int64)
 
 
 def cut_words(text: str) -> list[str]:
@@ -84,5 +102,4 @@ def word_memory(path: str) -> SegmentMemory:
 @cache
 def spaced_memory(path: str) -> SegmentMemory:
     """For byte-level vocabularies, which tie a space to the word behind it."""
-    return SegmentMemory(lambda text: cut_at_spaces(text, lambda all_of_it: [all_of_it] if all_of_it else []),
-                         LibraryEncoder(path, words=False).encode)
+    return SegmentMemory(cut_at_spaces, LibraryEncoder(path, words=False).encode)
