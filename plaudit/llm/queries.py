@@ -30,14 +30,14 @@ QUERIES = {
 OP3_SQL = """
 with recursive words as (
     select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') as w from documents),
-sets as (
-    select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-        else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) end as grams
+sets as materialized (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [hash(array_to_string(w, ' '))]
+        else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' '))))) end as grams
     from words),
-copies as (
+copies as materialized (
     select min(doc_id) as id, count(*) as copies, grams, len(grams) as n from sets where len(grams) > 0 group by grams),
-exploded as (select id, n, unnest(grams) as gram from copies),
-pairs as (
+exploded as materialized (select id, n, unnest(grams) as gram from copies),
+pairs as materialized (
     select a.id as a, b.id as b from exploded a join exploded b on a.gram = b.gram and a.id <> b.id
     group by a.id, a.n, b.id, b.n having count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
 reach as (
