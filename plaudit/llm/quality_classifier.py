@@ -21,10 +21,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plaudit.llm.common import crc_fold, documents, fresh_name, labels, sample_of, texts_of, written
-from plaudit.llm.text_stats import SHAPES, matrix, statistics
+from plaudit.llm.text_stats import SHAPES, matrix, statistics, statistics_of
 
 HELD_OUT_FOLDS = 5
 KEEP_FROM = 0.3
@@ -156,12 +157,12 @@ def fit(spark: SparkSession, docs: DataFrame, marks: DataFrame, options: FitOpti
 
 def scored(docs: DataFrame, model: QualityModel, column: str = "quality_score") -> DataFrame:
     """All columns of ``docs`` and the score as a new ``column``, row by row."""
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch[column] = model.score(matrix(statistics(texts_of(batch["text"]))))
-            yield batch
+            scores = model.score(matrix(statistics_of(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
 
-    return docs.mapInPandas(score, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, options: FitOptions = FitOptions()) -> DataFrame:

@@ -10,10 +10,11 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
-from plaudit.llm.common import chunks
+from plaudit.llm.common import chunks, texts_of
 
-PART_CHARS = 3_000_000
+PART_CHARS = 1_000_000
 WORD = re.compile("[^ \t-\r]+")
 BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 8
@@ -127,5 +128,11 @@ def statistics(texts: list[str]) -> dict[str, np.ndarray]:
     return {name: np.concatenate([part[name] for part in parts]) for name in names}
 
 
+def statistics_of(column: pa.Array, rows: int = 512) -> dict[str, np.ndarray]:
+    """``statistics`` of a column of texts, some rows at a time: the texts are never all held as Python objects."""
+    parts = [statistics(texts_of(column.slice(at, rows).to_pylist())) for at in range(0, max(len(column), 1), rows)]
+    return {name: np.concatenate([part[name] for part in parts]) for name in parts[0]}
+
+
 def matrix(stats: dict[str, np.ndarray]) -> np.ndarray:
     return np.column_stack([stats[name] for name in SHAPES]).astype(np.float64)
