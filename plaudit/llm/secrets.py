@@ -11,7 +11,7 @@ Random strings have p-values spread evenly over 0..1, made-up names and numbered
 the number of random strings follows from the candidates above the middle, and the least p-value from which
 candidates count as secrets is the one where the expected share of others among them is at most ``rate``: a
 false-discovery control that weighs short, weakly testable strings by how many of their length there are. The counts behind it
-are over all documents.
+are over the distinct strings of all documents; the limit then applies to every occurrence.
 
 Cases: a null text counts as empty; spans are code points with an exclusive end; an added span inside a span of the
 patterns is not repeated; repeated rows are scanned and counted each; an empty table gives no limits and no rows.
@@ -145,7 +145,7 @@ def length_class(n: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """``start, end, class, p`` of the runs of token characters whose encoding is known."""
+    """``start, end, value, class, p`` of the runs of token characters whose encoding is known."""
     def alphabet(value: Column) -> Column:
         choice = F.lit(None).cast("string")
         for _, characters, letters in reversed(ENCODINGS):
@@ -157,18 +157,21 @@ def candidates(text: Column) -> Column:
                    lambda bound: F.when(bound["letters"].isNotNull(), battery(bound["bare"], bound["letters"])))
 
     rows = F.transform(located(text, RUN), lambda span: F.struct(
-        span["start"].alias("start"), span["end"].alias("end"), length_class(F.char_length(span["value"])).alias("class"), tested(span["value"]).alias("p")))
+        span["start"].alias("start"), span["end"].alias("end"), span["value"].alias("value"), length_class(F.char_length(span["value"])).alias("class"),
+        tested(span["value"]).alias("p")))
     known = F.filter(rows, lambda row: row["p"].isNotNull())
-    return F.when(text.rlike(RUN), known).otherwise(F.array().cast("array<struct<start:int,end:int,class:int,p:double>>"))
+    return F.when(text.rlike(RUN), known).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,class:int,p:double>>"))
 
 
 def limits(docs: DataFrame, options: ScanOptions) -> dict[int, float]:
     """Per length class the p-value from which candidates are secrets; classes without one are left out.
 
-    The histogram has at most ``bins`` rows for each of the few dozen classes, whatever the data.
+    The estimate holds for independent strings, so equal strings (by their hash) count once, however often they are copied. The histogram
+    has at most ``bins`` rows for each of the few dozen classes, whatever the data.
     """
     row = docs.select(F.explode(candidates(F.coalesce("text", F.lit("")))).alias("row")).select("row.*")
-    hist = row.groupBy("class", F.least(F.floor(F.col("p") * options.bins), F.lit(options.bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    strings = row.select("class", F.least(F.floor(F.col("p") * options.bins), F.lit(options.bins - 1)).alias("bin"), F.xxhash64("value").alias("string")).distinct()
+    hist = strings.groupBy("class", "bin").agg(F.count("*").alias("n"))
     upward = Window.partitionBy("class").orderBy(F.col("bin").desc())
     everything = Window.partitionBy("class")
     random = 2 * F.sum(F.when(F.col("bin") >= options.bins // 2, F.col("n")).otherwise(0)).over(everything)

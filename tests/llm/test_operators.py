@@ -131,6 +131,28 @@ def test_random_strings_are_found(spark):
     assert sum(doc < 1000 for doc in hits) > 140 and sum(doc >= 1000 for doc in hits) < 8
 
 
+@pytest.mark.parametrize("p", [0.42, 0.80])
+def test_copied_string_leaves_the_limit(spark, p):
+    """One string that is copied thousands of times counts once in the limit of its length class."""
+    rng = random.Random(7)
+    import base64
+    strings = [base64.b64encode(rng.randbytes(30)).decode() for _ in range(500)]
+    scored = spark.createDataFrame([(one,) for one in strings], "one string").select(
+        "one", secrets.battery(F.col("one"), F.lit(secrets.B64 + "+/")).alias("p")).collect()
+    hot = min(scored, key=lambda row: abs(row.p - p)).one
+    letters = "ABCDEFGHIJKLMNOPQRSTabcd0123"  # a part of the alphabet: small p-values, but not all of them tiny
+    names = ["".join(rng.choices(letters, k=38)) + "a0" for _ in range(1500)]
+    secret = [one for one in strings if one != hot][:300]
+    rows = [(at, f"here {one} there") for at, one in enumerate([*secret, *names, hot])]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = once.union(spark.createDataFrame([(10_000 + at, f"copy {hot} {at}") for at in range(3000)], once.schema))
+    limit = secrets.limits(often, secrets.ScanOptions())
+    assert limit and limit == secrets.limits(once, secrets.ScanOptions())
+    hits = [row.doc_id for row in secrets.scanned(often).where(F.size("spans.every") > 0).select("doc_id").collect()]
+    found = [sum(low <= doc < high for doc in hits) for low, high in ((0, 300), (300, 1800), (10_000, 13_000))]
+    assert found[0] > 260 and found[1] < 60 and found[2] == 3000, (limit, found)
+
+
 def test_battery_values(spark):
     """p-values against the same tests computed with numpy."""
     value, k = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", 16
