@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns and a battery of randomness tests, as DataFrame expressions.
 
 Three patterns always count: assignments to names such as ``token``, access keys, and long runs of hex digits. Beyond
-them every run of token characters that mixes digits and letters is a candidate. Its encoding is inferred from the
+them every run of token characters that mixes digits and letters is a candidate, also the value in ``name=value``. Its encoding is inferred from the
 characters it uses (hex, base 32, base 36, base 64), and three tests ask whether it looks like random digits
 of that encoding: chi-squared uniformity over the alphabet, the number of runs above and below the middle, and
 the serial correlation of neighbours. Each is taken to a two-sided p-value by its normal approximation, the smallest
@@ -32,7 +32,9 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_MIN = 6
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+# '=' ends a run, as in name=value, unless it pads the run's end; 20 characters with the padding.
+RUN = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])"
+       r"(?:[A-Za-z0-9+/_-]{20,}|(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]+(?==+(?![A-Za-z0-9+/_=-])))(?:=+(?![A-Za-z0-9+/_=-]))?")
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 ENCODINGS = (  # name, characters, alphabet in the order of its values; the first that fits is taken
     ("hex", "[0-9a-f]+", "0123456789abcdef"),

@@ -131,6 +131,30 @@ def test_random_strings_are_found(spark):
     assert sum(doc < 1000 for doc in hits) > 140 and sum(doc >= 1000 for doc in hits) < 8
 
 
+@pytest.mark.parametrize("before, after", [("AUTH_KEY=", " there"), ("https://a.com/?sig=", "&page=2"), ("--my_long_client_name_2=", "\n"), ("a==", "")])
+@pytest.mark.parametrize("size", [30, 28, 29, 13])  # bytes: no padding, two, one, and 20 characters with their padding
+def test_random_values_of_names(before, after, size):
+    """The value of name=value is a run of its own, padding stays with it."""
+    import base64
+    rng = random.Random(8)
+    values = [base64.b64encode(rng.randbytes(size)).decode() for _ in range(20)]
+    for value in filter(lambda value: re.search("[0-9]", value), values):
+        runs = [match.span() for match in re.finditer(secrets.RUN, before + value + after)]
+        assert runs[-1] == (len(before), len(before + value))
+
+
+def test_random_values_are_found(spark):
+    import base64
+    rng = random.Random(9)
+    forms = ["AUTH_KEY={}", "see https://a.com/?sig={}&page=2", "client_id={} there", "'{}'"]
+    values = [base64.b64encode(rng.randbytes(size)).decode() for size in [30, 28] * 100]
+    rows = [(at, forms[at % 4].format(value)) for at, value in enumerate(values)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    clean = {row.doc_id: row.text for row in secrets.redacted(docs).collect()}
+    for at in range(4):
+        assert sum(clean[doc] == forms[at].format("[SECRET]") for doc in range(at, 200, 4)) > 40, forms[at]
+
+
 @pytest.mark.parametrize("p", [0.42, 0.80])
 def test_copied_string_leaves_the_limit(spark, p):
     """One string that is copied thousands of times counts once in the limit of its length class."""
