@@ -96,10 +96,10 @@ FIRST = "\0"  # marks a segment that no space precedes
 def cut_at_spaces(text: str) -> list[str]:
     """Segments that a single space precedes, for patterns that tie at most one space to what follows.
 
-    The space is left out; the first segment has none and is marked. Texts with runs of spaces, or with a
+    The space is left out; the first segment has none and is marked. Texts with runs of spaces, with the mark itself, or with a
     blank at either end, are one segment.
     """
-    if "  " in text or text[:1].isspace() or text[-1:].isspace():
+    if "  " in text or FIRST in text or text[:1].isspace() or text[-1:].isspace():
         return [FIRST + text]
     if not text:
         return []

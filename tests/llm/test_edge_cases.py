@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,22 @@ def test_byte_bpe(docs):
     assert sorted((row.doc_id or 0, bytes(row.bytes).decode()) for row in back) == sorted((doc or 0, text or "") for doc, text in ROWS)
 
 
+def test_null_characters(spark):
+    """A NUL after a space is a character of the text, not the mark of a first segment."""
+    from tokenizers import Tokenizer
+
+    from plaudit.llm.library_tokens import spaced_memory
+    texts = ["b", "a \0b", "a b", "\0b", "\0", "a \0", "x\0y \0\0z w", " \0b "]
+    whole = Tokenizer.from_file(BYTE_JSON)
+    expected = [whole.encode(text, add_special_tokens=False).ids for text in texts]
+    for memory in (spaced_memory(BYTE_JSON), byte_bpe.segment_memory(RANKS, public_tokenizers.PATTERN)):
+        ids, counts = memory.ids(texts)
+        assert [own.tolist() for own in np.split(ids, np.cumsum(counts)[:-1])] == expected
+    rows = byte_bpe.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, public_tokenizers.PATTERN)
+    back = byte_bpe.decoded(rows, RANKS, public_tokenizers.PATTERN).collect()
+    assert {row.doc_id: bytes(row.bytes).decode() for row in back} == dict(enumerate(texts))
+
+
 def test_language(docs):
     network = language_id.train(docs, language_id.TrainOptions(epochs=1))
     found = {row.doc_id: row for row in language_id.predicted(docs, network).collect()}
