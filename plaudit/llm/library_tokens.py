@@ -2,19 +2,21 @@
 
 The library's cost per character lies in its normaliser and its pattern, so words of plain Latin
 letters, whose normal form and pieces are known, are handed to the library's model alone; every other segment
-goes through the whole tokenizer.
+goes through the whole tokenizer. So do texts that spell out a special token, undivided: the library's ids for them, by
+its default, are those of the token.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from functools import cache
 from itertools import chain
 
 import numpy as np
 
-from plaudit.llm.segments import SegmentMemory, cut_at_spaces, spaced, taken
+from plaudit.llm.segments import FIRST, SegmentMemory, cut_at_spaces, spaced, taken
 
 AT_ONCE = 4_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -40,9 +42,20 @@ class LibraryEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = Tokenizer(self.whole.model)
         self.words = words
+        added = [token.content for token in self.whole.get_added_tokens_decoder().values()]
+        # In any case: lower case must not make a token of what is none.
+        self.special = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+
+    def memory(self, cut: Callable[[str], list[str]]) -> SegmentMemory:
+        """A memory of the segments of ``cut``; a text with a special token is one, as the token also parts what stands around it."""
+        def cut_text(text: str) -> list[str]:
+            if self.special and self.special.search(text):
+                return [text if self.words else FIRST + text]
+            return cut(text)
+
+        return SegmentMemory(cut_text, self.encode)
 
     def pieces(self, segment: str) -> tuple[str, ...] | None:
         """The pieces that the tokenizer's pattern makes of a plain segment."""
@@ -96,10 +109,10 @@ def cut_words(text: str) -> list[str]:
 @cache
 def word_memory(path: str) -> SegmentMemory:
     """For vocabularies with word ends, which drop blanks: see ``cut_words``."""
-    return SegmentMemory(cut_words, LibraryEncoder(path, words=True).encode)
+    return LibraryEncoder(path, words=True).memory(cut_words)
 
 
 @cache
 def spaced_memory(path: str) -> SegmentMemory:
     """For byte-level vocabularies, which tie a space to the word behind it."""
-    return SegmentMemory(cut_at_spaces, LibraryEncoder(path, words=False).encode)
+    return LibraryEncoder(path, words=False).memory(cut_at_spaces)

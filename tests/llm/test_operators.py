@@ -329,6 +329,21 @@ def test_library_ids():
             assert own.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_library_special_tokens():
+    """Texts that spell out special tokens, against the tokenizer as it is."""
+    from tokenizers import Tokenizer
+
+    from plaudit.llm.library_tokens import spaced_memory, word_memory
+    rng = random.Random(10)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", " ", "\n", "one", "Two", "é", "中", ".", "\0"]
+    odd = ["one <|endoftext|> two", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(1500))]
+    for name, memory in (("word_bpe_49k.json", word_memory), ("byte_bpe_50k.json", spaced_memory)):
+        whole = Tokenizer.from_file(public_tokenizers.path(name))
+        ids, counts = memory(public_tokenizers.path(name)).ids(odd)
+        for text, own in zip(odd, np.split(ids, np.cumsum(counts)[:-1])):
+            assert own.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_revisits(spark):
     rows = [(1, "http://www.A.com/x/?utm_source=q&b=2&a=1#f", 10, "response", '"e1"', None, {"Content-Type": "t", "X": "1"}, "d1"),
             (2, "https://a.com/x?a=1&b=2", 10, "revisit", 'W/"e1"', None, {"x": "2", "Content-Type": "u", "Connection": "c"}, None),
