@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plaudit.llm.byte_bpe import op10_byte_bpe
+from plaudit.llm.filter_audit import op12_filter_audit
 from plaudit.llm.fingerprints import op5_fingerprints
 from plaudit.llm.language_id import op7_language_id
 from plaudit.llm.ngram_join import op3_ngram_join
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 # Words of a text are runs of other characters than the ASCII blanks; all pairs that share an n-gram are compared.
@@ -77,7 +79,44 @@ select record_id, canonical_url, ts, response_id, verdict,
 from judged
 """
 
+# Documents counted by the set of filters they fail; every order walks through these counts.
+OP12_SQL = """
+with texts as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') as w
+    from documents),
+marks as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by doc_id),
+judged as (
+    select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+        concat(case when len(w) < 200 then 'A' end, case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' end,
+            case when 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) then 'C' end,
+            case when regexp_matches(t, '[#$%&*|]') then 'D' end,
+            case when doc_id > min(doc_id) over (partition by t) then 'E' end) as fails
+    from texts left join marks using (doc_id)),
+counted as (select part, fails, count(*) as n, count_if(good) as good, count_if(toxic) as toxic from judged group by part, fails),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as letter),
+orders as (
+    select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5),
+steps as (select filter_order, cast(unnest(range(1, 6)) as int) as step from orders),
+named as (select *, substr(filter_order, step, 1) as own, substr(filter_order, 1, step - 1) as earlier from steps),
+sized as (
+    select part, filter_order, step, own,
+        sum(n) filter (not regexp_matches(fails, '[' || earlier || own || ']')) as kept,
+        sum(n) filter (contains(fails, own) and translate(fails, earlier, '') = fails) as removed,
+        sum(n) filter (contains(fails, own) and translate(fails, earlier, '') <> fails) as redundant,
+        sum(n) filter (fails = own) as unique_fails,
+        sum(good) filter (contains(fails, own) and translate(fails, earlier, '') = fails) as good_lost,
+        sum(toxic) filter (contains(fails, own) and translate(fails, earlier, '') = fails) as toxic_lost
+    from counted, named group by all)
+select part, filter_order, step, cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed,
+    cast(coalesce(redundant, 0) as bigint) as redundant, cast(coalesce(unique_fails, 0) as bigint) as unique_fails,
+    cast(coalesce(good_lost, 0) as bigint) as good_lost, cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost,
+    cast(coalesce(sum(removed) over (partition by part, own), 0) as bigint) as shapley
+from sized
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_filter_audit": OP12_SQL,
     "op9_warc_revisits": OP9_SQL,
     "op3_ngram_join": OP3_SQL,
 }
