@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plaudit.llm.byte_bpe import op10_byte_bpe
+from plaudit.llm.conversations import op11_conversation_repair
 from plaudit.llm.filter_audit import op12_filter_audit
 from plaudit.llm.fingerprints import op5_fingerprints
 from plaudit.llm.language_id import op7_language_id
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_filter_audit": op12_filter_audit,
 }
 
@@ -79,6 +81,74 @@ select record_id, canonical_url, ts, response_id, verdict,
 from judged
 """
 
+
+
+def _edited(state: str, cost: str, letters: str, line: str = "''") -> str:
+    """A state of the repair after more edits: cost, audit, lines; null stays null."""
+    return f"case when {state}.c is not null then {{'c': {state}.c + {cost}, 'a': {state}.a || '{letters}', 'r': {state}.r || {line}}} end"
+
+
+def _row_step() -> str:
+    """The four states after a row, of the four states ``c0`` to ``c3`` with insertions before it."""
+    line = "chr(10) || role || ':' || t"
+
+    def taken(state: int, name: str) -> str:
+        kept = _edited(f"c{state}", "late", "K", line)
+        return f"case when not gone then least(case when starts_with(role, '{name[0]}') then {kept} end, " + _edited(
+            f"c{state}", "3 + late", "R", f"chr(10) || '{name}:' || t") + ") end"
+
+    gone = [_edited(f"c{state}", "4", "D") for state in range(4)]
+    system = f"case when not gone and starts_with(role, 's') then {_edited('c0', 'late', 'K', line)} end"
+    return (f"{gone[0]} as s0, least({gone[1]}, {system}) as s1, "
+            f"least({gone[2]}, {', '.join(taken(state, 'user') for state in (0, 1, 3))}) as s2, least({gone[3]}, {taken(2, 'assistant')}) as s3")
+
+
+def _insert(state: str, name: str) -> str:
+    return _edited(state, "3", "I", f"chr(10) || '{name}:'")
+
+
+# The rows of a conversation one after another, the best edits to each of the four states with them. The crc is taken bit by bit.
+OP11_SQL = f"""
+with recursive named as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as t,
+        coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations),
+hashed as (
+    select *, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, len(name) + 1), lambda i: ascii(substr(name, i, 1))::ubigint)),
+        lambda crc, sign: list_reduce(list_prepend(xor(crc, sign), list_transform(range(8), lambda k: k::ubigint)),
+            lambda x, k: xor(x >> 1, 3988292384::ubigint * (x & 1::ubigint)))), 4294967295::ubigint) % 20 as fault from named),
+rows as (
+    select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+        case fault when 1 then '' when 2 then translate(t, '.!?', '') else t end as t, unnest(range(case when fault = 3 then 2 else 1 end)) as copy
+    from hashed where fault <> 0),
+placed as (
+    select *, row_number() over w as pos, lag(left(role, 1)) over w || left(role, 1) as pair, not regexp_matches(t, '[^ \\x09-\\x0D]') as blank,
+        row_number() over (partition by conv_id, role, t order by turn nulls first, copy) > 1 as seen,
+        not regexp_matches(t, '[.!?][ \\x09-\\x0D]*$') as open
+    from rows window w as (partition by conv_id order by turn nulls first, role, md5(t), copy)),
+judged as (select *, blank or seen as gone, case when open then 3 else 0 end as late from placed),
+walk as (
+    select distinct conv_id, 0::bigint as pos, {{'c': 0, 'a': '', 'r': ''}} as s0, null::struct(c int, a varchar, r varchar) as s1,
+        null::struct(c int, a varchar, r varchar) as s2, null::struct(c int, a varchar, r varchar) as s3 from conversations
+    union all
+    select conv_id, pos, {_row_step()}
+    from (
+        select w.conv_id, j.pos, role, t, gone, late, s0 as c0, s1 as c1, u as c2, least(s3, {_insert("u", "assistant")}) as c3
+        from (select *, least(s2, {_insert("s0", "user")}, {_insert("s1", "user")}, {_insert("s3", "user")}) as u from walk) w
+        join judged j on j.conv_id is not distinct from w.conv_id and j.pos = w.pos + 1)),
+counts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(blank) as blank,
+        count_if(seen and not blank) as duplicate, count_if(open and not gone) as truncated,
+        count_if(pair is not null and pair not in ('su', 'ua', 'au')) as illegal, max(pos) as n
+    from judged group by conv_id),
+closed as (
+    select w.conv_id, w.pos, least(s0, {_edited("s1", "6", "II", "chr(10) || 'user:' || chr(10) || 'assistant:'")},
+        {_insert("s2", "assistant")}, s3) as best from walk w)
+select k.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+    coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, best.c::bigint as cost, best.a as audit,
+    sha256(substr(best.r, 2)) as repaired_sha256
+from closed k left join counts c on c.conv_id is not distinct from k.conv_id where k.pos = coalesce(n, 0)
+"""
+
 # Documents counted by the set of filters they fail; every order walks through these counts.
 OP12_SQL = """
 with texts as (
@@ -116,6 +186,7 @@ from sized
 """
 
 ORACLES: dict[str, str] = {
+    "op11_conversation_repair": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
     "op9_warc_revisits": OP9_SQL,
     "op3_ngram_join": OP3_SQL,
