@@ -14,6 +14,7 @@ from plaudit.llm.quality_classifier import op1_quality_classifier
 from plaudit.llm.quality_rules import op4_quality_rules
 from plaudit.llm.revisits import op9_warc_revisits
 from plaudit.llm.secrets import op2_secret_scan
+from plaudit.llm.suffix_dedup import op13_suffix_dedup
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_filter_audit": op12_filter_audit,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 # Words of a text are runs of other characters than the ASCII blanks; all pairs that share an n-gram are compared.
