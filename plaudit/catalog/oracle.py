@@ -229,8 +229,7 @@ def section_json(value: str) -> str:
 
 NUMBERS = f"""'*Stats*' || chr(10) || 'Total reviews in export: *' || total || '*  |  Avg rating: *★ ' || {fixed('mean', 2)}
     || '*' || chr(10) || 'Date range: *' || first_day || ' → ' || last_day || '*' || chr(10) || chr(10)
-    || '*Per-platform breakdown:*' || chr(10) || (select string_agg('  • *' || source || '*: '
-        || replace(replace(stats, 'UP', ':thumbsup:'), 'DOWN', ':thumbsdown:'), chr(10) order by source) from platform_text)"""
+    || '*Per-platform breakdown:* see replies'"""
 THEMES = """':warning: *Most Actionable Themes* (' || (select count(*) from found) || ' flagged) — see threads below'
     || chr(10) || chr(10) || (select string_agg(emoji || '  *' || group_name || '*: ' || n || ' reviews', chr(10) order by group_ord)
         from (select group_ord, group_name, emoji, count(*) as n from found group by all))"""
@@ -245,6 +244,13 @@ CTES["main"] = f"""
     from totals"""
 
 
+CTES["platform_replies"] = f"""
+    select block_no, '[' || {section_json("string_agg(line, chr(10) order by source)")} || ']' as blocks_json
+    from (select source, (row_number() over (order by source) - 1) // {DEFAULTS.lines_per_block} + 1 as block_no,
+            '  • *' || source || '*: ' || replace(replace(stats, 'UP', ':thumbsup:'), 'DOWN', ':thumbsdown:') as line from platform_text)
+    group by block_no"""
+
+
 def _used(sql: str) -> set[str]:
     """Names of the common tables a statement needs, directly or through others."""
     names = {name for name in CTES if re.search(rf"\b(from|join|,) {name}\b", sql)}
@@ -302,7 +308,8 @@ oracle("message_stream", f"""
     select cast(group_ord as int) as group_ord, cast(item_ord as bigint) as item_ord, cast(parent_ord as int) as parent_ord,
         text, blocks_json, false as unfurl_links, false as unfurl_media from (
     select 0 as group_ord, 0 as item_ord, null as parent_ord, '{DEFAULTS.report_title}' as text, blocks_json from main
-    union all select distinct 0, batch_no, 0, 'Summary ' || batch_no,
+    union all select 0, block_no, 0, 'Platforms ' || block_no, blocks_json from platform_replies
+    union all select distinct 0, (select count(*) from platform_replies) + batch_no, 0, 'Summary ' || batch_no,
         '[' || {section_json("'Summary of batch ' || batch_no || '.'")} || ']'
         from items
     union all select group_ord, 0, null, group_name || ' (' || n || ' reviews)', '[' || {section_json("text")} || ']' from headers
@@ -457,7 +464,7 @@ oracle("platform_lines", """
     from platform_text union all
     select source, '  • *' || source || '*: ' || replace(replace(stats, 'UP', ':thumbsup:'), 'DOWN', ':thumbsdown:'), 'chat'
     from platform_text""")
-oracle("main_blocks", "select blocks_json from main")
+oracle("main_blocks", "select 0::bigint as block_no, blocks_json from main union all select * from platform_replies")
 oracle("category_headers", "select group_ord, group_name, n, pct, text from headers")
 oracle("item_blocks", "select group_ord, group_item_no, category, text from blocks")
 oracle("chart_monthly", f"""select month, {month_label('month')} as label, pos, neg, avg_rating,

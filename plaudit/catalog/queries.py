@@ -19,6 +19,7 @@ from plaudit.plans.responder import answered
 from plaudit.session import scratch_path
 from plaudit.sources import documents
 from plaudit.sources.exports import coerced, rated_text, read_export, write_export
+from plaudit.sources.staging import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,19 +71,26 @@ def _found(spark, sf):
     return it.actionable(fx.items(spark, sf))
 
 
+def _cube(spark, sf):
+    return written(spark, metrics.review_cube(fx.reviews(spark, sf)), "cube")
+
+
+def _reported(spark, sf):
+    return it.reported(_found(spark, sf), fx.analysed(spark, sf))
+
+
 @query
 def report_lines(spark, sf):
     told = decode.summaries(fx.analysis_responses(spark, sf))
-    return report.report_lines(fx.reviews(spark, sf), fx.analysed(spark, sf), _found(spark, sf), told,
-                               fx.EXPORT_NAME, fx.RUN_TIME)
+    return report.report_lines(_cube(spark, sf), _reported(spark, sf), told, fx.EXPORT_NAME, fx.RUN_TIME)
 
 
 @query
 def message_stream(spark, sf):
-    responses = fx.analysis_responses(spark, sf)
+    responses = written(spark, decode.parse_analysis(fx.analysis_responses(spark, sf)), "answers")
     return messages.message_stream(
-        fx.reviews(spark, sf), fx.analysed(spark, sf), _found(spark, sf), decode.summaries(responses),
-        decode.theme_counts(responses), fx.EXPORT_NAME, fx.RUN_TIME)
+        _cube(spark, sf), _reported(spark, sf), decode.summaries(responses), decode.theme_counts(responses),
+        fx.EXPORT_NAME, fx.RUN_TIME)
 
 
 @query
@@ -268,7 +276,7 @@ def group_summary(spark, sf):
 
 @query
 def group_share(spark, sf):
-    return it.group_share(_found(spark, sf), fx.reviews(spark, sf)).orderBy("group_ord")
+    return it.group_share(_found(spark, sf), metrics.review_cube(fx.reviews(spark, sf))).orderBy("group_ord")
 
 
 @query
@@ -463,7 +471,8 @@ def score_categories(spark, sf):
 
 @query
 def platform_lines(spark, sf):
-    plain, chat = (report.platform_lines(fx.reviews(spark, sf), chat=chat) for chat in (False, True))
+    cube = metrics.review_cube(fx.reviews(spark, sf))
+    plain, chat = (report.platform_lines(cube, chat=chat) for chat in (False, True))
     return plain.select("source", "line", F.lit("report").alias("kind")).unionByName(
         chat.select("source", "line", F.lit("chat").alias("kind")))
 
@@ -471,18 +480,21 @@ def platform_lines(spark, sf):
 @query
 def main_blocks(spark, sf):
     responses = fx.analysis_responses(spark, sf)
-    summary = messages.main_summary(decode.theme_counts(responses))
-    return messages.main_blocks(fx.reviews(spark, sf), _found(spark, sf), summary, fx.EXPORT_NAME, fx.RUN_TIME)
+    cube, summary = _cube(spark, sf), messages.main_summary(decode.theme_counts(responses))
+    main = messages.main_blocks(cube, _found(spark, sf), summary, fx.EXPORT_NAME, fx.RUN_TIME)
+    return main.selectExpr("0L as block_no", "blocks_json").unionByName(messages.platform_blocks(cube).select(
+        "block_no", messages.section_json("text").alias("blocks_json")))
 
 
 @query
 def category_headers(spark, sf):
-    return messages.category_headers(fx.reviews(spark, sf), fx.analysed(spark, sf, url=False), _found(spark, sf))
+    tops = it.with_reviews(it.top_item_per_group(_found(spark, sf)), fx.analysed(spark, sf, url=False))
+    return messages.category_headers(metrics.review_cube(fx.reviews(spark, sf)), _found(spark, sf), tops)
 
 
 @query
 def item_blocks(spark, sf):
-    return messages.item_blocks(fx.analysed(spark, sf), _found(spark, sf))
+    return messages.item_blocks(_reported(spark, sf))
 
 
 @query

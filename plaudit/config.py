@@ -86,6 +86,7 @@ class Settings:
     top_candidates: int = 3
     recent_months: int = 2
     top_themes: int = 5
+    lines_per_block: int = 20           # platform lines in one chat block
     unlinked_sources: tuple[str, ...] = UNLINKED_SOURCES
     excluded_sources: tuple[str, ...] = UNLINKED_SOURCES
     link_base: str = LINK_BASE

@@ -46,14 +46,14 @@ def fixed(value: str, digits: int, missing: str) -> Column:
     return text_or(decimals(value, digits), missing)
 
 
-def exact_mean(value: Column) -> Column:
-    """Mean of ratings that does not depend on the order or the layout of rows.
+def exact(value: Column) -> Column:
+    """A rating as a decimal of nine places, whose sums are exact; what such a decimal cannot hold is no rating."""
+    return value.try_cast("decimal(18,9)")
 
-    Ratings are summed as decimals of nine places, whose sums are exact; what such a decimal cannot hold
-    is no rating and is left out, as null is.
-    """
-    exact = value.try_cast("decimal(18,9)")
-    return F.try_divide(F.sum(exact).cast("double"), F.count(exact))
+
+def exact_mean(value: Column) -> Column:
+    """Mean of ratings that does not depend on the order or the layout of rows; null ratings are left out."""
+    return F.try_divide(F.sum(exact(value)).cast("double"), F.count(exact(value)))
 
 
 def text_or(value: Column, missing: str) -> Column:

@@ -12,9 +12,10 @@ from plaudit.config import DEFAULTS, Settings
 from plaudit.functions.numbers import percent
 from plaudit.functions.sql import quoted
 from plaudit.functions.text import prefix
-from plaudit.operators.joins import latest_per_key, lookup_join
-from plaudit.operators.metrics import negative_total
+from plaudit.operators.joins import bucketed_lookup, latest_per_key
+from plaudit.operators.metrics import cube_negatives
 from plaudit.operators.ordinals import running_position
+from plaudit.sources.staging import written
 
 LIST_ORDER = ["batch_no", "pos", "review_id", "category", "reason"]  # the latter only settle ties
 BATCHES_PER_SPAN = 1_000
@@ -64,9 +65,9 @@ def group_summary(items: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
             .agg(F.count("*").alias("n")))
 
 
-def group_share(items: DataFrame, reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Groups with their share of all negative reviews in whole percent; may exceed 100."""
-    total = negative_total(reviews, settings).scalar()
+def group_share(items: DataFrame, cube: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Groups with their share of all negative reviews (``review_cube``) in whole percent; may exceed 100."""
+    total = cube_negatives(cube).scalar()
     return (group_summary(items, settings).withColumn("total_neg", total)
             .withColumn("pct", percent("n", "total_neg")))
 
@@ -110,5 +111,16 @@ def review_lookup(reviews: DataFrame, settings: Settings = DEFAULTS, used: DataF
 
 def with_reviews(items: DataFrame, reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Items with the columns of ``review_lookup`` and ``matched``; unmatched items stay."""
-    used = items.select("review_id").filter(F.col("review_id").isNotNull()).distinct()
-    return lookup_join(items, review_lookup(reviews, settings, used), "review_id", ["batch_no", "pos"])
+    return bucketed_lookup(items, lambda used: review_lookup(reviews, settings, used), "review_id", ["batch_no", "pos"])
+
+
+def reported(items: DataFrame, reviews: DataFrame, settings: Settings = DEFAULTS,
+             batches_per_span: int = BATCHES_PER_SPAN) -> DataFrame:
+    """Items as a report needs them, written once: numbers and groups, then the review each refers to.
+
+    Numbers are computed before the join, on rows without a review; report lines, headers and
+    replies all read the result and join nothing.
+    """
+    spark = items.sparkSession
+    numbered = item_ordinals(written(spark, items, "items"), settings, batches_per_span)
+    return written(spark, with_reviews(written(spark, numbered, "numbered"), reviews, settings), "reported")

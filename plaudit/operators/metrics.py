@@ -9,43 +9,62 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plaudit.config import DEFAULTS, Settings
 from plaudit.functions.dates import review_timestamp
-from plaudit.functions.numbers import exact_mean, fraction, percent, round_exact
+from plaudit.functions.numbers import exact, fraction, percent, round_exact
 from plaudit.functions.ratings import is_excluded, is_positive, three_way
 from plaudit.operators.months import in_recent_months
 from plaudit.sources.exports import is_analysable
 
 
+def review_cube(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """One small row per source (a missing one included): everything the report tells about the whole export.
+
+    Totals, platforms and the number of negative reviews roll up from it, so a report that writes it reads the reviews once.
+    """
+    rating = exact(F.col("rating"))
+    side, dated = three_way(F.col("rating"), settings), review_timestamp(F.col("published"))
+    return reviews.groupBy("source").agg(
+        F.count("*").alias("total"), F.count_if(is_analysable(reviews, settings)).alias("analysed"),
+        F.count(rating).alias("given"), F.sum(rating).alias("stars"),
+        F.count_if(side == "pos").alias("pos"), F.count_if(side == "neg").alias("neg"),
+        F.min(dated).alias("first_ts"), F.max(dated).alias("last_ts"))
+
+
+def cube_stats(cube: DataFrame) -> DataFrame:
+    """``export_stats`` of the cube."""
+    return cube.agg(
+        rolled_up("total").alias("total"), rolled_up("analysed").alias("analysed"),
+        F.try_divide(F.sum("stars").cast("double"), F.sum("given")).alias("avg_rating"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+
+def cube_platforms(cube: DataFrame) -> DataFrame:
+    """``platform_stats`` of the cube."""
+    mean = cube.filter(F.col("source").isNotNull()).withColumn("mean", F.try_divide(F.col("stars").cast("double"), F.col("given")))
+    return mean.select(
+        "source", "total", round_exact("mean", 1).alias("avg_rating"),
+        "pos", percent("pos", "total").alias("pos_pct"),
+        "neg", percent("neg", "total").alias("neg_pct"),
+    )
+
+
+def cube_negatives(cube: DataFrame) -> DataFrame:
+    """``negative_total`` of the cube."""
+    return cube.agg(rolled_up("neg").alias("total_neg"))
+
+
 def export_stats(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row: number of reviews and of analysable ones, mean rating, first and last date."""
-    dated = review_timestamp(F.col("published"))
-    return reviews.agg(
-        F.count("*").alias("total"),
-        F.count_if(is_analysable(reviews, settings)).alias("analysed"),
-        exact_mean(F.col("rating")).alias("avg_rating"),
-        F.min(dated).alias("first_ts"),
-        F.max(dated).alias("last_ts"),
-    )
+    return cube_stats(review_cube(reviews, settings))
 
 
 def platform_stats(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Per source, unrated reviews included in the total; a missing source has no row."""
-    side = three_way(F.col("rating"), settings)
-    counted = reviews.filter(F.col("source").isNotNull()).groupBy("source").agg(
-        F.count("*").alias("total"),
-        exact_mean(F.col("rating")).alias("mean"),
-        F.count_if(side == "pos").alias("pos"),
-        F.count_if(side == "neg").alias("neg"),
-    )
-    return counted.select(
-        "source", "total", round_exact("mean", 1).alias("avg_rating"),
-        "pos", percent("pos", "total").alias("pos_pct"),
-        "neg", percent("neg", "total").alias("neg_pct"),
-    )
+    return cube_platforms(review_cube(reviews, settings))
 
 
 def negative_total(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row with the number of reviews rated up to the three-way limit."""
-    return reviews.agg(F.count_if(F.col("rating") <= settings.negative_upto).alias("total_neg"))
+    return cube_negatives(review_cube(reviews, settings))
 
 
 def rating_cube(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -54,10 +73,10 @@ def rating_cube(rated: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     All metrics by month or source roll up from it. ``total`` is the exact sum of ``given`` ratings; queries that
     use the cube several times share its one pass over the reviews.
     """
-    exact = F.col("rating").try_cast("decimal(18,9)")
+    rating = exact(F.col("rating"))
     positive = is_positive(F.col("rating"), settings)
     return rated.groupBy("month", "source").agg(
-        F.count("*").alias("vol"), F.count(exact).alias("given"), F.sum(exact).alias("total"),
+        F.count("*").alias("vol"), F.count(rating).alias("given"), F.sum(rating).alias("total"),
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plaudit.sources.staging import written
+
 
 def running_position(rows: DataFrame, keys: list[str], spans: list[str], order: list[str | Column],
                      out: str, weight: str | None = None) -> DataFrame:
@@ -31,3 +33,14 @@ def running_position(rows: DataFrame, keys: list[str], spans: list[str], order:
     return (placed.join(starts, cut)
             .withColumn(out, F.col("span_start") + F.col("span_position"))
             .drop("span_start", "span_position"))
+
+
+def position_in_order(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Add ``out``: the place of each row (from 1) in ``order``, which must tell rows apart.
+
+    For orders that have no columns to cut spans by: the rows are written in ranges of the order, the ranges
+    are counted, and each is numbered by itself.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("span", F.spark_partition_id())
+    stored = written(rows.sparkSession, ranged, "ranges")
+    return running_position(stored, [], ["span"], order, out).drop("span", "group_rows")

@@ -75,12 +75,12 @@ def rejected_responses(responses: DataFrame) -> DataFrame:
 
 
 def themes_sentence(themes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row: a sentence with the most frequent themes, for reports without a model's summary."""
+    """One row: a sentence with the most frequent themes, or that there is none, for reports without a model's summary."""
     top = themes.orderBy(F.desc("n"), "theme").limit(settings.top_themes)
     listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "theme", "n")))
     shown = F.transform(listed, lambda row: F.concat(row["theme"], F.lit(" ("), row["n"].cast("string"), F.lit(")")))
-    return top.agg(F.concat(F.lit("Most frequent themes: "), F.array_join(shown, ", "), F.lit("."))
-                   .alias("summary"))
+    return top.agg(F.when(F.count("*") == 0, "No themes were found.").otherwise(
+        F.concat(F.lit("Most frequent themes: "), F.array_join(shown, ", "), F.lit("."))).alias("summary"))
 
 
 def _entries(responses: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plaudit.config import DEFAULTS, Settings
 from plaudit.operators.batching import bucket_reviews
 from plaudit.operators.categories import category_counts
-from plaudit.operators.items import actionable, in_score_range
+from plaudit.operators.items import actionable, in_score_range, reported
+from plaudit.operators.metrics import review_cube
 from plaudit.operators.scoring import ACTIONABLE_LEXICON, Lexicon, listed_items, score_actionability
 from plaudit.plans.charts import chart_categories, chart_monthly, chart_two_sources
 from plaudit.plans.decode import (
@@ -49,10 +50,11 @@ def analyse(spark: SparkSession, raw: DataFrame, responder: Responder, store: st
     found = decode_analysis(responses)
     items = actionable(found, settings)
     told, themes = summaries(responses), theme_counts(responses)
+    cube, shown = written(spark, review_cube(reviews, settings), "cube"), reported(items, analysed, settings)
     return AnalysisResult(
         items=items, themes=themes,
-        report=report_lines(reviews, analysed, items, told, source_name, generated, settings),
-        messages=message_stream(reviews, analysed, items, told, themes, source_name, generated, settings),
+        report=report_lines(cube, shown, told, source_name, generated, settings),
+        messages=message_stream(cube, shown, told, themes, source_name, generated, settings),
         rejected_items=found.filter(~in_score_range(settings)),
         rejected_entries=rejected_entries(responses),
         rejected_ratings=rejected_ratings(raw),
@@ -68,10 +70,11 @@ def analyse_by_rules(spark: SparkSession, raw: DataFrame, source_name: str, gene
     items = actionable(listed_items(scored, settings), settings)
     themes = scored.groupBy(F.col("category").alias("theme")).agg(F.count("*").alias("n"))
     told = themes_sentence(themes, settings).select(F.lit(1).cast("long").alias("batch_no"), "summary")
+    cube, shown = written(spark, review_cube(reviews, settings), "cube"), reported(items, analysed, settings)
     return AnalysisResult(
         items=items, themes=themes,
-        report=report_lines(reviews, analysed, items, told, source_name, generated, settings),
-        messages=message_stream(reviews, analysed, items, told, themes, source_name, generated, settings))
+        report=report_lines(cube, shown, told, source_name, generated, settings),
+        messages=message_stream(cube, shown, told, themes, source_name, generated, settings))
 
 
 @dataclass(frozen=True)

@@ -12,8 +12,7 @@ from plaudit.functions.numbers import fixed
 from plaudit.functions.ratings import review_link
 from plaudit.functions.sql import filled, quoted
 from plaudit.functions.text import score_bar, snippet, stars
-from plaudit.operators.items import ranked, with_reviews
-from plaudit.operators.metrics import export_stats, platform_stats
+from plaudit.operators.metrics import cube_platforms, cube_stats
 
 RULE = "━" * 60
 REPORT_ORDER = ["section_ord", "sort_text", "line_ord"]
@@ -28,16 +27,16 @@ CHAT_PLATFORM = ("  • *{source}*: {total} reviews  |  ★ avg {avg_text}  |  :
                  "  :thumbsdown: {neg} ({neg_pct}%)")
 
 
-def platform_lines(reviews: DataFrame, settings: Settings = DEFAULTS, chat: bool = False) -> DataFrame:
-    """``(source, line)`` for the text report, or for a chat message with ``chat``."""
-    stats = platform_stats(reviews, settings).withColumn(
+def platform_lines(cube: DataFrame, settings: Settings = DEFAULTS, chat: bool = False) -> DataFrame:
+    """``(source, line)`` of a ``review_cube`` for the text report, or for a chat message with ``chat``."""
+    stats = cube_platforms(cube).withColumn(
         "avg_text", fixed("avg_rating", 1, settings.missing_text))
     return stats.select("source", filled(CHAT_PLATFORM if chat else REPORT_PLATFORM).alias("line"))
 
 
-def shown_stats(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """``export_stats`` with the mean and the dates as text."""
-    return export_stats(reviews, settings).select(
+def shown_stats(cube: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """``cube_stats`` with the mean and the dates as text."""
+    return cube_stats(cube).select(
         "total", fixed("avg_rating", 2, settings.missing_text).alias("avg_text"),
         day(F.col("first_ts"), UNMATCHED).alias("first_day"), day(F.col("last_ts"), UNMATCHED).alias("last_day"))
 
@@ -70,9 +69,9 @@ def _lines(section: int, *lines: str | Column) -> Column:
         at.cast("long").alias("line_ord"), line.alias("line")))
 
 
-def item_lines(items: DataFrame, reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """``(item_no, line_no, line)``: six or seven lines per item, highest score first."""
-    shown = shown_items(ranked(with_reviews(items, reviews, settings), settings), settings)
+def item_lines(found: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """``(item_no, line_no, line)`` of ``reported`` items: six or seven lines per item, highest score first."""
+    shown = shown_items(found, settings)
     lines = F.array(
         F.lit(""),
         filled("  [{item_no}] Actionability: {shown_score}/{top}  {bar}  |  {shown_category}", top=settings.max_score),
@@ -86,29 +85,29 @@ def item_lines(items: DataFrame, reviews: DataFrame, settings: Settings = DEFAUL
             .filter(F.col("line").isNotNull()))
 
 
-def report_lines(reviews: DataFrame, analysed: DataFrame, items: DataFrame, summaries: DataFrame,
+def report_lines(cube: DataFrame, found: DataFrame, summaries: DataFrame,
                  source_name: str, generated: str, settings: Settings = DEFAULTS) -> DataFrame:
     """``(section_ord, sort_text, line_ord, line)``, to be ordered by the first three.
 
-    ``reviews`` are all rows of the export, ``analysed`` the ones items may refer to. With several
+    ``cube`` is the ``review_cube`` of the export and ``found`` its ``reported`` items, both best written once. With several
     batches every summary is a line of its own. ``generated`` is the run time as text.
     """
-    head = shown_stats(reviews, settings).select(F.inline(_lines(
+    head = shown_stats(cube, settings).select(F.inline(_lines(
         1, "", RULE, f"  {settings.report_title.upper()}",
         f"  Generated: {generated}  |  Source: {source_name}", RULE, "", "STATS",
         filled("  Total reviews in export:          {total}"),
         filled("  Avg star rating:                  ★ {avg_text}"),
         filled("  Date range:                       {first_day} → {last_day}"),
         "", "  Per-platform breakdown:")))
-    platforms = platform_lines(reviews, settings).selectExpr(
+    platforms = platform_lines(cube, settings).selectExpr(
         "2 as section_ord", "source as sort_text", "0L as line_ord", "line")
-    flagged = items.agg(F.count("*").alias("n")).select("n", F.inline(F.concat(
+    flagged = found.agg(F.count("*").alias("n")).select("n", F.inline(F.concat(
         _lines(3, "", RULE, filled("  MOST ACTIONABLE THEMES  ({n} flagged)"), RULE),
         _lines(4, "", "  No actionable items identified.", ""),
         _lines(5, "", RULE, "  SENTIMENT SUMMARY — Recurring Themes", RULE, ""),
         _lines(7, "", RULE, ""))))
     frame = flagged.filter("n = 0 or section_ord <> 4").drop("n")
-    listed = item_lines(items, analysed, settings).selectExpr(
+    listed = item_lines(found, settings).selectExpr(
         "4 as section_ord", "'' as sort_text", "item_no * 10 + line_no as line_ord", "line")
     told = summaries.select(F.lit(6).alias("section_ord"), F.lit("").alias("sort_text"),
                             F.col("batch_no").alias("line_ord"), filled("  {summary}").alias("line"))

@@ -38,3 +38,16 @@ def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def written_buckets(spark: SparkSession, frame: DataFrame, name: str, key: str) -> DataFrame:
+    """The frame as a table in the shared folder, hashed into buckets by ``key`` and sorted in each.
+
+    Joins on the key need no shuffle of it. Buckets are as many as shuffle partitions, so that a frame that is
+    partitioned by the key already is written as it lies.
+    """
+    path = scratch_path(spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[1]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frame.write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)

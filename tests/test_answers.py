@@ -1,14 +1,16 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from plaudit.config import DEFAULTS
-from plaudit.operators.items import ranked
+from plaudit.operators.items import ranked, reported
+from plaudit.operators.metrics import review_cube
 from plaudit.operators.scoring import categorise, categorised_batches, listed_items, score_actionability, score_categories
 from plaudit.plans import decode
 from plaudit.plans.flows import analyse, analyse_by_rules, categorise_export, deck
-from plaudit.plans.messages import message_stream
+from plaudit.plans.messages import message_stream, platform_blocks
 from plaudit.plans.prompts import analysis_frame, analysis_prompts, categorise_prompts
 from plaudit.plans.report import REPORT_ORDER, RULE
 from plaudit.plans.responder import answered
@@ -74,11 +76,37 @@ def test_messages_have_one_form(spark, batches):
                                 "review_id string, published string, author string, source string, rating double, review string, url string, month string")
     told = spark.range(1, batches + 1).selectExpr("id as batch_no", "'One.' as summary")
     themes = spark.createDataFrame([("Late", 3)], "theme string, n long")
-    found = message_stream(raw, raw, items, told, themes, "x.csv", "now").collect()
-    assert len(found) == batches + 3
+    found = message_stream(review_cube(raw), reported(items, raw), told, themes, "x.csv", "now").collect()
+    assert len(found) == batches + 4
     assert json.loads(next(row for row in found if (row.group_ord, row.item_ord) == (0, 0)).blocks_json)[8]["text"]["text"] == "Most frequent themes: Late (3)."
 
 
+def test_any_number_of_sources_makes_blocks_of_one_size(spark):
+    sources = 100_000
+    raw = spark.range(sources).selectExpr("concat('r', id) as review_id", "'2026-01-01' as published", "'A' as author", "concat('source ', lpad(id, 6, '0')) as source",
+                                          "double(1 + id % 5) as rating", "'t' as review", "'u' as url", "'2026-01' as month")
+    cube = review_cube(raw)
+    blocks = platform_blocks(cube).withColumn("lines", F.size(F.split("text", "\n")))
+    assert tuple(blocks.agg(F.count("*"), F.min("lines"), F.max("lines"), F.max(F.length("text"))).first())[:3] == (sources // 20, 20, 20)
+    third = blocks.filter("block_no = 3").first().text.splitlines()
+    assert [line.split("*")[1] for line in third] == [f"source {at:06}" for at in range(40, 60)]
+    assert platform_blocks(cube, replace(DEFAULTS, lines_per_block=30_000)).filter("block_no = 4").first().text.count("\n") == 9_999
+    items = spark.createDataFrame([(1, 0, "r1", 3, "Odd", "why")], "batch_no long, pos int, review_id string, score int, category string, reason string")
+    told = spark.createDataFrame([(1, "One.")], "batch_no long, summary string")
+    found = message_stream(cube, reported(items, raw), told, spark.createDataFrame([("Late", 3)], "theme string, n long"), "x.csv", "now")
+    assert found.filter("group_ord = 0").agg(F.max(F.length("blocks_json")), F.max("item_ord")).first()[1] == sources // 20 + 1
+    assert found.agg(F.max(F.length("blocks_json"))).first()[0] < 4_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(source" not in plan
+
+
+@pytest.mark.parametrize("name, most", [("item_blocks", 8), ("items_with_reviews", 6), ("report_lines", 10), ("message_stream", 12)])
+def test_reports_read_few_tables(spark, name, most):
+    from plaudit.catalog.queries import QUERIES
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= most
+
+
 def test_category_responses(spark, rows_of):
     good = '```json\n{"2026-01":[{"review_id":"a","category":"pricing"},{"review_id":"b","category":"other"}],"2026-02":[]}\n```'
     responses = spark.createDataFrame([("neg", 1, good), ("neg", 2, "sorry"), ("pos", 1, '{"2026-02":[{"review_id":"c"}]}')],
@@ -170,7 +198,7 @@ def test_analysis_from_export_to_report(spark, tmp_path, rows_of):
 
     messages = result.messages.orderBy("group_ord", "item_ord").collect()
     assert [(row.group_ord, row.item_ord, row.parent_ord, row.text) for row in messages] == [
-        (0, 0, None, "AI Review Analysis Report"), (0, 1, 0, "Summary 1"), (7, 0, None, "Core Issues (2 reviews)"),
+        (0, 0, None, "AI Review Analysis Report"), (0, 1, 0, "Platforms 1"), (0, 2, 0, "Summary 1"), (7, 0, None, "Core Issues (2 reviews)"),
         (7, 1, 7, "[1] Invented"), (7, 2, 7, "[2] App Crash")]
     main = json.loads(messages[0].blocks_json)
     assert [block["type"] for block in main] == [
@@ -178,15 +206,18 @@ def test_analysis_from_export_to_report(spark, tmp_path, rows_of):
     assert main[0]["text"] == {"type": "plain_text", "text": "AI Review Analysis Report", "emoji": True}
     assert main[5]["text"]["text"].endswith("(2 flagged) — see threads below\n\n:hammer_and_wrench:  *Core Issues*: 2 reviews")
     assert main[8] == {"type": "section", "text": {"type": "mrkdwn", "text": "Most frequent themes: Login (2), Fees (1)."}}
-    assert json.loads(messages[1].blocks_json)[0]["text"]["text"] == "All fine."
-    assert json.loads(messages[2].blocks_json)[0]["text"]["text"] == (
+    assert json.loads(messages[1].blocks_json)[0]["text"]["text"] == (
+        "  • *BBB*: 1 reviews  |  ★ avg 1.0  |  :thumbsup: 0 (0%)  :thumbsdown: 1 (100%)\n"
+        "  • *Google Play*: 3 reviews  |  ★ avg 3.3  |  :thumbsup: 1 (33%)  :thumbsdown: 2 (67%)")
+    assert json.loads(messages[2].blocks_json)[0]["text"]["text"] == "All fine."
+    assert json.loads(messages[3].blocks_json)[0]["text"]["text"] == (
         ":hammer_and_wrench: *Core Issues* — 2 actionable reviews (67% of negative reviews)\n\n"
         '_Example: "" — Unknown_')
-    assert json.loads(messages[4].blocks_json)[0]["text"]["text"] == (
+    assert json.loads(messages[5].blocks_json)[0]["text"]["text"] == (
         "*[2] App Crash*  `4/5  ████░`\n*Source:* BBB  |  *Rating:* ★☆☆☆☆  |  *Author:* Ann\n*Why actionable:* crashes\n"
         "_App crashes all the time_\n<https://app.reviewtrackers.com/reviews/r1|View review>")
     write_messages(result.messages, str(tmp_path / "messages"))
-    assert spark.read.json(str(tmp_path / "messages")).count() == 5
+    assert spark.read.json(str(tmp_path / "messages")).count() == 6
 
 
 def test_report_without_items(spark, tmp_path):
@@ -196,7 +227,9 @@ def test_report_without_items(spark, tmp_path):
     lines = [row.line for row in result.report.orderBy(*REPORT_ORDER).collect()]
     at = lines.index("  MOST ACTIONABLE THEMES  (0 flagged)")
     assert lines[at + 1:at + 6] == [RULE, "", "  No actionable items identified.", "", ""]
-    assert [row.text for row in result.messages.orderBy("item_ord").collect()] == ["AI Review Analysis Report", "Summary 1"]
+    assert [row.text for row in result.messages.orderBy("item_ord").collect()] == [
+        "AI Review Analysis Report", "Platforms 1", "Summary 1"]
+    assert "No themes were found." in result.messages.orderBy("item_ord").first().blocks_json
 
 
 def test_unmatched_items_and_several_batches(spark, rows_of):
@@ -205,12 +238,13 @@ def test_unmatched_items_and_several_batches(spark, rows_of):
                                 "review_id string, published string, author string, source string, rating double, review string, url string, month string")
     told = spark.createDataFrame([(1, "One."), (2, "Two.")], "batch_no long, summary string")
     themes = spark.createDataFrame([("Late", 3)], "theme string, n long")
-    found = message_stream(raw, raw, items, told, themes, "x.csv", "now").orderBy("group_ord", "item_ord").collect()
-    assert [(row.group_ord, row.item_ord, row.parent_ord) for row in found] == [(0, 0, None), (0, 1, 0), (0, 2, 0), (7, 0, None), (7, 1, 7)]
+    found = message_stream(review_cube(raw), reported(items, raw), told, themes, "x.csv", "now").orderBy("group_ord", "item_ord").collect()
+    assert [(row.group_ord, row.item_ord, row.parent_ord) for row in found] == [(0, 0, None), (0, 1, 0), (0, 2, 0), (0, 3, 0), (7, 0, None), (7, 1, 7)]
     assert json.loads(found[0].blocks_json)[8]["text"]["text"] == "Most frequent themes: Late (3)."
-    assert json.loads(found[2].blocks_json)[0]["text"]["text"] == "Two."
-    assert '_Example: "" — Unknown_' in json.loads(found[3].blocks_json)[0]["text"]["text"]
-    assert json.loads(found[4].blocks_json)[0]["text"]["text"] == (
+    assert json.loads(found[1].blocks_json)[0]["text"]["text"].startswith("  • *GP*: 1 reviews")
+    assert json.loads(found[3].blocks_json)[0]["text"]["text"] == "Two."
+    assert '_Example: "" — Unknown_' in json.loads(found[4].blocks_json)[0]["text"]["text"]
+    assert json.loads(found[5].blocks_json)[0]["text"]["text"] == (
         "*[1] Odd*  `3/5  ███░░`\n*Source:* N/A  |  *Rating:* ?  |  *Author:* N/A\n*Why actionable:* why\n__")
 
 
@@ -275,4 +309,4 @@ def test_analysis_by_rules(spark, tmp_path, rows_of):
     lines = [row.line for row in result.report.orderBy(*REPORT_ORDER).collect()]
     assert "      WHY:    crash, all the time" in lines
     assert "  Most frequent themes: App Crash (1), Slow Shipping (1)." in lines
-    assert result.messages.count() == 4
+    assert result.messages.count() == 5

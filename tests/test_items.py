@@ -3,7 +3,7 @@ import random
 
 from plaudit.config import ACTIONABLE_LABELS, DEFAULTS
 from plaudit.operators import items as it
-from plaudit.operators.joins import latest_per_key, lookup_join
+from plaudit.operators.joins import bucketed_lookup, latest_per_key, lookup_join
 
 GROUPS = {
     "Login/Auth Issue": "Core Issues", "Verification Code Failure": "Core Issues", "Payment Error": "Billing/Payments",
@@ -78,6 +78,19 @@ def test_frequent_keys_are_spread_without_changing_the_result(spark, rows_of):
     joined = lookup_join(rows, table, "key", ["id"], at_least=5, shares=8)
     values = {"hot": "H", **{f"k{at}": f"v{at}" for at in range(0, 60, 2)}}
     assert rows_of(joined, "id", "value", "matched") == [(at, values.get(key), key in values) for at, key in enumerate(keys)]
+    for at_least in (5, 100_000):
+        joined = bucketed_lookup(rows, lambda used: table.join(used, "key", "left_semi"), "key", ["id"], at_least=at_least, shares=8)
+        assert rows_of(joined, "id", "value", "matched") == [(at, values.get(key), key in values) for at, key in enumerate(keys)]
+
+
+def test_a_written_lookup_is_not_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, table = spark.range(5000).selectExpr("id", "string(id % 700) as key"), spark.range(900).selectExpr("string(id) as key", "id * 2 as value")
+        plan = bucketed_lookup(rows, lambda used: table.join(used, "key", "left_semi"), "key", ["id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
 
 
 def test_rank_limit_works_before_the_shuffle(spark):
