@@ -412,7 +412,7 @@ oracle("analysis_prompts", f"""
     select batch_no, max(total_batches) as total_batches, count(*) as n_reviews,
         {text(BEFORE)} || count(*) || {text(BETWEEN)} || string_agg(block, {text(BLOCK_SEPARATOR)} order by row_no) || {text(AFTER)} as prompt
     from (select *, (row_no - 1) // 150 + 1 as batch_no from (
-        select row_number() over (order by md5(concat_ws(chr(31), 'all', review_id, block))) as row_no,
+        select row_number() over (order by md5(concat_ws(chr(31), review_id, block))) as row_no,
             (count(*) over () + 149) // 150 as total_batches, block
         from (select review_id, '[ID: ' || review_id || ']' || chr(10) || 'Source: ' || coalesce(source, 'nan') || ' | Rating: ' || rating
             || '★ | Author: ' || coalesce(author, 'nan') || chr(10) || 'Title: ' || coalesce(title, 'nan') || chr(10)

@@ -28,32 +28,54 @@ def row_hash(columns: list[str]) -> Column:
     return F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(name).cast("string"), F.lit("")) for name in columns)))
 
 
+def row_key(columns: list[str]) -> Column:
+    """``row_hash`` with what it does not tell: which values are null, and where a column ends."""
+    nulls = (F.when(F.col(name).isNull(), "0").otherwise("1") for name in columns)
+    return F.concat(row_hash(columns), *nulls, F.hex(F.xxhash64(*columns)))
+
+
+SPAN_ROWS = 100_000
+
+
+def span_digits(rows: DataFrame, span_rows: int = SPAN_ROWS) -> Column:
+    """Digits of a hash that cut ``rows`` into spans of at most about ``span_rows``: a scalar, 4 at least."""
+    count = rows.agg(F.count("*")).scalar()
+    return F.greatest(F.lit(4), F.ceil(F.log(16.0, F.greatest(count / span_rows, F.lit(1.0))))).cast("int")
+
+
 def assign_batches(rows: DataFrame, keys: list[str], levels: list[str], size: int,
-                   hash_digits: int = 4) -> DataFrame:
-    """Add ``row_no`` and ``batch_no`` (from 1) and ``total_batches`` within ``keys``.
-
-    Order: ``levels``, then the MD5 of the whole row. The first ``hash_digits`` digits of it cut every group
-    into 16 ** ``hash_digits`` spans of about the same size, also where ids are missing or repeated; take more
-    digits where a span would not fit a task, the result is the same. All batches but the last of a group are
-    full. Equal rows are counted before the shuffle and laid out again batch by batch, so that a review
-    copied any number of times never forms one large span.
-    The result is hash-partitioned by ``keys`` and ``batch_no``; grouping by these needs no shuffle.
+                   hash_digits: int | None = None) -> DataFrame:
+    """Add ``row_no`` and ``batch_no`` (from 1) and ``total_batches`` within ``keys`` (none: all rows).
+
+    Order: ``levels``, then the MD5 of the whole row. The first digits of it cut every group into spans of about the same
+    size, also where ids are missing or repeated; as many digits as the number of rows asks for, or ``hash_digits``, with
+    the same result. All batches but the last of a group are full. Equal rows are counted before the shuffle and laid out
+    again batch by batch, so that a review copied any number of times never forms one large span.
+
+    Positions are computed on hashes and numbers of copies alone. The other columns travel twice: to meet the
+    position of their hash, one of equal rows from each task, and to their batch. The result is hash-partitioned by
+    ``batch_no`` (keys may be constants, which Spark leaves out of groups); grouping by keys and ``batch_no`` needs no shuffle.
     """
     columns = rows.columns
-    packed = rows.groupBy(*columns).agg(F.count("*").alias("copies")).withColumn("row_hash", row_hash(columns))
-    packed = packed.withColumn("spread", prefix(F.col("row_hash"), hash_digits))
-    placed = running_position(packed, keys, [*levels, "spread"], ["row_hash", *columns], "last_row", weight="copies")
+    hashed = rows.withColumn("row_key", row_key(columns))
+    digits = F.lit(hash_digits) if hash_digits else span_digits(rows)
+    slim = (hashed.groupBy(*keys, *levels, "row_key").agg(F.count("*").alias("copies"))
+            .withColumn("spread", F.left("row_key", digits)))
+    placed = running_position(slim, keys, [*levels, "spread"], ["row_key"], "last_row", weight="copies")
+    texts = hashed.groupBy("row_key").agg(F.first(F.struct(*columns)).alias("row"))
+    found = texts.join(placed.select("row_key", "last_row", "copies", "group_rows"), "row_key").select(
+        "row.*", "last_row", "copies", "group_rows")
 
     first, last = F.col("last_row") - F.col("copies"), F.col("last_row") - 1  # from 0
     batches = F.sequence(F.floor(first / size), F.floor(last / size))
-    per_batch = placed.select(
+    per_batch = found.select(
         *columns, "last_row", "copies",
         F.ceil(F.col("group_rows") / size).alias("total_batches"),
         F.explode(batches).alias("batch"))
     start = F.greatest(first, F.col("batch") * size)
     end = F.least(last, (F.col("batch") + 1) * size - 1)
     return (per_batch.withColumn("batch_no", F.col("batch") + 1)
-            .repartition(*keys, "batch_no")
+            .repartition("batch_no")
             .select(*columns, "batch_no", "total_batches",
                     F.explode(F.sequence(start + 1, end + 1)).alias("row_no")))
 

@@ -136,6 +136,6 @@ def score_actionability(reviews: DataFrame, lexicon: Lexicon = ACTIONABLE_LEXICO
 
 def listed_items(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Scored items with ``batch_no`` and ``pos``, as if they had come in answers of a batch each."""
-    batches = assign_batches(scored.withColumn("scope", F.lit("all")), ["scope"], [], settings.batch_size)
+    batches = assign_batches(scored, [], [], settings.batch_size)
     return batches.select("batch_no", (F.pmod(F.col("row_no") - 1, F.lit(settings.batch_size))).cast("int").alias("pos"),
                           "review_id", "score", "category", "reason")

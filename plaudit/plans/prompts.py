@@ -75,12 +75,12 @@ def _with_hash(prompts: DataFrame) -> DataFrame:
 def analysis_prompts(analysable: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``(batch_no, total_batches, n_reviews, prompt, prompt_hash)``; a prompt holds one batch."""
     before, between, after = analysis_frame(settings)
-    blocks = analysable.select(F.lit("all").alias("scope"), "review_id", review_block(settings).alias("block"))
-    batches = assign_batches(blocks, ["scope"], [], settings.batch_size)
+    blocks = analysable.select("review_id", review_block(settings).alias("block"))
+    batches = assign_batches(blocks, [], [], settings.batch_size)
     rows = F.array_sort(F.collect_list(F.struct("row_no", "block")))
     joined = F.array_join(F.transform("rows", lambda row: row["block"]), BLOCK_SEPARATOR)
     return _with_hash(
-        batches.groupBy("scope", "batch_no")
+        batches.groupBy("batch_no")
         .agg(F.max("total_batches").alias("total_batches"), rows.alias("rows"))
         .withColumn("n_reviews", F.size("rows").cast("long"))
         .select("batch_no", "total_batches", "n_reviews",

@@ -4,8 +4,9 @@ from collections import Counter
 
 import pytest
 
-from plaudit.operators.batching import assign_batches, bucket_counts, bucket_reviews, row_hash, sentiment_batches
-from plaudit.operators.ordinals import running_position
+from plaudit.operators.batching import assign_batches, bucket_counts, bucket_reviews, row_hash, sentiment_batches, span_digits
+from plaudit.operators.ordinals import position_in_order, running_position
+from plaudit.plans.prompts import analysis_prompts, categorise_prompts
 
 
 def brute_force(rows, size):
@@ -47,6 +48,56 @@ def test_grouping_by_batch_needs_no_further_shuffle(spark):
     assert top.count("HashAggregate") == 2 and "REPARTITION_BY_COL" in plan.split("Exchange", 2)[1]
 
 
+def exchanges_with(frame, names):
+    """The shuffles of a plan that carry a column of one of the names."""
+    found, nodes = 0, [frame._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        children = node.children()
+        nodes += [children.apply(at) for at in range(children.size())]
+        if node.nodeName() == "Exchange":
+            own = node.output()
+            found += any(own.apply(at).name() in names for at in range(own.size()))
+    return found
+
+
+def test_texts_cross_two_shuffles(spark):
+    """A text meets its position and then its batch; ``first`` and ``row`` are names it has on the way."""
+    rows = spark.range(1000).selectExpr("string(id) as review_id", "'2026-01' as month", "'neg' as sentiment", "concat('text ', id) as review",
+                                        "'S' as source", "1.0D as rating", "'A' as author", "'T' as title")
+    texts = {"review", "block", "first", "row", "rows"}  # by name, or in the struct that is gathered per hash
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        for prompts in (analysis_prompts(rows), categorise_prompts(rows.select("sentiment", "month", "review_id", "review"))):
+            assert exchanges_with(prompts, texts) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_batches_without_keys(spark):
+    rows = [(f"R{at % 300}", f"text {at % 300}") for at in range(500)] + [(None, None)] * 40
+    found = sorted(assign_batches(spark.createDataFrame(rows, "review_id string, review string"), [], [], 50).collect(), key=lambda row: row.row_no)
+    expected = sorted(rows, key=lambda row: hashlib.md5("\x1f".join(value or "" for value in row).encode()).hexdigest())
+    assert [(row.review_id, row.review) for row in found] == expected
+    assert [(row.row_no, row.batch_no, row.total_batches) for row in found] == [(at + 1, at // 50 + 1, 11) for at in range(540)]
+
+
+def test_null_and_empty_values_stay_apart(spark):
+    rows = [("a", None), ("a", ""), ("a", ""), (None, "a"), ("a\x1fb", "c"), ("a", "b\x1fc")]
+    found = assign_batches(spark.createDataFrame(rows, "review_id string, review string"), [], [], 4).collect()
+    assert Counter((row.review_id, row.review) for row in found) == Counter(rows)
+    assert sorted(row.row_no for row in found) == [1, 2, 3, 4, 5, 6]
+
+
+def test_spans_follow_the_number_of_rows(spark):
+    rows = spark.range(70_000).toDF("id")
+    digits = [rows.limit(1).select(span_digits(rows, size)).first()[0] for size in (100_000, 1, 16)]
+    assert digits == [4, 5, 4]
+
+
 def test_buckets(spark, rows_of):
     rows = [("R1", "2026-01", 5.0, "old"), ("R2", "2026-02", 4.0, "x" * 600), ("R3", "2026-03", 3.9, "bad")]
     frame = spark.createDataFrame(rows, "review_id string, month string, rating double, review string")
@@ -63,3 +114,9 @@ def test_running_position_equals_a_plain_count(spark):
     for name in "ab":
         own = [row[3] for row in rows if row[0] == name]
         assert [found[at] for at in own] == [(nth, len(own)) for nth in range(1, len(own) + 1)]
+
+
+def test_position_in_any_order(spark):
+    names = [f"source {random.Random(at).randrange(10**6)}-{at}" for at in range(700)]
+    found = position_in_order(spark.createDataFrame([(name,) for name in names], "name string").repartition(5), ["name"], "place").collect()
+    assert {row.name: row.place for row in found} == {name: at for at, name in enumerate(sorted(names), 1)}
