@@ -2,16 +2,16 @@
 
 Shards are cut by content, so that equal strings meet in one of them wherever they come from:
 
-1. Anchors. Of the ``anchor``-byte strings inside each window of ``match`` bytes the one with the least hash is an anchor: equal windows
-   have equal anchors. Around an anchor lies its context, the bytes of all windows that hold it. Anchors are found with numpy, in
-   parts of bounded size (very long texts in overlapping parts), about one for each 35 bytes; only hashes and places travel.
+1. Anchors. Of the ``anchor``-byte strings inside each window of ``match`` bytes the one with the least hash is the window's anchor:
+   equal windows have equal anchors. The context of an anchor is the bytes of the windows it is the anchor of. Anchors are found with
+   numpy, in parts of bounded size (very long texts in overlapping parts), about one for each 35 bytes; only hashes and places travel.
 2. Of equal contexts all but the earliest are repeated as a whole. Within a part this is known at once, so that a text copied any
    number of times sends a few rows; the rest is grouped by Spark. Most anchors have one context, and need nothing else.
 3. Anchors in different contexts (at the ends of passages, around edits): the earliest of each context sends its bytes. Shards of whole
    anchors, about ``shard_bytes`` each, get a suffix array by induced sorting and its permuted common prefixes (module
    ``suffix_arrays``); suffixes next to each other that share ``match`` bytes are one string, and all but its earliest place are repeated.
    An anchor in more than ``hot_contexts`` contexts, as at the ends of a passage that a third of all documents holds, would not fit a
-   shard: its windows are grouped by their MD5 instead, which is the same comparison without an order.
+   shard: its windows are compared by hashes of 128 bits instead, first within a batch, then by groups.
 4. The repeated stretches go to their documents, whose texts are shuffled by id.
 
 Defined cases: null text is the empty text. Documents are in the order of their ids, null ids last; those of one id by a hash of the
@@ -21,7 +21,6 @@ kept may cut a character. Texts shorter than ``match`` bytes lose nothing. Other
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +41,7 @@ class DedupOptions:
     anchor: int = 32
     part_bytes: int = 1 << 20
     shard_bytes: int = 1 << 20
-    hot_contexts: int = 4096
+    hot_contexts: int = 512
 
     @property
     def reach(self) -> int:
@@ -94,27 +93,23 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 class Part:
-    """Pieces of texts, one after another: document, place in it, and the window starts a piece answers for."""
+    """Pieces of texts, one after another: document, bytes, and where in the document they begin."""
 
     def __init__(self) -> None:
-        self.pieces: list[tuple] = []
+        self.pieces: list[tuple[tuple[int, int], bytes, int]] = []
         self.size = 0
 
-    def add(self, doc: tuple[int, int], data: bytes, low: int, length: int) -> None:
-        """``data`` is the document's from ``low`` on; the piece has all windows that fit in."""
-        self.pieces.append((doc, data, low, length))
+    def add(self, doc: tuple[int, int], data: bytes, low: int) -> None:
+        self.pieces.append((doc, data, low))
         self.size += len(data)
 
 
 def parts_of(rows: Iterator[tuple[int, int, bytes]], options: DedupOptions) -> Iterator[Part]:
-    """Parts of about ``part_bytes``; a longer text is cut, with the context of an anchor on both sides of a cut."""
-    part, step, margin = Part(), options.part_bytes, 2 * options.match
+    """Parts of about ``part_bytes``; a longer text is cut into pieces that overlap by a window."""
+    part, step, match = Part(), options.part_bytes, options.match
     for doc, tie, data in rows:
-        if len(data) < options.match:
-            continue
-        for low in range(0, max(1, len(data) - margin), step):
-            start, stop = max(0, low - margin), min(len(data), low + step + margin)
-            part.add((doc, tie), data[start:stop], start, len(data))
+        for low in range(0, len(data) - match + 1, step):
+            part.add((doc, tie), data[low:low + step + match - 1], low)
             if part.size >= step:
                 yield part
                 part = Part()
@@ -122,52 +117,58 @@ def parts_of(rows: Iterator[tuple[int, int, bytes]], options: DedupOptions) -> I
         yield part
 
 
+def repetitions(found: dict[str, np.ndarray], keys: tuple[str, ...]) -> np.ndarray:
+    """Rows whose keys come at an earlier place among the rows; rows of the same place are one."""
+    order = np.lexsort([found[name] for name in ("place", "tie", "doc_key", *keys[::-1])])
+    ordered = {name: values[order] for name, values in found.items()}
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([ordered[name][1:] != ordered[name][:-1] for name in keys], axis=0)
+    leader = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    late = np.zeros(len(order), bool)
+    late[order] = np.any([ordered[name] != ordered[name][leader] for name in (*KEY, "place")], axis=0)
+    return late
+
+
 class AnchorFinder:
     def __init__(self, options: DedupOptions) -> None:
         self.options, self.first, self.second = options, Hashes(11), Hashes(12)
 
     def __call__(self, part: Part) -> dict[str, np.ndarray]:
-        """Anchors with their contexts: ``anchor, context, doc_key, tie, pos``, equal contexts of the part told apart by ``repeated``."""
+        """Anchors with their contexts: ``anchor, context, doc_key, tie, place``, and ``repeated`` for contexts met earlier in the part."""
         width, match, reach = self.options.anchor, self.options.match, self.options.reach
         data = np.frombuffer(b"".join(piece[1] for piece in part.pieces), np.uint8)
-        sizes = np.array([len(piece[1]) for piece in part.pieces])
-        ends = np.cumsum(sizes)
-        begins = ends - sizes
+        ends = np.cumsum([len(piece[1]) for piece in part.pieces])
+        begins = np.r_[0, ends[:-1]]
         sums = self.first.sums(data)
         starts = np.arange(len(data) - width + 1)
-        grams = self.first.of(sums, starts, starts + width)
-        np.maximum(grams, 1, out=grams)
-        least = sliding(grams, reach + 1, np.minimum)            # of the window that starts here
-        crossing = (ends[:-1, None] - np.arange(match - 1, 0, -1)).ravel()
-        least[crossing[(crossing >= 0) & (crossing < len(least))]] = 0
+        grams = np.maximum(self.first.of(sums, starts, starts + width), 1)
+        least = sliding(grams, reach + 1, np.minimum)            # of the window that starts here; 0 where it leaves its piece
+        least[(ends[:-1, None] - np.arange(match - 1, 0, -1)).ravel()] = 0
         best = sliding(np.r_[np.zeros(reach, np.uint64), least, np.zeros(reach, np.uint64)], reach + 1, np.maximum)[:len(grams)]
         at = np.flatnonzero(grams == best)
         piece = np.searchsorted(ends, at, side="right")
-        # A context is clipped by its document; pieces of long documents reach far enough, or else another piece has the anchor.
-        low = np.array([entry[2] for entry in part.pieces])[piece]
-        length = np.array([entry[3] for entry in part.pieces])[piece]
-        pos = at - begins[piece] + low
-        left, right = np.minimum(pos, reach), np.minimum(length - pos, match)
-        inside = (at - left >= begins[piece]) & (at + right <= ends[piece])
-        at, piece, pos, left, right = at[inside], piece[inside], pos[inside], left[inside], right[inside]
-        other = self.second.sums(data)
-        context = mixed(self.second.of(other, at - left, at + right) ^ (left * (match + 1) + right).astype(np.uint64))
+        # Windows with the same least hash follow one another and have their anchors in the same order.
+        edge = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        stop = np.r_[edge[1:], len(least)]
+        edge, stop = edge[least[edge] > 0], stop[least[edge] > 0]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (grams[at[1:]] != grams[at[:-1]]) | (piece[1:] != piece[:-1])
+        run = np.cumsum(fresh) - 1
+        low = np.maximum(edge[run], at - reach)
+        high = np.minimum(stop[run] - 1, at)                     # first and last window of each anchor
+        left, right = at - low, at - high
+        context = mixed(self.second.of(self.second.sums(data), low, high + match) ^ ((left << 16) + right).astype(np.uint64))
         docs = np.array([entry[0] for entry in part.pieces], dtype=np.int64)
-        found = {"anchor": grams[at].astype(np.int64), "context": context.astype(np.int64), "doc_key": docs[piece, 0], "tie": docs[piece, 1], "pos": pos}
-        # The earliest place of each context in the part; rows of the same place are not repetitions.
-        order = np.lexsort((found["pos"], found["tie"], found["doc_key"], found["context"], found["anchor"]))
-        found = {name: values[order] for name, values in found.items()}
-        fresh = np.ones(len(order), bool)
-        if len(order):
-            fresh[1:] = (found["context"][1:] != found["context"][:-1]) | (found["anchor"][1:] != found["anchor"][:-1])
-            leader = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-            found["repeated"] = np.any([found[name] != found[name][leader] for name in (*KEY, "pos")], axis=0)
-        else:
-            found["repeated"] = np.zeros(0, bool)
-        return found
+        pos = at - begins[piece] + np.array([entry[2] for entry in part.pieces])[piece]
+        found = {"anchor": grams[at].astype(np.int64), "context": context.astype(np.int64), "doc_key": docs[piece, 0], "tie": docs[piece, 1],
+                 "place": (pos << 32) + (left << 16) + right}
+        return found | {"repeated": repetitions(found, ("anchor", "context"))}
 
 
-ANCHORS = "anchor long, context long, doc_key long, tie long, pos long, repeated boolean"
+# A place is a position with the first and the last window of an anchor there, as distances before it.
+ANCHORS = "anchor long, context long, doc_key long, tie long, place long, repeated boolean"
+FIRST_WINDOW = "shiftright(place, 32) - (shiftright(place, 16) & 65535)"
+LAST_WINDOW = "shiftright(place, 32) - (place & 65535)"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -194,19 +195,24 @@ def anchors(rows: DataFrame, options: DedupOptions) -> DataFrame:
     return rows.select("doc_key", "tie", "text").mapInArrow(found, ANCHORS)
 
 
-def judged_contexts(found: DataFrame) -> DataFrame:
-    """``doc_key, tie, pos, anchor, contexts`` of places whose context is repeated (``contexts`` 0) or whose anchor has several.
+def grouped(found: DataFrame, key: str, content: str) -> DataFrame:
+    """``group, is_first`` added, rows partitioned by group: is this the earliest place of the same key and content?
 
     Places already known to be repeated are dealt out one by one, so that they never form a group.
     """
-    place = F.struct(*KEY, "pos")
-    dealt = found.withColumn("group", F.when(F.col("repeated"), F.xxhash64("context", *KEY, "pos")).otherwise(F.col("anchor")))
+    place = F.struct(*KEY, "place")
+    dealt = found.withColumn("group", F.when(F.col("repeated"), F.xxhash64(content, *KEY, "place")).otherwise(F.col(key)))
+    same = Window.partitionBy("group", "repeated", content)
+    return dealt.repartition("group", "repeated").withColumn("is_first", (place == F.min(place).over(same)) & ~F.col("repeated"))
+
+
+def judged_contexts(found: DataFrame) -> DataFrame:
+    """``doc_key, tie, place, anchor, contexts`` of places whose context is repeated (``contexts`` 0) or whose anchor has several."""
     own = Window.partitionBy("group", "repeated")
-    same = Window.partitionBy("group", "repeated", "context")
-    first = dealt.repartition("group", "repeated").withColumn("is_first", (place == F.min(place).over(same)) & ~F.col("repeated"))
     several = F.min("context").over(own) != F.max("context").over(own)
     contexts = F.when(several & F.col("is_first"), F.sum(F.when(F.col("is_first"), 1).otherwise(0)).over(own)).otherwise(0)
-    return first.withColumn("contexts", contexts).where("not is_first or contexts > 0").select(*KEY, "pos", "anchor", "contexts")
+    return (grouped(found, "anchor", "context").withColumn("contexts", contexts)
+            .where("not is_first or contexts > 0").select(*KEY, "place", "anchor", "contexts"))
 
 
 # Shards ---------------------------------------------------------------------------------------
@@ -222,12 +228,13 @@ def snippets(texts: DataFrame, places: DataFrame, options: DedupOptions) -> Data
             for doc, tie, text, wanted in zip(*(batch.column(name) for name in (*KEY, "text", "wanted"))):
                 data = text.as_buffer().to_pybytes()
                 for entry in wanted.as_py():
-                    start = max(0, entry["pos"] - options.reach)
-                    out.append((entry["anchor"], entry["contexts"], doc.as_py(), tie.as_py(), start, data[start:entry["pos"] + options.match]))
+                    out.append((entry["anchor"], entry["contexts"], doc.as_py(), tie.as_py(), entry["first"],
+                                data[entry["first"]:entry["last"] + options.match]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*out)], [field.split()[0] for field in SNIPPETS.split(", ")])
 
-    wanted = places.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "anchor", "contexts")).alias("wanted"))
+    wanted = places.groupBy(*KEY).agg(F.collect_list(F.struct(
+        F.expr(FIRST_WINDOW).alias("first"), F.expr(LAST_WINDOW).alias("last"), "anchor", "contexts")).alias("wanted"))
     return texts.join(wanted, KEY).select(*KEY, "text", "wanted").mapInArrow(cut, SNIPPETS)
 
 
@@ -297,21 +304,29 @@ def shard_stretches(rows: DataFrame, options: DedupOptions) -> DataFrame:
 
 
 def hot_stretches(rows: DataFrame, options: DedupOptions) -> DataFrame:
-    """The same for anchors with too many contexts for a shard: windows by their MD5, repeated ones by a second grouping."""
+    """The same for anchors with too many contexts for a shard: window by window, by two hashes of 64 bits."""
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = Hashes(13), Hashes(14)
         for batch in batches:
-            out = []
-            for doc, tie, start, data in zip(*(batch.column(name).to_pylist() for name in (*KEY, "start", "bytes"))):
-                out += [(doc, tie, start + at, hashlib.md5(data[at:at + options.match]).digest()) for at in range(len(data) - options.match + 1)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*out)], ["doc_key", "tie", "start", "hash"])
+            pieces = batch.column("bytes").to_pylist()
+            if not pieces:
+                continue
+            data = np.frombuffer(b"".join(pieces), np.uint8)
+            sizes = np.array([len(piece) for piece in pieces])
+            counts = sizes - options.match + 1
+            offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            starts = np.repeat(np.cumsum(sizes) - sizes, counts) + offset
+            found = {name: hashes.of(hashes.sums(data), starts, starts + options.match).astype(np.int64)
+                     for name, hashes in (("one", first), ("two", second))}
+            found |= {name: np.repeat(batch.column(name).to_numpy(), counts) for name in KEY}
+            found["place"] = np.repeat(batch.column("start").to_numpy(), counts) + offset
+            found["repeated"] = repetitions(found, ("one", "two"))
+            yield pa.RecordBatch.from_arrays([pa.array(values) for values in found.values()], list(found))
 
     hot = rows.where(F.col("contexts") > options.hot_contexts).select(*KEY, "start", "bytes")
-    found = hot.mapInArrow(windows, "doc_key long, tie long, start long, hash binary")
-    firsts = found.groupBy("hash").agg(F.min(F.struct(*KEY, "start")).alias("first")).select("first.*", F.lit(True).alias("is_first"))
-    both = found.select(*KEY, "start", F.lit(False).alias("is_first")).unionByName(firsts)
-    late = both.groupBy(*KEY, "start").agg(F.max("is_first").alias("is_first")).where("not is_first")
-    return late.select(*KEY, "start", (F.col("start") + options.match).alias("stop"))
+    found = hot.mapInArrow(windows, "one long, two long, doc_key long, tie long, place long, repeated boolean")
+    return grouped(found, "one", "two").where("not is_first").select(
+        *KEY, F.col("place").alias("start"), (F.col("place") + options.match).alias("stop"))
 
 
 # Documents ------------------------------------------------------------------------------------
@@ -323,36 +338,42 @@ def stretches(spark: SparkSession, docs: DataFrame, options: DedupOptions = Dedu
     judged = written(spark, judged_contexts(anchors(rows, options)), "contexts")
     texts = rows.repartition(*KEY)
     cut = written(spark, snippets(texts, judged.where("contexts > 0"), options), "snippets")
-    whole = judged.where("contexts = 0").select(*KEY, (F.col("pos") - options.reach).alias("start"), (F.col("pos") + options.match).alias("stop"))
+    whole = judged.where("contexts = 0").selectExpr(*KEY, f"{FIRST_WINDOW} as start", f"{LAST_WINDOW} + {options.match} as stop")
     return texts, whole.unionByName(shard_stretches(cut, options)).unionByName(hot_stretches(cut, options))
 
 
-def merged(starts: list[int], stops: list[int], size: int) -> list[tuple[int, int]]:
-    """Overlapping and touching stretches as one, clipped to the text."""
-    found: list[tuple[int, int]] = []
-    for start, stop in sorted(zip(starts, stops)):
-        start, stop = max(0, start), min(size, stop)
-        if found and start <= found[-1][1]:
-            found[-1] = (found[-1][0], max(stop, found[-1][1]))
-        else:
-            found.append((start, stop))
-    return found
+def merged(owner: np.ndarray, starts: np.ndarray, stops: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping and touching stretches of the same text as one: owners, starts, stops in order."""
+    shift = np.cumsum(sizes + 1) - sizes - 1                    # all texts on one line, with a gap between them
+    order = np.argsort(starts + shift[owner], kind="stable")
+    owner, starts, stops = owner[order], starts[order], stops[order]
+    reached = np.maximum.accumulate(stops + shift[owner])
+    heads = np.ones(len(order), bool)
+    heads[1:] = starts[1:] + shift[owner[1:]] > reached[:-1]
+    first = np.flatnonzero(heads)
+    last = np.r_[first[1:], len(order)] - 1
+    return owner[first], starts[first], reached[last] - shift[owner[first]]
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, options: DedupOptions = DedupOptions()) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: per document the removed spans (bytes from, to) and the remaining bytes."""
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, text in enumerate(batch.column("text")):
-                data = text.as_buffer().to_pybytes()
-                marks = batch.column("marks")[at].as_py() or []
-                spans = merged([mark["start"] for mark in marks], [mark["stop"] for mark in marks], len(data))
-                ends = [0, *(stop for _, stop in spans)]
-                kept = b"".join(data[end:start] for end, start in zip(ends, [*(start for start, _ in spans), len(data)]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, 1), pa.array([len(data)], pa.int64()),
-                     pa.array([[{"start": start, "stop": stop} for start, stop in spans]], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                     pa.array([kept], pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            if not batch.num_rows:
+                continue
+            texts = [text.as_buffer().to_pybytes() for text in batch.column("text")]
+            sizes = np.array([len(text) for text in texts])
+            marks = batch.column("marks")
+            listed, counts = marks.flatten(), np.diff(np.r_[0, np.cumsum([len(entry) if entry.is_valid else 0 for entry in marks])])
+            owner, starts, stops = merged(np.repeat(np.arange(len(texts)), counts), *(listed.field(name).to_numpy() for name in ("start", "stop")), sizes)
+            offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+            kept = []
+            for text, low, high in zip(texts, offsets[:-1], offsets[1:]):
+                ends = [0, *stops[low:high].tolist()]
+                kept.append(b"".join(text[end:start] for end, start in zip(ends, [*starts[low:high].tolist(), len(text)])))
+            spans = pa.StructArray.from_arrays([pa.array(starts), pa.array(stops)], ["start", "stop"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), spans),
+                                              pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     texts, found = stretches(spark, docs, options)
     marks = found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
