@@ -8,20 +8,25 @@ from plaudit.config import DEFAULTS, EXPORT_COLUMNS, Settings
 from plaudit.functions.dates import MONTH_PATTERN, month_key
 from plaudit.functions.ratings import coerce_rating, has_text, na_to_null, strict_rating
 from plaudit.functions.text import is_blank, strip
+from plaudit.sources.split_csv import POSITION, read_split_csv
 
 CSV_QUOTING = {"quote": '"', "escape": '"'}
 
 
-def read_export(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> DataFrame:
+def read_export(spark: SparkSession, paths: str | list[str], multi_line: bool = True, split: bool = True,
+                positions: bool = False) -> DataFrame:
     """Raw rows of one or more exports, every column as text.
 
-    Quoted line breaks need ``multi_line``, which reads each file in one task: hand in many files,
-    or switch it off for exports without line breaks so that Spark can split them. Headers are
+    Quoted line breaks need ``multi_line``. Files are then split into ranges whose quotes are counted first
+    (``split_csv``); ``split=False`` leaves each file to one task of Spark's own reader. Headers are
     checked per file; a file with another column order fails instead of being read by position.
+    ``positions`` adds the place of a row in the export: ``file, range, line``, to be sorted by in this order.
     """
     raw = spark.read.csv(paths, header=True, multiLine=multi_line, enforceSchema=False, **CSV_QUOTING)
+    if multi_line and split or positions:
+        raw = read_split_csv(spark, paths, raw.columns, CSV_QUOTING)
     named = raw.toDF(*[name.strip() for name in raw.columns])
-    return named.select(*[F.col(f"`{header}`").alias(name) for header, name in EXPORT_COLUMNS])
+    return named.select(*[F.col(f"`{header}`").alias(name) for header, name in EXPORT_COLUMNS], *(POSITION if positions else ()))
 
 
 def write_export(raw: DataFrame, path: str) -> None:
