@@ -19,7 +19,7 @@ from plaudit.plans.decode import (
 from plaudit.plans.messages import message_stream
 from plaudit.plans.prompts import analysis_prompts, categorise_prompts
 from plaudit.plans.report import report_lines
-from plaudit.plans.responder import Responder, answered
+from plaudit.plans.responder import Responder, answered, failed_prompts
 from plaudit.sources.exports import analysable, coerced, rated, rated_text, rejected_ratings
 from plaudit.sources.staging import written
 
@@ -34,6 +34,7 @@ class AnalysisResult:
     rejected_entries: DataFrame | None = None    # entries of answers that are no items
     rejected_responses: DataFrame | None = None  # answers that could not be parsed
     rejected_ratings: DataFrame | None = None    # ratings that are no numbers, counted as unrated
+    failed_prompts: DataFrame | None = None      # prompts without an answer, with the error
 
 
 def analyse(spark: SparkSession, raw: DataFrame, responder: Responder, store: str, source_name: str,
@@ -46,7 +47,7 @@ def analyse(spark: SparkSession, raw: DataFrame, responder: Responder, store: st
     reviews = coerced(raw)
     analysed = analysable(reviews, settings)
     answers = answered(spark, analysis_prompts(analysed, settings), responder, store)
-    responses = written(spark, parse_analysis(answers), "answers")
+    responses = written(spark, parse_analysis(answers.filter("response is not null")), "answers")
     found = decode_analysis(responses)
     items = actionable(found, settings)
     told, themes = summaries(responses), theme_counts(responses)
@@ -58,7 +59,8 @@ def analyse(spark: SparkSession, raw: DataFrame, responder: Responder, store: st
         rejected_items=found.filter(~in_score_range(settings)),
         rejected_entries=rejected_entries(responses),
         rejected_ratings=rejected_ratings(raw),
-        rejected_responses=rejected_responses(responses))
+        rejected_responses=rejected_responses(responses),
+        failed_prompts=failed_prompts(answers))
 
 
 def analyse_by_rules(spark: SparkSession, raw: DataFrame, source_name: str, generated: str,
@@ -84,6 +86,7 @@ class CategoriesResult:
     asked: DataFrame                # sentiment, month, review_id, review
     rejected_entries: DataFrame     # sentiment, batch_no, month, entry
     unanswered: DataFrame           # asked reviews that no answer gave a category
+    failed_prompts: DataFrame       # prompts without an answer, with the error
 
 
 def categorise_export(spark: SparkSession, raw: DataFrame, responder: Responder, store: str,
@@ -93,10 +96,11 @@ def categorise_export(spark: SparkSession, raw: DataFrame, responder: Responder,
     ``validate_month`` keeps junk dates, which sort last, from displacing real months.
     """
     asked = bucket_reviews(rated_text(raw, validate_month), settings)
-    responses = answered(spark, categorise_prompts(asked, settings), responder, store)
+    answers = answered(spark, categorise_prompts(asked, settings), responder, store)
+    responses = answers.filter("response is not null")
     found = decode_categories(responses)
     return CategoriesResult(found, rejected_categories(responses), asked, rejected_category_entries(responses),
-                            unanswered(asked, found))
+                            unanswered(asked, found), failed_prompts(answers))
 
 
 def deck(raw: DataFrame, categorised: DataFrame, settings: Settings = DEFAULTS,

@@ -13,7 +13,7 @@ from plaudit.plans.flows import analyse, analyse_by_rules, categorise_export, de
 from plaudit.plans.messages import message_stream, platform_blocks
 from plaudit.plans.prompts import analysis_frame, analysis_prompts, categorise_prompts
 from plaudit.plans.report import REPORT_ORDER, RULE
-from plaudit.plans.responder import answered
+from plaudit.plans.responder import ResponderFailed, answered, failed_prompts
 from plaudit.sources.documents import categorised_document, read_categorised, write_lines, write_messages
 from plaudit.sources.exports import rated_text, read_export
 from test_exports import export
@@ -162,6 +162,52 @@ def test_store_is_asked_once(spark, tmp_path, rows_of):
         answered(spark, prompts.withColumn("prompt_hash", F.lit("new")), never, store)
 
 
+def test_a_failing_prompt_costs_itself_alone(spark, tmp_path, rows_of):
+    """Some prompts raise, some are answered by no text: the others are answered, a rerun asks for these alone."""
+    prompts = spark.range(40).selectExpr("id as batch_no", "concat('prompt ', id) as prompt").withColumn("prompt_hash", F.sha2("prompt", 256))
+    store, log = str(tmp_path / "store"), tmp_path / "asked"
+    log.mkdir()
+
+    def sometimes(prompt):
+        (log / f"{prompt.split()[1]}-{len(list(log.glob(prompt.split()[1] + '-*')))}").touch()
+        number = int(prompt.split()[1])
+        if number % 10 == 3:
+            raise ValueError(f"no answer to {number}")
+        return None if number == 20 else prompt.upper()
+
+    found = answered(spark, prompts, sometimes, store, parallelism=3, at_once=4, round_prompts=9)
+    failed = [3, 13, 20, 23, 33]
+    assert rows_of(found.filter("response is not null"), "batch_no", "response") == [(at, f"PROMPT {at}") for at in range(40) if at not in failed]
+    assert rows_of(failed_prompts(found), "batch_no", "error") == [
+        (3, "ValueError: no answer to 3"), (13, "ValueError: no answer to 13"), (20, "no text but NoneType"),
+        (23, "ValueError: no answer to 23"), (33, "ValueError: no answer to 33")]
+    again = answered(spark, prompts, str.title, store)
+    assert rows_of(again, "batch_no", "response", "error") == [(at, f"Prompt {at}" if at in failed else f"PROMPT {at}", None) for at in range(40)]
+    assert len(list(log.iterdir())) == 40
+
+
+def test_rounds_that_are_stored_survive_a_failure(spark, tmp_path):
+    """The run ends at the first round without an answer; what came before is not asked for again."""
+    prompts = spark.range(30).selectExpr("id as batch_no", "concat('prompt ', id) as prompt").withColumn("prompt_hash", F.sha2("prompt", 256))
+    store, stop = str(tmp_path / "store"), tmp_path / "stop"
+
+    def until(prompt):
+        if stop.exists():
+            raise ConnectionError("closed")
+        if prompt == last:
+            stop.touch()
+        return prompt
+
+    rounds = {row.prompt: row.nth for row in prompts.select("prompt", F.pmod(F.xxhash64("prompt_hash"), F.lit(6)).alias("nth")).collect()}
+    last = next(prompt for prompt, nth in rounds.items() if nth == 2)
+    with pytest.raises(ResponderFailed, match="closed"):
+        answered(spark, prompts, until, store, parallelism=1, at_once=1, round_prompts=5)
+    stored = spark.read.parquet(store).filter("response is not null").count()
+    assert sum(nth < 2 for nth in rounds.values()) < stored < 30
+    stop.unlink()
+    assert answered(spark, prompts, str.upper, store).filter("response = prompt_hash or response is null").count() == 0
+
+
 LINES = [
     "r1,2026-01-02,Ann,BBB,1,Bad,App crashes all the time,http://a",
     "r2,2026-02-03,Bob,Google Play,2,Late,My order is late,http://b",
