@@ -375,6 +375,11 @@ oracle("distinct_months", "select distinct month from rated")
 
 # Windows, sorts, sets
 oracle("batch_assign", "select sentiment, month, review_id, row_no, batch_no, total_batches from batches")
+oracle("batch_assign_in_order", """
+    select *, (row_no - 1) // 150 + 1 as batch_no from (
+        select sentiment, month, review_id, row_number() over (partition by sentiment order by month, review_id) as row_no,
+            (count(*) over (partition by sentiment) + 149) // 150 as total_batches
+        from buckets)""")
 oracle("item_ordinals", """select review_id, group_name, score, row_number() over (order by score desc, batch_no, pos) as item_no,
     row_number() over (partition by group_name order by score desc, batch_no, pos) as group_item_no from grouped""")
 oracle("top_item_per_group", """select group_name, review_id, score, batch_no, pos from (

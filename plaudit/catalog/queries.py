@@ -316,6 +316,15 @@ def batch_assign(spark, sf):
         "sentiment", "month", "review_id", "row_no", "batch_no", "total_batches")
 
 
+@query
+def batch_assign_in_order(spark, sf):
+    """Batches in the order of an export of many files; the rows are written in the order of their ids."""
+    path = scratch_path(spark, "export")
+    write_export(fx.strict_raw(spark, sf).repartitionByRange(7, "review_id").sortWithinPartitions("review_id"), path)
+    buckets = batching.bucket_reviews(rated_text(read_export(spark, path, positions=True)))
+    return batching.sentiment_batches(buckets).select("sentiment", "month", "review_id", "row_no", "batch_no", "total_batches")
+
+
 @query
 def item_ordinals(spark, sf):
     return it.item_ordinals(fx.items(spark, sf)).select("review_id", "group_name", "score", "item_no", "group_item_no")

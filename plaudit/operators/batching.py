@@ -9,14 +9,18 @@ from plaudit.functions.ratings import rated_side
 from plaudit.functions.text import prefix
 from plaudit.operators.months import in_recent_months
 from plaudit.operators.ordinals import running_position
+from plaudit.sources.exports import placed
 
 
 def bucket_reviews(rated_text: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """``(sentiment, month, review_id, review)`` of the most recent months, review cut for prompts."""
+    """``(sentiment, month, review_id, review)`` of the most recent months, review cut for prompts.
+
+    Rows that were read with their positions keep them.
+    """
     recent = in_recent_months(rated_text, settings.recent_months)
     return recent.select(
         rated_side(F.col("rating"), settings).alias("sentiment"), "month", "review_id",
-        prefix(F.col("review"), settings.prompt_chars).alias("review"))
+        prefix(F.col("review"), settings.prompt_chars).alias("review"), *placed(rated_text))
 
 
 def bucket_counts(buckets: DataFrame) -> DataFrame:
@@ -80,6 +84,22 @@ def assign_batches(rows: DataFrame, keys: list[str], levels: list[str], size: in
                     F.explode(F.sequence(start + 1, end + 1)).alias("row_no")))
 
 
+def assign_batches_in_order(rows: DataFrame, keys: list[str], levels: list[str], size: int, position: list[str]) -> DataFrame:
+    """``assign_batches`` in the order of the export: ``levels``, then ``position`` (file, range, line), which is dropped.
+
+    A range of a file is a span: its rows are counted, the counts of earlier ranges make its start. As above, positions are
+    computed without the other columns, which travel twice.
+    """
+    columns = [name for name in rows.columns if name not in position]
+    placed_rows = running_position(rows.select(*keys, *levels, *position), keys, [*levels, *position[:-1]], position[-1:], "row_no")
+    numbered = placed_rows.select(*position, "row_no", F.ceil(F.col("group_rows") / size).alias("total_batches"))
+    return (rows.join(numbered, position).select(*columns, "total_batches", "row_no")
+            .withColumn("batch_no", F.floor((F.col("row_no") - 1) / size) + 1).repartition("batch_no"))
+
+
 def sentiment_batches(buckets: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Categorisation batches: per sentiment, month by month."""
+    """Categorisation batches: per sentiment, month by month; in the export's order if the rows have their positions."""
+    position = placed(buckets)
+    if position:
+        return assign_batches_in_order(buckets, ["sentiment"], ["month"], settings.batch_size, position)
     return assign_batches(buckets, ["sentiment"], ["month"], settings.batch_size)

@@ -69,6 +69,11 @@ def is_analysable(reviews: DataFrame, settings: Settings) -> Column:
     return (F.col("rating") <= settings.rating_cutoff) & text_given(reviews, "known_text")
 
 
+def placed(rows: DataFrame) -> list[str]:
+    """The columns that tell where a row stands in the export, if it was read with them."""
+    return list(POSITION) if set(POSITION) <= set(rows.columns) else []
+
+
 def _valid_months(rows: DataFrame, validate_month: bool) -> DataFrame:
     return rows.filter(F.col("month").rlike(MONTH_PATTERN)) if validate_month else rows
 
@@ -84,7 +89,7 @@ def rated_text(raw: DataFrame, validate_month: bool = False) -> DataFrame:
         "review_id",
         strip(F.col("review")).alias("review"),
         F.when(usable, strict_rating(F.col("rating_raw"))).alias("rating"),
-        _month(raw).alias("month"),
+        _month(raw).alias("month"), *placed(raw),
     )
     return _valid_months(rows, validate_month)
 

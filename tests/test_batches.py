@@ -1,12 +1,16 @@
 import hashlib
 import random
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 
+from plaudit.config import DEFAULTS
 from plaudit.operators.batching import assign_batches, bucket_counts, bucket_reviews, row_hash, sentiment_batches, span_digits
 from plaudit.operators.ordinals import position_in_order, running_position
 from plaudit.plans.prompts import analysis_prompts, categorise_prompts
+from plaudit.sources.exports import rated_text, read_export
+from test_exports import export
 
 
 def brute_force(rows, size):
@@ -116,6 +120,25 @@ def test_running_position_equals_a_plain_count(spark):
         assert [found[at] for at in own] == [(nth, len(own)) for nth in range(1, len(own) + 1)]
 
 
+def test_batches_in_the_order_of_files(spark, tmp_path):
+    """Rows of many files, repeated ones among them, with line breaks inside, in ranges of a few lines."""
+    rng, rows = random.Random(8), []
+    for at in range(6):
+        own = [(f"f{at}r{rng.randrange(9)}", f"2026-0{rng.choice('12')}-03", rng.choice(["1", "5"]), rng.choice(["same", f"text\n{rng.random()}"])) for _ in range(25)]
+        export(tmp_path, *(f'{key},{day},A,S,{stars},t,"{text}",u' for key, day, stars, text in own), name=f"part-{at}.csv")
+        rows += own
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        found = sentiment_batches(bucket_reviews(rated_text(read_export(spark, str(tmp_path), positions=True))), replace(DEFAULTS, batch_size=7)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for side, stars in (("pos", "5"), ("neg", "1")):
+        own = sorted((row for row in rows if row[2] == stars), key=lambda row: row[1][:7])     # stable: file order within a month
+        batches = sorted((row for row in found if row.sentiment == side), key=lambda row: row.row_no)
+        assert [(row.review_id, row.month, row.review) for row in batches] == [(key, day[:7], text) for key, day, _, text in own]
+        assert [(row.row_no, row.batch_no, row.total_batches) for row in batches] == [(at + 1, at // 7 + 1, -(-len(own) // 7)) for at in range(len(own))]
+
+
 def test_position_in_any_order(spark):
     names = [f"source {random.Random(at).randrange(10**6)}-{at}" for at in range(700)]
     found = position_in_order(spark.createDataFrame([(name,) for name in names], "name string").repartition(5), ["name"], "place").collect()
