@@ -34,6 +34,7 @@ def byte_letters() -> dict[int, str]:
 
 
 _BYTES = byte_letters()
+SPACE, WORD_END = _BYTES[32], "</w>"
 _BY_CHAR = {code: "".join(_BYTES[byte] for byte in chr(code).encode()) for code in range(256)}
 
 
@@ -44,6 +45,11 @@ class LibraryEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
         self.words = words
+        # Tokens at a border of a word: those that end one, or those that carry the space before one.
+        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        self.border = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.border[[number for token, number in vocabulary.items() if (token.endswith(WORD_END) if words else token.startswith(SPACE))]] = True
+        self.tails: dict[str, np.ndarray] = {}
         added = [token.content for token in self.whole.get_added_tokens_decoder().values()]
         # In any case: lower case must not make a token of what is none.
         self.special = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
@@ -58,39 +64,92 @@ class LibraryEncoder:
         return SegmentMemory(cut_text, self.encode)
 
     def pieces(self, segment: str) -> tuple[str, ...] | None:
-        """The pieces that the tokenizer's pattern makes of a plain segment."""
-        body = segment.rstrip(MARKS)
-        if body.isalpha() and (body.isascii() or max(body) < LATIN_END):   # a word and marks
-            word = body.lower() if self.words else " " + body
-            return (word, segment[len(body):]) if len(body) < len(segment) else (word,)
-        if self.words or not body:
+        """The pieces that the tokenizer's pattern makes of a segment of several words and marks."""
+        if self.words or not segment.rstrip(MARKS):
             return None
         found = SPACED.fullmatch(spaced(segment))
         return tuple(filter(None, found.groups())) if found else None
 
+    def by_model(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and how many each has, by the model alone; one result for many pieces is much cheaper than one for each."""
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for begin in range(0, len(pieces), AT_ONCE):
+            some = pieces[begin:begin + AT_ONCE]
+            result = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(result.ids, np.int32))
+            sizes.append(np.bincount(np.array(result.word_ids, np.int64), minlength=len(some)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words, whose borders the tokens tell, so that the library need not keep track of them."""
+        blocks = [words[begin:begin + AT_ONCE] for begin in range(0, len(words), AT_ONCE)]
+        results = (self.model.encode_batch_fast([block], is_pretokenized=True, add_special_tokens=False)[0] for block in blocks)
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(result.ids, np.int32) for result in results)])
+        borders = np.flatnonzero(self.border[ids])
+        if len(borders) != len(words):                          # a vocabulary without such tokens
+            return self.by_model(words)
+        return ids, np.diff(np.r_[-1, borders] if self.words else np.r_[borders, len(ids)])
+
     def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments one after another, and how many each has.
 
-        Plain segments are cut into the pieces the tokenizer's pattern makes of them; each distinct piece goes to
-        the model once, in the letters of its vocabulary.
+        Most segments are a word of plain letters, perhaps with marks behind it: the words go to the model at once, runs of marks
+        are remembered. Other plain segments are cut into the pieces the tokenizer's pattern makes of them; the rest goes to the tokenizer.
         """
+        own, words, tails, others = [], [], [], []
+        for at, segment in enumerate(segments):
+            body = segment.rstrip(MARKS)
+            if body.isalpha() and (body.isascii() or max(body) < LATIN_END):
+                own.append(at)
+                word = body.lower() if self.words else body
+                if not body.isascii():
+                    word = word.translate(_BY_CHAR)
+                words.append(word if self.words else SPACE + word)
+                tails.append(segment[len(body):])
+            else:
+                others.append(at)
+        fresh = list(dict.fromkeys(tail for tail in tails if tail and tail not in self.tails))
+        for tail, ids in zip(fresh, self._split(*self.by_model([tail.translate(_BY_CHAR) for tail in fresh]))):
+            self.tails[tail] = ids
+        number = {"": -1} | {tail: at for at, tail in enumerate(self.tails)}
+        word_ids, word_sizes = self.of_words(words)
+        other_ids, other_sizes = self.encode_others([segments[at] for at in others])
+        # Units: the words, the other segments, the runs of marks. A segment is one unit, or a word and its marks.
+        flat = np.concatenate([word_ids, other_ids, *self.tails.values()])
+        sizes = np.concatenate([word_sizes, other_sizes, np.fromiter(map(len, self.tails.values()), np.int64, len(self.tails))]).astype(np.int64)
+        places = np.cumsum(sizes) - sizes
+        tail = np.full(len(segments), -1, np.int64)
+        unit = np.empty(len(segments), np.int64)
+        tail[own] = np.fromiter(map(number.__getitem__, tails), np.int64, len(tails))
+        unit[own] = np.arange(len(own))
+        unit[others] = len(own) + np.arange(len(others))
+        per = 1 + (tail >= 0)
+        first = np.cumsum(per) - per
+        uses = np.empty(int(per.sum()), np.int64)
+        uses[first] = unit
+        uses[first[tail >= 0] + 1] = len(segments) + tail[tail >= 0]
+        lengths = sizes[unit]
+        lengths[tail >= 0] += sizes[len(segments) + tail[tail >= 0]]
+        return taken(flat, places[uses], sizes[uses]), lengths
+
+    @staticmethod
+    def _split(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+    def encode_others(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for segments that are no single word; each distinct piece goes to the model once."""
         pieces = [self.pieces(segment) for segment in segments]
         rest = [segment if self.words else spaced(segment) for segment, some in zip(segments, pieces) if some is None]
         number = {piece: at for at, piece in enumerate(set(chain.from_iterable(filter(None, pieces))))}
-        ids, sizes = [], []
-        letters = [piece.translate(_BY_CHAR) for piece in number]
-        for begin in range(0, len(letters), AT_ONCE):  # one result for many pieces is much cheaper than one for each
-            some = letters[begin:begin + AT_ONCE]
-            result = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(result.ids, np.int32))
-            sizes.append(np.bincount(np.array(result.word_ids, np.int64), minlength=len(some)))
+        ids, sizes = self.by_model([piece.translate(_BY_CHAR) for piece in number])
+        ids, sizes = [ids], [sizes]
         for result in self.whole.encode_batch_fast(rest, add_special_tokens=False):
             ids.append(np.array(result.ids, np.int32))
             sizes.append([len(result.ids)])
-        flat = np.concatenate([np.zeros(0, np.int32), *ids])
-        sizes = np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
+        flat = np.concatenate(ids)
+        sizes = np.concatenate(sizes).astype(np.int64)
         places = np.cumsum(sizes) - sizes
-        others = iter(range(len(letters), len(sizes)))
+        others = iter(range(len(number), len(sizes)))
         per = np.fromiter((1 if some is None else len(some) for some in pieces), np.int64, len(pieces))
         uses = np.fromiter(chain.from_iterable((next(others),) if some is None else map(number.__getitem__, some) for some in pieces),
                            np.int64, int(per.sum()))
