@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plaudit.sources.staging import written
 
-__all__ = ["chunks", "crc_fold", "documents", "fresh_name", "labels", "sample_of", "ids_crc32", "texts_of", "written"]
+__all__ = ["chunks", "crc_fold", "documents", "fresh_name", "labels", "sample_of", "ids_crc32", "one_per_id", "texts_of", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,14 @@ def sample_of(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.lit(int(bound / total * (1 << 30))))
 
 
+def one_per_id(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``doc_id`` and the named columns of one row of each id, that of the least ``tie``, so that copies of an id weigh once.
+
+    Rows are reduced before they are shuffled.
+    """
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*names), "tie").alias("row")).select("doc_id", "row.*")
+
+
 def chunks(texts: list[str], max_chars: int) -> Iterator[slice]:
     """Slices of a batch that hold about ``max_chars`` characters each; a longer text stands alone."""
     start, held = 0, 0

@@ -16,7 +16,6 @@ learnt from; rows with null language or id are predicted, not learnt from; repea
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,16 +23,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaudit.llm.common import chunks, crc_fold, documents, sample_of, texts_of
+from plaudit.llm.common import chunks, crc_fold, documents, one_per_id, texts_of
 
 HELD_OUT_FOLDS, HELD_OUT = 3, 1
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
 class TrainOptions:
     max_documents: int = 3_000
+    least_documents: int = 100      # of each language, where there are as many
     windows_each: int = 4
     window: int = 256               # bytes
     embedding: int = 8
@@ -151,20 +150,28 @@ class ByteNetwork:
 
 
 def training_windows(docs: DataFrame, options: TrainOptions) -> pd.DataFrame:
+    """Windows of about ``max_documents`` ids and of ``least_documents`` more of each rarer language; one text of an id."""
     known = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null").where(
         crc_fold("doc_id", HELD_OUT_FOLDS) != HELD_OUT)
-    chosen = sample_of(known, "doc_id", options.max_documents).select("lang", "text")
+    sizes = {row["lang"]: row["count"] for row in known.select("doc_id", "lang").distinct().groupBy("lang").count().collect()}  # a row per language
+    share = options.max_documents / max(1, sum(sizes.values()))
+    wanted = [(lang, int((1 << 30) * min(1.0, max(share, options.least_documents / size)))) for lang, size in sizes.items()]
+    limits = docs.sparkSession.createDataFrame(wanted, "lang string, hash_limit long")
+    chosen = (known.join(F.broadcast(limits), "lang")
+              .where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("hash_limit"))
+              .select("doc_id", "lang", "text", F.xxhash64("text").alias("tie")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for lang, text in zip(batch["lang"], batch["text"]):
+            windows = []
+            for text in batch["text"]:
                 every = windows_of(text.encode("utf-8", "replace"), options.window)
                 n = min(len(every), options.windows_each)
-                rows += [(lang, row.tobytes()) for row in every[np.linspace(0, len(every) - 1, n).round().astype(int)]]
-            yield pd.DataFrame(rows, columns=["lang", "bytes"])
+                windows.append([row.tobytes() for row in every[np.linspace(0, len(every) - 1, n).round().astype(int)]])
+            yield batch.drop(columns="text").assign(windows=windows)
 
-    return chosen.mapInPandas(cut, "lang string, bytes binary").toPandas()  # max_documents * windows_each rows
+    found = one_per_id(chosen.mapInPandas(cut, "doc_id long, lang string, tie long, windows array<binary>"), ["lang", "windows"])
+    return found.select("lang", F.explode("windows").alias("bytes")).toPandas()  # windows_each for each id chosen
 
 
 def train(docs: DataFrame, options: TrainOptions = TrainOptions()) -> ByteNetwork | None:
@@ -185,7 +192,7 @@ def predicted(docs: DataFrame, network: ByteNetwork | None, part_chars: int = 2_
             texts, found, sure = texts_of(batch["text"]), [], []
             for part in chunks(texts, part_chars):
                 some = texts[part]
-                lettered = [bool(network) and LETTER.search(text) is not None for text in some]
+                lettered = [bool(network) and any(sign.isalpha() for sign in text) for text in some]
                 cut = [windows_of(text.encode("utf-8", "replace"), network.options.window) for text, has in zip(some, lettered) if has]
                 if cut:
                     n = np.array([len(rows) for rows in cut])

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plaudit.llm.common import crc_fold, documents, fresh_name, labels, sample_of, texts_of, written
+from plaudit.llm.common import crc_fold, documents, fresh_name, labels, one_per_id, sample_of, texts_of, written
 from plaudit.llm.text_stats import SHAPES, matrix, statistics, statistics_of
 
 HELD_OUT_FOLDS = 5
@@ -81,20 +81,21 @@ def isotonic(points: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> tuple[
 
 
 def labelled_statistics(docs: DataFrame, marks: DataFrame, options: FitOptions) -> DataFrame:
-    """fold, label and statistics of the documents to learn from: a table of at most ``max_rows`` small rows."""
+    """fold, label and statistics of the documents to learn from: at most about ``max_rows`` small rows, one per id."""
     usable = (marks.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
               .where(crc_fold("doc_id", HELD_OUT_FOLDS) != 0)
               .groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label")))
     chosen = sample_of(usable, "doc_id", options.max_rows)
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows small rows
-            .select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(options.folds)).alias("fold")))
+            .select("doc_id", "text", "label", F.xxhash64("text").alias("tie"),
+                    F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(options.folds)).alias("fold")))
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"fold": batch["fold"], "label": batch["label"],
-                                "stats": list(matrix(statistics(texts_of(batch["text"]))))})
+            yield batch.drop(columns="text").assign(stats=list(matrix(statistics(texts_of(batch["text"])))))
 
-    return rows.mapInPandas(measured, "fold long, label double, stats array<double>")
+    found = rows.mapInPandas(measured, "doc_id long, label double, tie long, fold long, stats array<double>")
+    return one_per_id(found, ["fold", "label", "stats"]).drop("doc_id")
 
 
 def fit(spark: SparkSession, docs: DataFrame, marks: DataFrame, options: FitOptions = FitOptions()) -> QualityModel:
