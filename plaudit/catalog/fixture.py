@@ -9,9 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plaudit.config import ACTIONABLE_LABELS, NEGATIVE_CATEGORIES
-from plaudit.functions.sql import quoted_list
-from plaudit.operators.scoring import Lexicon, categorise
+from plaudit.operators.scoring import Lexicon, categorise, score_actionability, score_categories
 from plaudit.sources.exports import analysable, coerced, rated, rated_text
 
 # Terms for the rule scorers: pieces of the words in the invented prose.
@@ -60,20 +58,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-PADDED_ID = "concat('R', lpad(string(doc_id), 8, '0'))"
+DIGITS = "lpad(string(doc_id), 8, '0')"
 
 
 def raw_reviews(spark: SparkSession, sf_dir: str, author: bool = True, url: bool = True) -> DataFrame:
-    """The raw export, all columns as text."""
+    """The raw export, all columns as text: a review per document, and a blank one more for every 37th."""
     rows = table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", f"{PADDED_ID} as review_id",
+        "*", "explode(if(doc_id % 37 = 0, array(false, true), array(false))) as blank").selectExpr(
+        "doc_id", f"concat(if(blank, 'B', 'R'), {DIGITS}) as review_id",
         "date_format(date_sub(date'2026-02-18', int(doc_id * 13 % 365)), 'yyyy-MM-dd') as published",
         """case int(substr(source, 4)) % 5 when 0 then 'Google Play' when 1 then 'iOS App Store' when 2 then 'BBB'
             when 3 then 'CreditKarma' else if(doc_id % 43 = 0, null, 'Trustpilot') end as source""",
         """case when doc_id % 23 = 0 then null when doc_id % 41 = 0 then 'N/A' when doc_id % 29 = 0 then '3.5'
             else concat(string(1 + (doc_id * 7 + n_chars) % 5), '.0') end as rating_raw""",
         "if(doc_id % 31 = 0, null, substring_index(text, '\n', 1)) as title",
-        "if(doc_id % 37 = 0, '  ', text) as review",
+        "if(blank, '  ', text) as review",
     )
     rows = _looked_up(rows, spark, sf_dir, ("customer", "c_custkey", "c_name"), "author", author)
     rows = _looked_up(rows, spark, sf_dir, ("pages", "page_id", "url"), "url", url)
@@ -115,21 +114,17 @@ def strict_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in for decoded items: scores 1..5, all labels, some ids that are in no export."""
-    return table(spark, sf_dir, "documents").selectExpr(
-        f"doc_id div {BATCH} + 1 as batch_no", f"int(doc_id % {BATCH}) as pos",
-        f"if(doc_id % 97 = 0, concat('X', string(doc_id)), {PADDED_ID}) as review_id",
-        "int(1 + doc_id * 11 % 5) as score",
-        f"element_at(array({quoted_list(ACTIONABLE_LABELS)}), int((doc_id div 3) % 18 + 1)) as category",
-        "concat('reason ', string(doc_id)) as reason")
+    """Items as the terms in the whole texts make them, in batches by id; some ids are in no export, some scores low."""
+    number = "bigint(substr(review_id, 2))"
+    return score_actionability(analysed(spark, sf_dir, author=False, url=False), ACTIONABLE_TERMS).selectExpr(
+        f"{number} div {BATCH} + 1 as batch_no", f"int({number} % {BATCH}) as pos",
+        f"if({number} % 97 = 0, concat('X', string({number})), review_id) as review_id",
+        f"if({number} % 5 = 0, 1, score) as score", "category", "reason")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in for a model's confidences: every document with every negative category."""
-    return (table(spark, sf_dir, "documents")
-            .selectExpr("doc_id", f"posexplode(array({quoted_list(NEGATIVE_CATEGORIES)})) as (ord, category)")
-            .selectExpr(f"{PADDED_ID} as review_id", "ord", "category",
-                        "int((doc_id * 31 + ord * 17) % 101) as confidence"))
+    """Every rated review's confidences from its whole text, for each category of its side."""
+    return score_categories(strict_text(spark, sf_dir), TERMS).select("review_id", "ord", "category", "confidence")
 
 
 def categorised(spark: SparkSession, sf_dir: str) -> DataFrame:

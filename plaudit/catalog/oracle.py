@@ -64,6 +64,16 @@ GROUP_NAME = group_case({name: text(name) for name, _, _ in CATEGORY_GROUPS})
 GROUP_EMOJI = group_case({name: text(emoji) for name, emoji, _ in CATEGORY_GROUPS})
 
 
+def _choices() -> str:
+    entries = []
+    for at, label in enumerate(ACTIONABLE_LABELS):
+        terms = [term for name, term, _ in fx.ACTIONABLE_TERMS if name == label]
+        if terms:
+            hits = ", ".join(f"case when contains(lower(review), {text(term)}) then {text(term)} end" for term in terms)
+            entries.append(f"{{'ord': {at}, 'category': {text(label)}, 'hits': list_filter([{hits}], lambda x: x is not null)}}")
+    return f"[{', '.join(entries)}]"
+
+
 def confidences(names, lexicon) -> str:
     """List of structs, one per category in order."""
     entries = []
@@ -93,7 +103,7 @@ def titled(value: str) -> str:
 
 CTES = {
     "reviews0": f"""
-        select concat('R', lpad(cast(doc_id as varchar), 8, '0')) as review_id,
+        select concat(case when blank then 'B' else 'R' end, lpad(cast(doc_id as varchar), 8, '0')) as review_id,
             strftime(date '2026-02-18' - cast((doc_id * 13) % 365 as int), '%Y-%m-%d') as published,
             c_name as author,
             case cast(substr(source, 4) as int) % 5 when 0 then 'Google Play' when 1 then 'iOS App Store'
@@ -102,8 +112,8 @@ CTES = {
             case when doc_id % 23 = 0 then null when doc_id % 41 = 0 then 'N/A' when doc_id % 29 = 0 then '3.5'
                 else concat(cast(1 + (doc_id * 7 + n_chars) % 5 as varchar), '.0') end as rating_raw,
             case when doc_id % 31 = 0 then null else split_part(text, chr(10), 1) end as title,
-            case when doc_id % 37 = 0 then '  ' else text end as review, url, doc_id
-        from documents
+            case when blank then '  ' else text end as review, url, doc_id
+        from (select *, unnest(case when doc_id % 37 = 0 then [false, true] else [false] end) as blank from documents)
         left join customer on c_custkey = doc_id % (select count(*) from customer)
         left join pages on page_id = doc_id % (select count(*) from pages)""",
     # The tolerant dialect.
@@ -132,28 +142,27 @@ CTES = {
             select *, row_number() over (partition by sentiment order by month, md5(concat_ws(chr(31), sentiment, month, review_id, review))) as row_no,
                 (count(*) over (partition by sentiment) + 149) // 150 as total_batches
             from buckets)""",
-    "items": f"""
-        select doc_id // 150 + 1 as batch_no, cast(doc_id % 150 as int) as pos,
-            case when doc_id % 97 = 0 then concat('X', cast(doc_id as varchar))
-                else concat('R', lpad(cast(doc_id as varchar), 8, '0')) end as review_id,
-            cast(1 + (doc_id * 11) % 5 as int) as score,
-            ([{listed(ACTIONABLE_LABELS)}])[cast((doc_id // 3) % 18 + 1 as int)] as category,
-            concat('reason ', cast(doc_id as varchar)) as reason
-        from documents""",
+    "actionable": f"""
+        select review_id, score, category, reason from (
+        select *, row_number() over (partition by review_id order by score desc, ord) as nth from (
+            select review_id, ord, category, cast(least(5, len(hits) + 1) as int) as score, array_to_string(hits, ', ') as reason
+            from (select review_id, unnest({_choices()}, recursive := true) from analysed) where len(hits) > 0))
+        where nth = 1""",
+    "items": """
+        select n // 150 + 1 as batch_no, cast(n % 150 as int) as pos, case when n % 97 = 0 then concat('X', cast(n as varchar)) else review_id end as review_id,
+            case when n % 5 = 0 then 1 else score end as score, category, reason
+        from (select *, cast(substr(review_id, 2) as bigint) as n from actionable)""",
     "grouped": f"select *, {GROUP_ORD} as group_ord, {GROUP_NAME} as group_name, {GROUP_EMOJI} as emoji from items",
     "found": """
         select *, row_number() over (order by score desc, batch_no, pos) as item_no,
             row_number() over (partition by group_name order by score desc, batch_no, pos) as group_item_no
         from grouped where score >= 3""",
-    "candidates": f"""
-        select concat('R', lpad(cast(doc_id as varchar), 8, '0')) as review_id, cast(k as int) as ord,
-            ([{listed(NEGATIVE_CATEGORIES)}])[k + 1] as category, cast((doc_id * 31 + k * 17) % 101 as int) as confidence
-        from documents, (select unnest(range(0, 8)) as k)""",
     "scored": f"""
         select review_id, sentiment, month, unnest(case when sentiment = 'pos'
             then {confidences(POSITIVE_CATEGORIES, fx.POSITIVE_TERMS)}
             else {confidences(NEGATIVE_CATEGORIES, fx.NEGATIVE_TERMS)} end, recursive := true)
         from rated_text""",
+    "candidates": "select review_id, ord, category, confidence from scored",
     "categorised": """
         select sentiment, month, review_id, case when confidence > 70 then category else 'other' end as category
         from (select *, row_number() over (partition by review_id order by confidence desc, ord) as nth from scored)
@@ -283,7 +292,7 @@ oracle("metrics_document", f"""
     union all select 'source_breakdown', source, '{{"source_breakdown":{{"' || source || '":['
         || string_agg('{{"month":"' || month || '","avg_rating":' || avg_rating || ',"vol":' || vol || '}}', ',' order by month) || ']}}}}'
         from by_source group by source""")
-oracle("report_lines", f"""
+REPORT = f"""
     select cast(section_ord as int) as section_ord, sort_text, cast(line_ord as bigint) as line_ord, line from (
     select 1 as section_ord, '' as sort_text, unnest(range(0, 12)) as line_ord, unnest(['', '{RULE}',
         '  {DEFAULTS.report_title.upper()}', '  Generated: {fx.RUN_TIME}  |  Source: {fx.EXPORT_NAME}', '{RULE}', '', 'STATS',
@@ -303,7 +312,22 @@ oracle("report_lines", f"""
     union all select 4, '', item_no * 10 + 6, '      URL:    ' || link from joined where link is not null
     union all select 5, '', unnest(range(0, 5)), unnest(['', '{RULE}', '  SENTIMENT SUMMARY — Recurring Themes', '{RULE}', ''])
     union all select distinct 6, '', batch_no, '  Summary of batch ' || batch_no || '.' from items
-    union all select 7, '', unnest(range(0, 3)), unnest(['', '{RULE}', '']))""")
+    union all select 7, '', unnest(range(0, 3)), unnest(['', '{RULE}', '']))"""
+oracle("report_lines", REPORT)
+
+
+def by_rules(sql: str) -> str:
+    """The same over the items that the terms make of the whole export."""
+    return re.sub(r"\b(from|join) (items|grouped|found|joined|themes)\b", r"\1 rule_\2", sql)
+
+
+CTES["rule_items"] = """
+    select (n - 1) // 150 + 1 as batch_no, cast((n - 1) % 150 as int) as pos, review_id, score, category, reason
+    from (select *, row_number() over (order by md5(concat_ws(chr(31), review_id, score, category, reason))) as n from actionable)"""
+for _name in ("grouped", "found", "joined", "themes"):
+    CTES[f"rule_{_name}"] = by_rules(CTES[_name])
+oracle("analysis_report", by_rules(REPORT.replace(
+    "union all select distinct 6, '', batch_no, '  Summary of batch ' || batch_no || '.' from items", f"union all select 6, '', 1, '  ' || {SUMMARY}")))
 oracle("message_stream", f"""
     select cast(group_ord as int) as group_ord, cast(item_ord as bigint) as item_ord, cast(parent_ord as int) as parent_ord,
         text, blocks_json, false as unfurl_links, false as unfurl_media from (
@@ -439,28 +463,14 @@ oracle("categorize_prompts", f"""
         from batches group by sentiment, batch_no, month)
     group by sentiment, batch_no)""")
 oracle("categorize_reviews", "select sentiment, month, review_id, category from categorised")
-oracle("decode_analysis", "select batch_no, pos, review_id, score, category, reason from items")
+oracle("decode_analysis", """select batch_no, cast(row_number() over (partition by batch_no order by pos) - 1 as int) as pos,
+    review_id, score, category, reason from items""")
 oracle("decode_categories", """select sentiment, batch_no, month, review_id, category,
     cast(row_number() over (partition by sentiment, batch_no, month order by row_no) - 1 as int) as item_no
     from categorised_batches""")
 
 
-def _choices() -> str:
-    entries = []
-    for at, label in enumerate(ACTIONABLE_LABELS):
-        terms = [term for name, term, _ in fx.ACTIONABLE_TERMS if name == label]
-        if terms:
-            hits = ", ".join(f"case when contains(lower(review), {text(term)}) then {text(term)} end" for term in terms)
-            entries.append(f"{{'ord': {at}, 'category': {text(label)}, 'hits': list_filter([{hits}], lambda x: x is not null)}}")
-    return f"[{', '.join(entries)}]"
-
-
-oracle("score_actionability", f"""
-    select review_id, score, category, reason from (
-    select *, row_number() over (partition by review_id order by score desc, ord) as nth from (
-        select review_id, ord, category, cast(least(5, len(hits) + 1) as int) as score, array_to_string(hits, ', ') as reason
-        from (select review_id, unnest({_choices()}, recursive := true) from analysed) where len(hits) > 0))
-    where nth = 1""")
+oracle("score_actionability", "select * from actionable")
 oracle("score_categories", "select review_id, sentiment, ord, category, confidence from scored")
 
 # Report, messages, charts

@@ -14,7 +14,7 @@ from plaudit.functions.dates import day, month_label, month_label_short, review_
 from plaudit.functions.numbers import fixed, percent, round_exact
 from plaudit.functions.ratings import is_excluded, three_way, two_way
 from plaudit.operators import batching, categories, items as it, metrics, months, scoring
-from plaudit.plans import charts, decode, messages, prompts, report
+from plaudit.plans import charts, decode, flows, messages, prompts, report
 from plaudit.plans.responder import answered
 from plaudit.session import scratch_path
 from plaudit.sources import documents
@@ -85,6 +85,12 @@ def report_lines(spark, sf):
     return report.report_lines(_cube(spark, sf), _reported(spark, sf), told, fx.EXPORT_NAME, fx.RUN_TIME)
 
 
+@query
+def analysis_report(spark, sf):
+    """The whole run from a raw export to its report, with items by the terms in the texts."""
+    return flows.analyse_by_rules(spark, fx.raw_reviews(spark, sf), fx.EXPORT_NAME, fx.RUN_TIME, fx.ACTIONABLE_TERMS).report
+
+
 @query
 def message_stream(spark, sf):
     responses = written(spark, decode.parse_analysis(fx.analysis_responses(spark, sf)), "answers")
