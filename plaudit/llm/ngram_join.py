@@ -11,8 +11,8 @@
    ``threshold`` or more is counted. What leaves a group is one row per linked class: its links and its
    root in a local forest. These rows are joined to components.
 
-Counting all links of a group of near copies that all differ takes time in the square of its size, inside
-numpy; rows and memory stay in proportion. Exact copies cost nothing of that kind.
+Counting all links of a group of near copies that all differ takes time in the square of its size, inside numpy, and sends the
+n-gram sets of each block once for each block it meets; memory stays in proportion. Exact copies cost nothing of that kind.
 
 Cases: words are runs of other characters than the six ASCII blanks; a text of fewer words than the n-gram length has one
 n-gram, all its words; texts without words (null, empty, blank) have no n-grams and no links, each is a
