@@ -54,3 +54,56 @@ def test_numerals_are_no_letters(spark):
                                                        for at in range(40)], "doc_id long, lang string, text string"), language_id.TrainOptions(epochs=1))
     found = {row.doc_id: row.lang_pred for row in language_id.predicted(docs, network).collect()}
     assert found[1] == found[2] == "und" and found[3] != "und" and found[4] != "und"
+
+
+def test_rules_are_learned_from_all_labelled_rows(spark):
+    """Rows that a sample by a hash of their ids would leave out: they count in the limit as all others do."""
+    words = "concat_ws(' ', transform(sequence(1, 40), k -> concat('word', pmod(xxhash64(id, k), 300))))"
+    left_out = "pmod(xxhash64(id, 'sample'), 1 << 30) >= 0.95 * (1 << 30)"
+    clean = spark.range(24_000).selectExpr("id as doc_id", f"{words} as text", "1 as quality")
+    odd = (spark.range(50_000, 60_000).where(left_out).limit(200)
+           .selectExpr("id as doc_id", f"concat(upper({words}), ' ! # | 12345') as text", "0 as quality"))
+    rows = clean.unionByName(odd)
+    forest = quality_rules.fit(spark, rows.drop("quality"), rows.drop("text"))
+    found = quality_rules.judged(rows, forest).groupBy("quality").agg(F.avg(F.col("rules.kept").cast("double")).alias("kept")).collect()
+    assert {row.quality: row.kept > 0.99 for row in found} == {1: True, 0: False}
+
+
+def test_rules_equal_those_of_rows_at_hand(spark, tables):
+    """Box, leaves and limit from aggregates: the same trees as from all rows in one place."""
+    docs, _, marks = tables
+    found = quality_rules.fit(spark, docs, marks)
+    table = quality_rules.measured(spark, docs).where("not base_failed").join(marks.where("quality is not null"), "doc_id").toPandas()
+    values, clean = np.stack(table["stats"]), (table["quality"] > 0).to_numpy()
+    forest = quality_rules.grow(values[clean], values, quality_rules.ForestOptions())
+    for name in ("roots", "statistic", "split", "child", "path"):
+        assert (getattr(found, name) == getattr(forest, name)).all()
+    anomaly = found.anomaly(values)
+    lost = (anomaly[clean] >= found.limit).mean()
+    gain = (anomaly[~clean] >= found.limit).mean() - lost
+    assert lost <= 0.005
+    for limit in anomaly:
+        if (anomaly[clean] >= limit).mean() <= 0.005:
+            assert gain >= (anomaly[~clean] >= limit).mean() - (anomaly[clean] >= limit).mean() - 1e-12
+
+
+def test_paths_by_recursion():
+    """Every row goes down each tree by its splits; a branch ends where it holds one of ``subsample`` clean rows, or at full depth."""
+    rng = np.random.default_rng(3)
+    clean = rng.normal(size=(2000, 3))
+    options = quality_rules.ForestOptions(trees=5, subsample=64, max_depth=6)
+    forest = quality_rules.grow(clean, clean, options)
+
+    def walk(node, rows, depth):
+        held = len(rows) * 64 / 2000
+        if forest.child[node] < 0:
+            assert held <= 1 or depth == 6
+            assert forest.path[node] == depth + quality_rules.average_path(np.rint(held))
+            return
+        assert held > 1 and depth < 6
+        right = rows[:, forest.statistic[node]] >= forest.split[node]
+        walk(forest.child[node], rows[~right], depth + 1)
+        walk(forest.child[node] + 1, rows[right], depth + 1)
+
+    for root in forest.roots:
+        walk(root, clean, 0)
