@@ -19,8 +19,9 @@ import numpy as np
 from plaudit.llm.segments import FIRST, SegmentMemory, cut_at_spaces, spaced, taken
 
 AT_ONCE = 4_000
+TOGETHER = 64                 # words in one text for the model
+BREAK = FIRST + "\n"           # begins a segment that a line end precedes, and no space
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-LATIN_END = "\u0100"
 MARKS = ".,;:!?|#$%&*"
 _M = re.escape(MARKS)
 SPACED = re.compile(f"( ?[{LETTERS}]+)([{_M}]+)?(?:(\n)([{LETTERS}]+)([{_M}]+)?)?|( ?[{_M}]+)")
@@ -34,30 +35,44 @@ def byte_letters() -> dict[int, str]:
 
 
 _BYTES = byte_letters()
-SPACE, WORD_END = _BYTES[32], "</w>"
+SPACE, LINE_END, WORD_END = _BYTES[32], _BYTES[10], "</w>"
+PARTING = "\x01"               # between words for the model; no word has it, nor the blank it is written as
+_BY_BYTE = np.array([ord(" " if byte == ord(PARTING) else _BYTES[byte]) for byte in range(256)], "<u4")
 _BY_CHAR = {code: "".join(_BYTES[byte] for byte in chr(code).encode()) for code in range(256)}
 
 
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class LibraryEncoder:
     def __init__(self, path: str, words: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
+        self.parted = Tokenizer(self.whole.model)
+        self.parted.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.words = words
-        # Tokens at a border of a word: those that end one, or those that carry the space before one.
+        # Tokens at a border of a word: those that end one, or those that carry the space or the line end before one.
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
         self.border = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.border[[number for token, number in vocabulary.items() if (token.endswith(WORD_END) if words else token.startswith(SPACE))]] = True
+        self.border[[number for token, number in vocabulary.items() if (token.endswith(WORD_END) if words else token.startswith((SPACE, LINE_END)))]] = True
         self.tails: dict[str, np.ndarray] = {}
         added = [token.content for token in self.whole.get_added_tokens_decoder().values()]
         # In any case: lower case must not make a token of what is none.
         self.special = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        # What has no case in them; looking for it first is much cheaper.
+        self.hints = {max(re.split(r"[^\W_]+", token), key=len) for token in added}
 
     def memory(self, cut: Callable[[str], list[str]]) -> SegmentMemory:
         """A memory of the segments of ``cut``; a text with a special token is one, as the token also parts what stands around it."""
         def cut_text(text: str) -> list[str]:
-            if self.special and self.special.search(text):
+            if any(hint in text for hint in self.hints) and self.special.search(text):
                 return [text if self.words else FIRST + text]
             return cut(text)
 
@@ -81,13 +96,17 @@ class LibraryEncoder:
         return np.concatenate(ids), np.concatenate(sizes)
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words, whose borders the tokens tell, so that the library need not keep track of them."""
-        blocks = [words[begin:begin + AT_ONCE] for begin in range(0, len(words), AT_ONCE)]
-        results = (self.model.encode_batch_fast([block], is_pretokenized=True, add_special_tokens=False)[0] for block in blocks)
+        """The same for words as they stand, with the blank before them, whose borders the tokens tell, so that the library need not
+        keep track of them. Many words make one text for the model, as each text costs more than a word does."""
+        blocks = (PARTING.join(words[begin:begin + TOGETHER]).encode() for begin in range(0, len(words), TOGETHER))
+        texts = [_BY_BYTE[np.frombuffer(block, np.uint8)].tobytes().decode("utf-32-le") for block in blocks]
+        results = self.parted.encode_batch_fast(texts, add_special_tokens=False)
         ids = np.concatenate([np.zeros(0, np.int32), *(np.array(result.ids, np.int32) for result in results)])
         borders = np.flatnonzero(self.border[ids])
         if len(borders) != len(words):                          # a vocabulary without such tokens
-            return self.by_model(words)
+            parts = [word.split(PARTING) for word in words]
+            ids, sizes = self.by_model([part.translate(_BY_CHAR) for part in chain.from_iterable(parts)])
+            return ids, np.bincount(np.repeat(np.arange(len(parts)), list(map(len, parts))), sizes, len(parts)).astype(np.int64)
         return ids, np.diff(np.r_[-1, borders] if self.words else np.r_[borders, len(ids)])
 
     def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,14 +117,13 @@ class LibraryEncoder:
         """
         own, words, tails, others = [], [], [], []
         for at, segment in enumerate(segments):
-            body = segment.rstrip(MARKS)
-            if body.isalpha() and (body.isascii() or max(body) < LATIN_END):
+            stem = body = segment.rstrip(MARKS)
+            if stem[:1] == FIRST and stem[:2] == BREAK and not self.words:
+                body = stem[2:]
+            if body.isalpha() and (body.isascii() or is_latin(body)):
                 own.append(at)
-                word = body.lower() if self.words else body
-                if not body.isascii():
-                    word = word.translate(_BY_CHAR)
-                words.append(word if self.words else SPACE + word)
-                tails.append(segment[len(body):])
+                words.append(body.lower() if self.words else " " + body if body is stem else "\n" + PARTING + body)
+                tails.append(segment[len(stem):])
             else:
                 others.append(at)
         fresh = list(dict.fromkeys(tail for tail in tails if tail and tail not in self.tails))
@@ -165,6 +183,17 @@ def cut_words(text: str) -> list[str]:
     return text.lower().replace("\n", " ").split(" ")
 
 
+def cut_at_blanks(text: str) -> list[str]:
+    """The segments of ``cut_at_spaces``, cut at single line ends as well if no other blank stands beside any."""
+    if "\n" not in text or FIRST in text or "  " in text:
+        return cut_at_spaces(text)
+    if not all(line and not line[0].isspace() and not line[-1].isspace() for line in text.split("\n")):
+        return cut_at_spaces(text)
+    segments = text.replace("\n", " " + BREAK).split(" ")
+    segments[0] = FIRST + segments[0]
+    return segments
+
+
 @cache
 def word_memory(path: str) -> SegmentMemory:
     """For vocabularies with word ends, which drop blanks: see ``cut_words``."""
@@ -174,4 +203,4 @@ def word_memory(path: str) -> SegmentMemory:
 @cache
 def spaced_memory(path: str) -> SegmentMemory:
     """For byte-level vocabularies, which tie a space to the word behind it."""
-    return LibraryEncoder(path, words=False).memory(cut_at_spaces)
+    return LibraryEncoder(path, words=False).memory(cut_at_blanks)

@@ -144,3 +144,31 @@ def test_no_labels(spark, docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     assert quality_classifier.keep_good(spark, docs, path).count() == len(ROWS)
     assert quality_rules.keep_clean(spark, docs, path).where("doc_id in (1, 2, 3, 7)").count() == 0
+
+
+def test_words_after_line_ends_go_to_the_model(monkeypatch):
+    """Line ends part words as spaces do, so a word at either side is no segment of its own for each neighbour."""
+    from tokenizers import Tokenizer
+
+    from plaudit.llm import library_tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = library_tokens.LibraryEncoder(path, words=False)
+    others = []
+    encode_others = encoder.encode_others
+    monkeypatch.setattr(encoder, "encode_others", lambda segments: others.extend(segments) or encode_others(segments))
+    cut = library_tokens.spaced_memory(path).cut
+    memory = encoder.memory(cut)
+    whole = Tokenizer.from_file(path)
+
+    def same(texts):
+        ids, sizes = memory.ids(texts)
+        return [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == [whole.encode(text, add_special_tokens=False).ids for text in texts]
+
+    assert same(["One word.\nTwo, thrée!!\nÀ la íß\nend"]) and others == ["\0One"]
+    encoder.border[:] = False  # a vocabulary whose tokens do not tell the borders
+    memory.clear()
+    assert same(["One word.\nTwo, thrée!!\nÀ la íß\nend"])
+    # other blanks beside a line end, no word behind it, marks of our own, and letters that stand for bytes
+    assert same(["a\n\nb", "a \nb", "a\n b", "a\r\nb", "a\n", "\nb", "a\n12 b\n's", "a\t\nb c", "a\n\tb", "a\n\0b", "a\n\x01b \x01", "a\nĊ Ġ", "a\n語 b\nªb",
+                 "x\n<|endoftext|>\ny", "x\n<|ENDOFTEXT|>\ny", "", "\n", "a  b\nc"])
